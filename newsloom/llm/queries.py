@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, minhash, quality, token_counts, toxicity
+from . import decontaminate, html_extract, line_dedup, minhash, quality, suffix_tree, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -45,6 +45,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(token_counts.token_lengths(docs)))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 5) == 1
+    tree, counts = suffix_tree.train(docs.filter(~held_out))
+    scored = suffix_tree.score(docs, tree, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = line_dedup.dedup_lines(docs, min_sites=8, min_words=3)
@@ -67,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_quality": op4_quality,
         "op5_token_counts": op5_token_counts,
+        "op6_suffix_tree": op6_suffix_tree,
         "op8_line_dedup": op8_line_dedup,
         "op9_minhash": op9_minhash,
         "op10_html": op10_html,

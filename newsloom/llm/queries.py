@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, minhash, quality, suffix_tree, token_counts, toxicity
+from . import decontaminate, html_extract, line_dedup, minhash, packing, quality, suffix_tree, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -53,6 +53,12 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, settings=packing.Settings(window=2048, end_id=1))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = line_dedup.dedup_lines(docs, min_sites=8, min_words=3)
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_token_counts": op5_token_counts,
         "op6_suffix_tree": op6_suffix_tree,
+        "op7_packing": op7_packing,
         "op8_line_dedup": op8_line_dedup,
         "op9_minhash": op9_minhash,
         "op10_html": op10_html,

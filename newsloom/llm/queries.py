@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, minhash, packing, quality, suffix_tree, token_counts, toxicity
+from . import decontaminate, embedding_dedup, html_extract, line_dedup, minhash, packing, quality, suffix_tree, token_counts, toxicity
 from .common import crc_remainder, table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_duplicates(vectors, settings=embedding_dedup.Settings(threshold=0.95))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_remainder(F.col("doc_id"), 3) == 1
@@ -75,8 +80,15 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it stands at the top of the repository and imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_decontaminate": op3_decontaminate,
         "op4_quality": op4_quality,
@@ -86,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_minhash": op9_minhash,
         "op10_html": op10_html,
+        "pipeline": pipeline,
     }
 
 

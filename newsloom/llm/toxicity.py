@@ -1,8 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 ``score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)`` where
-``x_i`` says whether hashed term ``i`` occurs in the text. The factors learn
-pairs, such as an insult next to a group mention, that additive weights miss.
+``x_i`` says whether hashed term ``i`` occurs in the text. Terms are the words,
+their beginnings, and beginnings that occur twice or three times, so inflected
+forms of one stem count together. The factors learn pairs, such as an insult
+next to a group mention, that additive weights miss.
 Terms are fitted only if their association with the label is significant, so
 the many rare terms of a long text add no noise to its score.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +26,15 @@ from .labelled import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS = 26
+#: Lengths of the word beginnings that serve as terms.
+STEMS = (4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
 class Settings:
     """max_rows bounds the labelled documents that the model is fitted on, max_terms its size."""
 
-    max_rows: int = 16_000
+    max_rows: int = 10_000
     max_terms: int = 4_096
     min_docs: int = 8
     min_chi2: float = 30.0
@@ -57,9 +62,18 @@ class Model:
 
 
 def hashed_terms(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a text's lower-cased words."""
-    words = set(WORD.findall(text.lower()))
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) >> (32 - HASH_BITS) for w in words), np.int32, len(words)))
+    """Sorted distinct hashes of a text's lower-cased words and of their beginnings, by number of occurrences up to three."""
+    words = Counter(WORD.findall(text.lower()))
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    terms = list(words)
+    terms += [f"{p}*" for p in stems]
+    terms += [f"{p}**" for p, n in stems.items() if n > 1]
+    terms += [f"{p}***" for p, n in stems.items() if n > 2]
+    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) >> (32 - HASH_BITS) for t in terms), np.int32, len(terms)))
 
 
 def _copies_once(rows: list[np.ndarray]) -> np.ndarray:
@@ -76,14 +90,17 @@ def _significant(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> np.ndarr
     """The hashes whose occurrence depends on the label by the chi-square test, strongest first, at most max_terms."""
     if not len(rows) or y.min() == y.max():
         return np.zeros(0, np.int32)
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    terms, at = np.unique(np.concatenate(rows), return_inverse=True)
-    n = np.bincount(at, minlength=len(terms)).astype(float)
-    n1 = np.bincount(at, weights=np.repeat(y, lengths), minlength=len(terms))
+    terms, n = np.unique(np.concatenate(rows), return_counts=True)
+    often = n >= s.min_docs
+    terms, n = terms[often], n[often].astype(float)
+    positive, count = np.unique(np.concatenate([r for r, label in zip(rows, y) if label]), return_counts=True)
+    n1 = np.zeros(len(terms))
+    held = _positions(positive, terms)
+    n1[np.isin(terms, positive)] = count[held]
     N, N1 = float(len(y)), float(y.sum())
     a, b, c, d = n1, n - n1, N1 - n1, N - N1 - n + n1
     chi2 = N * (a * d - b * c) ** 2 / np.maximum(n * (N - n) * N1 * (N - N1), 1e-9)
-    good = np.flatnonzero((chi2 >= s.min_chi2) & (n >= s.min_docs))
+    good = np.flatnonzero(chi2 >= s.min_chi2)
     best = good[np.lexsort((terms[good], -chi2[good]))][: s.max_terms]
     return np.sort(terms[best])
 

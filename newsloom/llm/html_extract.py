@@ -3,7 +3,7 @@
 A page is cut into text blocks at block-level tags. The first pass decides a
 block by stop-word density, length and link density, and by the container it
 stands in. The second pass gives short or unclear blocks the label of their
-nearest decided neighbours. Blocks inside an ``article`` or ``main`` element
+nearest decided neighbour. Blocks inside an ``article`` or ``main`` element
 are the candidates where a page has such an element with text.
 """
 
@@ -137,23 +137,20 @@ def _first_pass(text: str, link_chars: int, in_scope: bool, heading: bool) -> st
     return "short" if in_scope else "bad"
 
 
-def _second_pass(labels: list[str], in_scope: bool) -> list[bool]:
-    """Unclear blocks take the label that their nearest decided neighbours share."""
-    before: list[str | None] = []
-    after: list[str | None] = []
-    for found, order in ((before, labels), (after, labels[::-1])):
-        last = None
-        for label in order:
-            found.append(last)
-            last = label if label in ("good", "bad") else last
-    keep = []
-    for label, left, right in zip(labels, before, after[::-1]):
+def _second_pass(labels: list[str], headings: list[bool], in_scope: bool) -> list[bool]:
+    """Unclear blocks take the label of the nearest decided block; of two as near, headings take the later one, others the earlier one."""
+    decided = [i for i, label in enumerate(labels) if label in ("good", "bad")]
+    keep, after = [], 0
+    for i, label in enumerate(labels):
+        while after < len(decided) and decided[after] < i:
+            after += 1
         if label in ("good", "bad"):
             keep.append(label == "good")
-        elif "good" in (left, right) and "bad" not in (left, right):
-            keep.append(True)
-        else:  # undecided: what stands in an article belongs to it, elsewhere only running text does
-            keep.append(in_scope or label == "near")
+            continue
+        near = [(abs(j - i), (j < i) == headings[i], labels[j]) for j in decided[max(0, after - 1) : after + 1]]
+        inherited = min(near)[2] if near else "bad"
+        # what stands in an article belongs to it unless its own links speak against it
+        keep.append(in_scope or inherited == "good" or label == "near" and not near)
     return keep
 
 
@@ -167,7 +164,8 @@ def main_text(html: str | None) -> str:
     in_scope = any(b[3] for b in blocks)
     if in_scope:
         blocks = [b for b in blocks if b[3]]
-    keep = _second_pass([_first_pass(text, links, in_scope, heading) for text, links, _, _, heading in blocks], in_scope)
+    labels = [_first_pass(text, links, in_scope, heading) for text, links, _, _, heading in blocks]
+    keep = _second_pass(labels, [b[4] for b in blocks], in_scope)
     return " ".join(b[0] for b, k in zip(blocks, keep) if k)
 
 

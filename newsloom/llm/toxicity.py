@@ -76,14 +76,19 @@ def hashed_terms(text: str) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) >> (32 - HASH_BITS) for t in terms), np.int32, len(terms)))
 
 
-def _copies_once(rows: list[np.ndarray]) -> np.ndarray:
-    """Positions of one row for each group of near copies, by four minima of permuted hashes."""
-    seen: dict[tuple, int] = {}
+def _copies_once(rows: list[np.ndarray], bands: int = 4, minima: int = 14) -> np.ndarray:
+    """Positions of rows that share no band of hash minima with an earlier row: near copies count once."""
+    rng = np.random.default_rng(0)
+    a = rng.integers(1, 2**63, (bands * minima, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen, first = set(), []
     for at, terms in enumerate(rows):
-        t = terms.astype(np.uint64)
-        key = tuple(int(((t * np.uint64(a) + np.uint64(b)) % np.uint64(4294967291)).min()) if len(t) else -1 for a, b in ((2654435761, 97), (2246822519, 13), (3266489917, 71), (668265263, 5)))
-        seen.setdefault(key, at)
-    return np.fromiter(seen.values(), np.int64, len(seen))
+        mixed = terms.astype(np.uint64)
+        least = (a * mixed + (a >> np.uint64(7))).min(1) if len(mixed) else a[:, 0]
+        keys = {(band, least[band * minima : (band + 1) * minima].tobytes()) for band in range(bands)}
+        if not keys & seen:
+            first.append(at)
+        seen |= keys
+    return np.array(first, np.int64)
 
 
 def _significant(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import retrieval  # noqa: F401
+from . import corpus, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

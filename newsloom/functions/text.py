@@ -152,10 +152,16 @@ def citation_record(index: Column, chunk_id: Column, title: Column, url: Column,
 
 
 def positions_of(text: Column, part: Column) -> Column:
-    """0-based starts of every occurrence, overlapping ones included; empty for an empty part."""
-    ends = F.length(text) - F.length(part)
-    every = F.when((F.length(part) > 0) & (ends >= 0), F.sequence(F.lit(0), ends)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.substring(text, i + 1, F.length(part)) == part)
+    """0-based starts of every occurrence, overlapping ones included; empty for an empty part.
+
+    The text is split before every occurrence, so the work is linear in it.
+    """
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    parts = F.split(text, literal, -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    ends = F.aggregate(parts, zero, lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+    found = F.filter(ends, lambda at, i: (i > 0) | F.startswith(text, part))
+    return F.when((F.length(part) > 0) & F.contains(text, part), found).otherwise(F.array().cast("array<int>"))
 
 
 def quote_supported(text: Column, quote: Column, spans: Column) -> Column:

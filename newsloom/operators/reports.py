@@ -62,7 +62,8 @@ def review_status(rows: DataFrame) -> DataFrame:
 
     rows: question_id, label, decision, reason_codes.
     """
-    counts = rows.groupBy(F.explode(F.array(F.struct(F.lit("decision").alias("kind"), F.coalesce("decision", F.lit("none")).alias("value")), F.struct(F.lit("label").alias("kind"), F.coalesce("label", F.lit("none")).alias("value")))).alias("k")).agg(F.count("*").alias("n")).select("k.kind", "k.value", "n")
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.lit("none")).alias("value")) for k in ("decision", "label")])
+    counts = rows.select(F.explode(pairs).alias("k")).groupBy("k.kind", "k.value").agg(F.count("*").alias("n"))
     issues = rows.select(F.explode("reason_codes").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit("issue").alias("kind"), "value", "n")
     ready = rows.agg(F.coalesce(F.bool_and(F.col("decision").isNotNull()), F.lit(False)).cast("string").alias("value"), F.count("*").alias("n")).select(F.lit("ready").alias("kind"), "value", "n")
     return counts.unionByName(issues).unionByName(ready)

@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import corpus, pages, retrieval, runs  # noqa: F401
+from . import corpus, pages, retrieval, review, runs  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -254,7 +254,7 @@ def slug(text: Column, length: int = 80, default: str = "article") -> Column:
 
 
 #: Typographic signs and the plain signs that stand for them.
-SMART, PLAIN = "‘’“”–— ", "''\"\"-- "
+SMART, PLAIN = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
 
 
 def cleaned(text: Column) -> Column:

@@ -21,9 +21,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """cosine: 1 - cos; l2: squared Euclidean; ip: 1 - inner product."""
+    """cosine: 1 - cos, 1 for zero vectors; l2: squared Euclidean; ip: 1 - inner product."""
     if metric == "cosine":
-        return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+        return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
     if metric == "l2":
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
     if metric == "ip":

@@ -25,7 +25,8 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on eight or more sites stay once; a document whose text they were altogether goes."""
     out = line_dedup.dedup_lines(docs, min_sites=8, min_words=3)
     emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
-    return out.filter(~emptied).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return out.filter(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

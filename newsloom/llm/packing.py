@@ -41,10 +41,13 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     """Token ids of texts for a tokenizer whose pre-tokenizer never joins text across ASCII blanks.
 
-    A text's ids are then those of its blank-separated chunks in order; the
-    ids of up to ``cache_chunks`` chunks are kept and every chunk is encoded once.
+    A text's ids are then those of its blank-separated chunks in order. The ids
+    of known chunks are kept; when there are more than ``cache_chunks``, those
+    seen once go. New chunks are encoded together, a separator between them.
     """
 
+    SEPARATOR = b"\x01"
+
     def __init__(self, path: str, s: Settings):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -52,31 +55,64 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.s = s
-        self.clear()
-
-    def clear(self):
+        upper = "THE Quick NEWS"
+        self.folds = self.ids_of([upper]) == self.ids_of([upper.lower()])  # then A-Z may be lowered first, for fewer chunks
+        self.mark = self.ids_of([self.SEPARATOR.decode()])[0]
         self.at: dict[bytes, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def forget(self):
+        """Keep the chunks seen more than once, or none if those are too many themselves."""
+        keep = np.flatnonzero(self.seen > 1)
+        keep = keep if len(keep) < self.s.cache_chunks * 3 // 4 else keep[:0]
+        words = list(self.at)
+        self.at = {words[i]: n for n, i in enumerate(keep.tolist())}
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts, self.sizes, self.seen = ends - sizes, sizes, np.ones(len(keep), np.int64)
 
     def learn(self, new: list[bytes]):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.r_[self.starts, len(self.flat) + np.r_[0, np.cumsum(sizes)[:-1]]]
-        self.sizes = np.r_[self.sizes, sizes]
-        self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.uint32, sizes.sum())]
+        apart = len(self.mark) != 1
+        odd = [i for i, c in enumerate(new) if apart or self.SEPARATOR in c]
+        plain = [c for c in new if self.SEPARATOR not in c] if not apart else []
+        found = []
+        joined = [(b" " + self.SEPARATOR + b" ").join(plain[i : i + 500]).decode("utf-8", "replace") for i in range(0, len(plain), 500)]
+        for ids in self.ids_of(joined):
+            ids = np.array(ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark[0])
+            found.append((np.delete(ids, cuts), np.diff(np.r_[-1, cuts, len(ids)]) - 1))
+        flat = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint32)
+        sizes = np.concatenate([z for _, z in found]) if found else np.zeros(0, np.int64)
+        if odd:
+            order = [c for c in new if self.SEPARATOR not in c] if not apart else []
+            by_chunk = dict(zip(order, np.split(flat, np.cumsum(sizes)[:-1]))) if order else {}
+            by_chunk |= {new[i]: np.array(self.ids_of([new[i].decode("utf-8", "replace")])[0], np.uint32) for i in odd}
+            sizes = np.fromiter((len(by_chunk[c]) for c in new), np.int64, len(new))
+            flat = np.concatenate([by_chunk[c] for c in new])
+        self.starts = np.r_[self.starts, len(self.flat) + np.r_[0, np.cumsum(sizes)[:-1]]].astype(np.int64)
+        self.sizes = np.r_[self.sizes, sizes].astype(np.int64)
+        self.seen = np.r_[self.seen, np.zeros(len(new), np.int64)]
+        self.flat = np.r_[self.flat, flat].astype(np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text followed by the end id."""
         if len(self.at) > self.s.cache_chunks:
-            self.clear()
+            self.forget()
         at, known, chunks, counts = self.at, len(self.at), [], []
         for t in texts:
-            own = t.encode("utf-8", "replace").split()
+            raw = t.encode("utf-8", "replace")
+            own = (raw.lower() if self.folds else raw).split()
             chunks.extend([at.setdefault(c, len(at)) for c in own])
             counts.append(len(own))
         if len(at) > known:
             self.learn(list(at)[known:])
         chunk = np.array(chunks, np.int64)
+        self.seen += np.bincount(chunk, minlength=len(self.seen))
         sizes = self.sizes[chunk]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[chunk] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
@@ -84,12 +120,22 @@ class ChunkEncoder:
         return [np.append(x, np.uint32(self.s.end_id)) for x in np.split(ids, upto[:-1])]
 
 
+_ENCODERS: dict[tuple, ChunkEncoder] = {}
+
+
+def shared_encoder(path: str, s: Settings) -> ChunkEncoder:
+    """One encoder per worker process, so that what it knows serves the worker's later tasks."""
+    if (path, s) not in _ENCODERS:
+        _ENCODERS[path, s] = ChunkEncoder(path, s)
+    return _ENCODERS[path, s]
+
+
 def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, ids binary): little-endian unsigned 32-bit ids, the end id last; null texts count as empty."""
     path, s = tokenizer or default_tokenizer(), settings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(path, s)
+        encoder = shared_encoder(path, s)
         for batch in batches:
             texts, start = [t or "" for t in batch["t"]], 0
             while start < len(texts):

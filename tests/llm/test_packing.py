@@ -17,8 +17,10 @@ def whole(texts):
 
 
 def test_chunked_encoding_equals_whole_texts():
-    texts = ["", " ", "Hello  World's\n it'll <|endoftext|> don't", "Éá ÎΣ ΑΣ Σ x y \x85z \x1cq", "a\tb\x0bc\x0cd", "the&&& th%%% 12 3½ 日本語 text", "İstanbul ǅ ﬁ ́ ̈u", "x" * 5000]
-    assert [list(x) for x in packing.ChunkEncoder(packing.default_tokenizer(), S).encode(texts)] == whole(texts)
+    texts = ["", " ", "Hello  World's\n it'll <|endoftext|> don't", "Éá ÎΣ ΑΣ Σ x y \x85z \x1cq", "a\tb\x0bc\x0cd", "the&&& th%%% 12 3½ 日本語 text", "İstanbul ǅ ﬁ ́ ̈u", "x" * 5000, "a\x01b c \x01 d", "\x01"]
+    encoder = packing.ChunkEncoder(packing.default_tokenizer(), packing.Settings(cache_chunks=20))
+    for part in (texts, texts[3:], ["a a b b", "Éá a"], texts, texts):  # the cache overflows in between
+        assert [list(x) for x in encoder.encode(part)] == whole(part)
 
 
 def check(rows, pieces, window):

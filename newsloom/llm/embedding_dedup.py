@@ -71,8 +71,29 @@ def _nodes(classes: DataFrame) -> DataFrame:
     return classes.select("node", "v").mapInPandas(run, "node long, v16 binary, v64 binary")
 
 
+def _groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups and where each group starts, for rows sorted by ``keys``: small groups cost no call each."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if len(rows):
+            values = rows[list(keys)].to_numpy()
+            starts = np.r_[0, np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1]
+            if len(starts) > 1:
+                yield rows.iloc[: starts[-1]], starts
+            rest = rows.iloc[starts[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def _neighbour_rows(found: list[tuple]) -> pd.DataFrame:
+    if not found:
+        return pd.DataFrame({"node": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64), "cos": np.zeros(0, np.float32)})
+    return pd.DataFrame({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("node", "nbr", "cos"))})
+
+
 def _leaves(vectors: DataFrame, dim: int, n: int, s: Settings, repeat: int) -> DataFrame:
-    """(tree, leaf, node, v16): random-projection leaves of about ``s.leaf`` nodes.
+    """(tree, la, lb, node, v16): random-projection leaves of about ``s.leaf`` nodes.
 
     Leaves that stay large after all bits hold vectors of nearly one direction;
     those are dealt into parts by hash, and the descent joins the parts again.
@@ -98,30 +119,29 @@ def _leaves(vectors: DataFrame, dim: int, n: int, s: Settings, repeat: int) -> D
     leaf = F.when(F.col("n1") <= 4 * s.leaf, F.struct(F.col("short").alias("a"), F.lit(-1).cast("long").alias("b"))).otherwise(
         F.struct((F.col("code") + (1 << more)).alias("a"), F.pmod(F.xxhash64("node", "tree"), parts).alias("b"))
     )
-    placed = codes.join(sizes, ["tree", "code"]).select("node", "tree", leaf.alias("leaf"))
+    placed = codes.join(sizes, ["tree", "code"]).select("node", "tree", leaf.alias("leaf")).select("node", "tree", F.col("leaf.a").alias("la"), F.col("leaf.b").alias("lb"))
     return placed.join(vectors.select("node", "v16"), "node")
 
 
 def _in_leaves(leaves: DataFrame, s: Settings) -> DataFrame:
     """(node, nbr, cos): the nearest nodes inside each leaf."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x = group["node"].to_numpy(), _unit16(group["v16"])
-        out_n, out_m, out_c = [], [], []
+    def nearest(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
         k = min(s.neighbours, len(ids) - 1)
-        if k < 1:
-            return pd.DataFrame({"node": [], "nbr": [], "cos": []})
-        for start in range(0, len(ids), 1024):
+        for start in range(0, len(ids) if k > 0 else 0, 1024):
             c = x[start : start + 1024] @ x.T
             rows = np.arange(len(c))
             c[rows, start + rows] = -2
             best = np.argpartition(-c, k - 1, axis=1)[:, :k]
-            out_n.append(np.repeat(ids[start : start + 1024], k))
-            out_m.append(ids[best].ravel())
-            out_c.append(c[rows[:, None], best].ravel())
-        return pd.DataFrame({"node": np.concatenate(out_n), "nbr": np.concatenate(out_m), "cos": np.concatenate(out_c)})
+            yield np.repeat(ids[start : start + 1024], k), ids[best].ravel(), c[rows[:, None], best].ravel()
 
-    return leaves.groupBy("tree", "leaf").applyInPandas(run, "node long, nbr long, cos float")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _groups(batches, "tree", "la", "lb"):
+            ids, x = rows["node"].to_numpy(), _unit16(rows["v16"])
+            yield _neighbour_rows([f for a, b in zip(starts, starts[1:]) for f in nearest(ids[a:b], x[a:b])])
+
+    dealt = leaves.repartition("tree", "la", "lb").sortWithinPartitions("tree", "la", "lb", "node")
+    return dealt.mapInPandas(run, "node long, nbr long, cos float")
 
 
 def _lists(found: DataFrame, s: Settings) -> DataFrame:
@@ -154,15 +174,19 @@ def _descend(lists: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     known = vectors.select("node", "v16").join(worst, "node", "left")
     groups = ahead.unionByName(behind).distinct().join(known, "node")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x = group["node"].to_numpy(), _unit16(group["v16"])
-        worst = group["worst"].fillna(-2.0).to_numpy()
-        c = x @ x.T
-        np.fill_diagonal(c, -2)
-        a, b = np.nonzero(c > worst[:, None] + 1e-6)
-        return pd.DataFrame({"node": ids[a], "nbr": ids[b], "cos": c[a, b]})
-
-    return groups.groupBy("at").applyInPandas(run, "node long, nbr long, cos float")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _groups(batches, "at"):
+            ids, x, worst = rows["node"].to_numpy(), _unit16(rows["v16"]), rows["worst"].fillna(-2.0).to_numpy()
+            found = []
+            for i, j in zip(starts, starts[1:]):
+                c = x[i:j] @ x[i:j].T
+                np.fill_diagonal(c, -2)
+                a, b = np.nonzero(c > worst[i:j, None] + 1e-6)
+                found.append((ids[i:j][a], ids[i:j][b], c[a, b]))
+            yield _neighbour_rows(found)
+
+    dealt = groups.repartition("at").sortWithinPartitions("at", "node")
+    return dealt.mapInPandas(run, "node long, nbr long, cos float")
 
 
 def _audit(vectors: DataFrame, lists: DataFrame, s: Settings) -> float:

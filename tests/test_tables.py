@@ -213,3 +213,21 @@ def test_stream_append_and_upsert_are_idempotent(spark, folder):
         incremental.upsert_chunks(stream.select("k", "status"), f"{folder}/up", f"{folder}/cu{_}", id="k").awaitTermination(60)
     v = sinks.version(spark, f"{folder}/up")
     assert spark.read.parquet(f"{folder}/up/v={v}").count() == 2
+
+
+def test_model_seams(spark):
+    from newsloom.operators import seams
+
+    q = spark.createDataFrame([("1", "Why did he leave?"), ("2", "Who won the cup?"), ("3", None)], "question_id string, question string")
+    got = {r.question_id: r.label for r in seams.apply_model(q, seams.rule_triage, seams.TRIAGE).collect()}
+    assert got == {"1": "context_dependent", "2": "standalone", "3": "standalone"}
+    cache = spark.createDataFrame([("2", "cached", ["x"], 1.0)], seams.TRIAGE)
+    got = {r.question_id: r.label for r in seams.apply_pending(q, cache, ["question_id"], seams.rule_triage, seams.TRIAGE).collect()}
+    assert got == {"1": "context_dependent", "2": "cached", "3": "standalone"}
+    spans = "array<struct<start:int,end:int,text:string>>"
+    questions = spark.createDataFrame([("1", "a", "q", "t", [(2, 4, "23")])], f"question_id string, article_id string, question string, ground_truth string, evidence_spans {spans}")
+    articles = spark.createDataFrame([("a", "012345"), ("b", "best q line\nother")], "article_id string, text string")
+    scored = spark.createDataFrame([("1", "a", "b", 1.0), ("1", "a", "a", 9.0)], "question_id string, source_article_id string, article_id string, score double")
+    candidates = review.competing_candidates(scored, articles, questions)
+    row = seams.review_requests(questions, articles, candidates).first()
+    assert row.window == "01[EVIDENCE]45" and [(c.article_id, c.snippet) for c in row.competitors] == [("b", "best q line")]

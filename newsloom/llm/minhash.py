@@ -6,10 +6,10 @@ buckets. Links are confirmed by the signature, then on the full sets, and
 joined into components by large-star and small-star.
 
 No bucket is expanded into all its pairs. First every member is compared with
-the bucket's smallest id. What a bucket then still holds in several
-components is compared across those components, all members against those
-outside the bucket's most frequent component; pairs inside a component can
-change nothing.
+the bucket's smallest id. A bucket that then still spans several components
+is compared across them inside tasks: blocks of the members outside its most
+frequent component with blocks of all members. Only the links that join two
+components leave a task; pairs inside a component change nothing.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class Settings:
     #: How far below the threshold, in standard errors, a signature may fall and still be confirmed on the sets.
     sigmas: float = 4.5
     seed: int = 1
+    block: int = 512  # members of a bucket that a task compares with as many others
     cache_words: int = 200_000
     slice_chars: int = 1_000_000
 
@@ -163,6 +164,68 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.mapInPandas(run, "u long, v long")
 
 
+def _joined_across(members: DataFrame, slim: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Edges (u, v) that join the parts of buckets; members: (bucket, node, part, top, n, n_out).
+
+    ``top`` is the bucket's most frequent part, n and n_out count its members
+    and those outside that part. A block of the latter and a block of all
+    members are a group. Two members in different parts are confirmed on the
+    full sets if the signatures allow it; their parts are one from then on.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / s.block).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = members.withColumn("ni", blocks("n_out")).withColumn("nj", blocks("n"))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    left = dealt.filter("part <> top").select("bucket", own("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("side"), "node", "part")
+    right = dealt.select("bucket", every("ni").alias("i"), own("nj").alias("j"), F.lit(1).alias("side"), "node", "part")
+    rows = left.unionByName(right).join(slim, "node").join(texts, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
+
+    def links(group: list[tuple], shingler: Shingler) -> Iterator[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+
+        def full(k):
+            if k not in sets:
+                sets[k] = shingler.shingles(group[k][8])
+            return sets[k]
+
+        side = np.array([g[3] for g in group])
+        sizes = np.array([g[6] for g in group])
+        sigs = np.frombuffer(b"".join(g[7] for g in group), np.uint32).reshape(len(group), -1)
+        right = np.flatnonzero(side == 1)
+        for a in np.flatnonzero(side == 0):
+            fits = np.minimum(sizes[right], sizes[a]) * 100 >= np.maximum(sizes[right], sizes[a]) * s.percent
+            agree = (sigs[right] == sigs[a]).mean(1)
+            for b in right[fits & (agree >= s.least_agreement)]:
+                x, y = find(group[a][5]), find(group[b][5])
+                if x != y:
+                    common = len(np.intersect1d(full(a), full(b), assume_unique=True))
+                    if 100 * common >= s.percent * (len(full(a)) + len(full(b)) - common):
+                        root[x] = y
+                        yield int(group[a][4]), int(group[b][4])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, group, key = Shingler(s), [], None
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[:3] != key:
+                    found += links(group, shingler) if group else []
+                    group, key = [], row[:3]
+                group.append(row)
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        if group:
+            yield pd.DataFrame(list(links(group, shingler)), columns=["u", "v"], dtype="int64")
+
+    return rows.select("bucket", "i", "j", "side", "node", "part", "n_shingles", "sig", "text").mapInPandas(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row per document.
 
@@ -188,16 +251,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = stored(_confirmed(_agreeing(first, slim, s), texts, s))
     parts = connected_components(edges)
 
-    # buckets that still span components: all members against those outside the largest part
+    # buckets that still span components; of buckets with equal members one is enough
     placed = shared.join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all")).filter("parts > 1 AND all > 2").select("bucket", F.col("top.part").alias("top"))
-    split = stored(placed.join(largest, "bucket"))
-    outside = split.filter("part <> top").select("bucket", F.col("node").alias("x"), F.col("part").alias("part_x"), F.col("p").alias("pivot"))
-    inside = split.select("bucket", F.col("node").alias("p"), F.col("part").alias("part_p"))
-    untested = (F.col("part_x") != F.col("part_p")) & (F.col("x") != F.col("pivot")) & (F.col("p") != F.col("pivot"))
-    rest = outside.join(inside, "bucket").filter(untested).select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
-    more = stored(_confirmed(_agreeing(rest, slim, s), texts, s))
+    by_part = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
+    spans = by_part.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.sum("h").alias("same"), F.count("*").alias("parts")).filter("parts > 1 AND n > 2")
+    spans = spans.select("bucket", "n", "same", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("n_out"))
+    open_buckets = spans.groupBy("n", "same").agg(F.min(F.struct("bucket", "top", "n_out")).alias("b")).select("b.bucket", "b.top", "n", "b.n_out")
+    more = stored(_joined_across(placed.select("bucket", "node", "part").join(open_buckets, "bucket"), slim, texts, s))
     parts = connected_components(parts.unionByName(more))
 
     # an exact copy reaches its node's component, whatever its own id

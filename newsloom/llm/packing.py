@@ -130,8 +130,15 @@ def shared_encoder(path: str, s: Settings) -> ChunkEncoder:
     return _ENCODERS[path, s]
 
 
-def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, ids binary): little-endian unsigned 32-bit ids, the end id last; null texts count as empty."""
+def narrowest(path: str) -> str:
+    """The least little-endian type that holds every id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, settings: Settings = Settings(), kind_of_id: str = "<u4") -> DataFrame:
+    """(doc_id, ids binary): ids as numpy type ``kind_of_id``, the end id last; null texts count as empty."""
     path, s = tokenizer or default_tokenizer(), settings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +151,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokeniz
                     size += len(texts[stop])
                     stop += 1
                 ids = encoder.encode(texts[start:stop])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].array[start:stop], "ids": [i.astype("<u4").tobytes() for i in ids]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].array[start:stop], "ids": [i.astype(kind_of_id).tobytes() for i in ids]})
                 start = stop
 
     kind = dict(docs.dtypes)[doc_id]
@@ -240,16 +247,18 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(group["doc_id"].isna(), group["doc_id"], group["ids"]), key=lambda r: (r[0], 0 if r[0] else r[1], r[2]))
-        ids = [np.frombuffer(r[2], "<u4") for r in rows]
+        ids = [np.frombuffer(r[2], narrow) for r in rows]
         pieces = pack_shard(ids, s)
         base = int(group["shard"].iloc[0]) << 32
         out = pd.DataFrame(pieces, columns=["d", "start", "length", "sequence_id", "offset"])
         out["sequence_id"] += base
         out["doc_id"] = pd.Series([None if rows[d][0] else rows[d][1] for d in out["d"]], dtype=object)
         out["doc_tokens"] = [len(ids[d]) for d in out["d"]]
-        out["ids"] = [ids[d][a : a + n].tobytes() for d, a, n in zip(out["d"], out["start"], out["length"])]
+        out["ids"] = [ids[d][a : a + n].astype("<u4").tobytes() for d, a, n in zip(out["d"], out["start"], out["length"])]
         return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = encoded(docs, doc_id, text, tokenizer, s).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("ids"), F.crc32("ids")), F.lit(n_shards)))
+    path = tokenizer or default_tokenizer()
+    narrow = narrowest(path)  # what is shuffled is half as wide for up to 65,536 ids
+    dealt = encoded(docs, doc_id, text, path, s, narrow).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("ids"), F.crc32("ids")), F.lit(n_shards)))
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("doc_id", doc_id)

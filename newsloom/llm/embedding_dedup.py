@@ -5,8 +5,13 @@ leaves starts a neighbour graph, which rounds of neighbours-of-neighbours
 joins refine; a node whose whole list lies over the threshold is saturated and
 gets a longer list. An audit compares sampled nodes with all vectors, and a
 recall under the target adds trees and rounds. Threshold edges, recomputed in
-double precision, give the components; inside each component every pair is
-compared in blocks, so that lists of any final length count all links.
+double precision, give the components. A node whose list ends before the
+threshold may have links beyond it: such open nodes are covered by cells, and
+the cells of different components that the triangle inequality leaves within
+reach are compared whole, which joins what the lists hold apart. Inside each
+component every pair is compared in blocks, so that lists of any final length
+count all links. A last audit takes all true links of the sampled nodes; a
+share under the target that lies inside the components is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from .components import connected_components
 class Settings:
     threshold: float = 0.95
     neighbours: int = 8
-    longest: int = 32  # lists double up to this; longer ones are completed inside components
+    longest: int = 32  # lists double up to this; what lies beyond is found between cells and counted inside components
     trees: int = 10
     leaf: int = 160
     rounds: int = 2
@@ -36,6 +41,8 @@ class Settings:
     recall: float = 0.98
     repeats: int = 3
     block: int = 512
+    radius: float = 0.15  # angle that a cell of open nodes covers
+    cells: int = 4096  # cells compared with each other in a task
     seed: int = 5
 
 
@@ -164,18 +171,21 @@ def _lists(found: DataFrame, s: Settings) -> DataFrame:
 def _descend(lists: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """(node, nbr, cos): neighbours of neighbours that improve a list.
 
-    A node's group holds its list and, of the lists that name it, as many of
-    the nearest ones; all pairs of a group of bounded size are compared.
+    The nodes whose lists name a node are dealt into parts of about a plain
+    list's length; a group holds the node, its list and one part. All pairs of
+    a group of bounded size are compared.
     """
-    back = Window.partitionBy("at").orderBy(F.desc("cos"), "node")
-    ahead = lists.select(F.col("node").alias("at"), F.col("nbr").alias("node"))
-    behind = lists.select(F.col("nbr").alias("at"), "node", "cos").withColumn("r", F.row_number().over(back)).filter(F.col("r") <= s.neighbours).select("at", "node")
+    named = lists.groupBy(F.col("nbr").alias("at")).agg(F.ceil(F.count("*") / s.neighbours).cast("int").alias("parts"))
+    own = lists.select(F.col("node").alias("at"), F.explode(F.array("node", "nbr")).alias("node"))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    ahead = own.join(named, "at", "left").select("at", each.alias("part"), "node")
+    behind = lists.select(F.col("nbr").alias("at"), "node").join(named, "at").select("at", F.pmod(F.xxhash64("node", "at"), F.col("parts")).cast("int").alias("part"), "node")
     worst = lists.groupBy("node").agg(F.max("worst").alias("worst"))
     known = vectors.select("node", "v16").join(worst, "node", "left")
     groups = ahead.unionByName(behind).distinct().join(known, "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in _groups(batches, "at"):
+        for rows, starts in _groups(batches, "at", "part"):
             ids, x, worst = rows["node"].to_numpy(), _unit16(rows["v16"]), rows["worst"].fillna(-2.0).to_numpy()
             found = []
             for i, j in zip(starts, starts[1:]):
@@ -185,7 +195,7 @@ def _descend(lists: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
                 found.append((ids[i:j][a], ids[i:j][b], c[a, b]))
             yield _neighbour_rows(found)
 
-    dealt = groups.repartition("at").sortWithinPartitions("at", "node")
+    dealt = groups.repartition("at", "part").sortWithinPartitions("at", "part", "node")
     return dealt.mapInPandas(run, "node long, nbr long, cos float")
 
 
@@ -250,6 +260,109 @@ def _confirmed(lists: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     return near.join(side("u"), "u").join(side("v"), "v").mapInPandas(run, "u long, v long")
 
 
+def _cells(members: DataFrame, s: Settings) -> DataFrame:
+    """(cell, part, radius, node, v64): nodes of a component dealt to leaders, ``s.radius`` from them at most; a cell is named by its leader."""
+
+    def cover(ids: np.ndarray, x: np.ndarray, blob: np.ndarray, part: int) -> pd.DataFrame:
+        cell, radius = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        left = np.arange(len(ids))
+        while len(left):
+            angle = np.arccos(np.clip(x[left] @ x[left[0]], -1, 1))
+            near = angle <= s.radius
+            near[0] = True
+            cell[left[near]], radius[left[near]] = ids[left[0]], angle[near].max()
+            left = left[~near]
+        return pd.DataFrame({"cell": cell, "part": part, "radius": radius, "node": ids, "v64": blob})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _groups(batches, "part", "own"):
+            ids, x, blob, part = rows["node"].to_numpy(), _unit64(rows["v64"]), rows["v64"].to_numpy(), rows["part"].to_numpy()
+            yield pd.concat([cover(ids[a:b], x[a:b], blob[a:b], part[a]) for a, b in zip(starts, starts[1:])], ignore_index=True)
+
+    blocks = F.ceil(F.col("m") / s.block)
+    dealt = members.join(members.groupBy("part").agg(F.count("*").alias("m")), "part").select("node", "part", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), "v64")
+    return dealt.repartition("part", "own").sortWithinPartitions("part", "own", "node").mapInPandas(run, "cell long, part long, radius double, node long, v64 binary")
+
+
+REACH = 1e-5  # angle added to what cells may be apart, over the rounding of angles
+
+
+def _bridges(lists: DataFrame, parts: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
+    """Edges (u, v) that join components through open nodes, one at least for each two cells that hold a link.
+
+    parts: (node, part). A node is open if its list holds nothing under the
+    threshold, so that links may follow after the list's end. Angles obey the
+    triangle inequality: cells whose leaders lie further apart than both radii
+    and the threshold's angle hold no link between them.
+    """
+    opened = lists.groupBy("node").agg(F.min("cos").alias("least")).filter(F.col("least") >= s.threshold - SLACK).select("node")
+    members = parts.select("node", "part").join(opened, "node").join(vectors.select("node", "v64"), "node")
+    held = stored(_cells(members, s))
+    leaders = held.filter("cell = node").select("cell", "part", "radius", "v64")
+    n_blocks = max(1, -(-leaders.count() // s.cells))
+    own = F.pmod(F.xxhash64("cell"), F.lit(n_blocks)).cast("int")
+    dealt = leaders.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    angle = float(np.arccos(np.clip(s.threshold, -1, 1)))
+
+    def reach(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        x, radius, part, cell, block = _unit64(g["v64"]), g["radius"].to_numpy(), g["part"].to_numpy(), g["cell"].to_numpy(), g["own"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = [(cell[:0], cell[:0])]
+        for start in range(0, len(left), 512):
+            own = left[start : start + 512]
+            apart = np.arccos(np.clip(x[own] @ x[right].T, -1, 1))
+            a, b = np.nonzero((apart <= radius[own, None] + radius[right] + angle + REACH) & (part[own, None] != part[right]))
+            out.append((cell[own][a], cell[right][b]))
+        a, b = (np.concatenate(o) for o in zip(*out))
+        keep = a < b if i == j else slice(None)
+        return pd.DataFrame({"a": a[keep], "b": b[keep]})
+
+    near = stored(dealt.groupBy("i", "j").applyInPandas(reach, "a long, b long"))
+    sides = [near.join(held.select(F.col("cell").alias(c), "node", "v64"), c).select("a", "b", F.lit(c == "a").alias("first"), "node", "v64") for c in ("a", "b")]
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _groups(batches, "a", "b"):
+            x, first, ids = _unit64(rows["v64"]), rows["first"].to_numpy(), rows["node"].to_numpy()
+            found = []
+            for i, j in zip(starts, starts[1:]):
+                left, right = i + np.flatnonzero(first[i:j]), i + np.flatnonzero(~first[i:j])
+                cos = x[left] @ x[right].T
+                best = np.unravel_index(cos.argmax(), cos.shape)
+                if cos[best] >= s.threshold:
+                    found.append((ids[left[best[0]]], ids[right[best[1]]]))
+            yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+
+    both = sides[0].unionByName(sides[1]).repartition("a", "b").sortWithinPartitions("a", "b")
+    return both.mapInPandas(linked, "u long, v long")
+
+
+def _audit_parts(vectors: DataFrame, parts: DataFrame, s: Settings) -> float:
+    """Share of all true links of sampled nodes whose ends lie in one component of (node, part): those are counted."""
+    sample = vectors.select("node", "v64").orderBy(F.xxhash64("node", F.lit(s.seed)), "node").limit(s.audited).toPandas()
+    if not len(sample):
+        return 1.0
+    shared = vectors.sparkSession.sparkContext.broadcast((sample["node"].to_numpy(), _unit64(sample["v64"])))  # s.audited vectors
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        for batch in batches:
+            if len(batch):
+                a, b = np.nonzero(q @ _unit64(batch["v64"]).T >= s.threshold)
+                yield pd.DataFrame({"node": ids[a], "other": batch["node"].to_numpy()[b]})
+
+    true = vectors.select("node", "v64").mapInPandas(run, "node long, other long").filter("node <> other")
+    ends = true.join(parts.select("node", "part"), "node").join(parts.select(F.col("node").alias("other"), F.col("part").alias("part_o")), "other")
+    row = ends.agg(F.count("*").alias("n"), F.count_if(F.col("part") == F.col("part_o")).alias("h")).first()
+    return 1.0 if not row["n"] else row["h"] / row["n"]
+
+
+def _labels(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """``nodes`` with the smallest node of each one's component as ``part``."""
+    return nodes.join(components.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
 def _counted(parts: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """(node, n_links): links to rows of other nodes, counted over all pairs of each component in blocks.
 
@@ -291,7 +404,8 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     own each time; ``kept`` then marks all rows with the component's smallest
     id. A null id takes part under no id: it is kept only if all ids of its
     component are null. Columns of other names are ignored; an empty table
-    gives an empty table.
+    gives an empty table. If the components hold less than ``settings.recall``
+    of the sampled nodes' true links, a RuntimeError says so.
     """
     s = settings
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
@@ -303,9 +417,15 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
         own = classes.filter(F.size("v") == dim)
         vectors = stored(_nodes(own))
         lists, _ = neighbour_graph(vectors, dim, s)
-        parts = connected_components(_confirmed(lists, vectors, s))
-        labelled = own.select("node", "first_id", "size").join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        labelled = stored(labelled)
+        nodes = own.select("node", "first_id", "size")
+        components = connected_components(_confirmed(lists, vectors, s))
+        labelled = stored(_labels(nodes, components))
+        bridges = stored(_bridges(lists, labelled, vectors, s))
+        if not bridges.isEmpty():
+            labelled = stored(_labels(nodes, connected_components(components.unionByName(bridges))))
+        held = _audit_parts(vectors, labelled, s)
+        if held < s.recall:
+            raise RuntimeError(f"components hold {held:.4f} of the audited links of vectors of length {dim}, under {s.recall}")
         smallest = labelled.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m"))
         linked = labelled.join(smallest.filter("m > 1").select("part"), "part", "left_semi").select("node", "part", "size")
         counts = _counted(linked, vectors, s)

@@ -64,3 +64,26 @@ def test_empty_repeated_and_null_ids(spark):
     table = spark.createDataFrame([(7, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (None, [1.0, 0.0], 0), (3, None, 0)], SCHEMA)
     got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in nn.near_duplicates(table).collect())
     assert got == [(-1, 1, 7, False), (3, 0, 3, True), (7, 0, 7, True), (7, 1, 7, True)]
+
+
+def test_tight_groups_that_link_with_each_other_are_one_component(spark):
+    rng = np.random.default_rng(4)
+    dim, n = 24, 120
+    a = np.eye(dim)[0]
+    b = np.cos(0.25) * a + np.sin(0.25) * np.eye(dim)[1]  # cosine 0.969 between the centres
+    far = np.eye(dim)[5]
+    x = np.concatenate([c + rng.normal(size=(n, dim)) * 0.006 for c in (a, b, far)] + [rng.normal(size=(200, dim))])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    for s in (nn.Settings(), nn.Settings(block=50, cells=2, radius=0.03)):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn.near_duplicates(table, settings=s).collect()}
+        assert got == brute(rows)
+    assert {got[i][1] for i in range(2 * n)} == {0} and got[2 * n][1] == 2 * n
+
+
+def test_the_last_audit_takes_all_links(spark):
+    rng = np.random.default_rng(6)
+    x = np.eye(8)[0] + rng.normal(size=(90, 8)) * 0.005
+    vectors = nn._nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>"))
+    parts = spark.createDataFrame([(i, i // 45) for i in range(90)], "node long, part long")
+    assert nn._audit_parts(vectors, parts, nn.Settings()) == 2 * 45 * 44 / (90 * 89)

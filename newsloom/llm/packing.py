@@ -1,7 +1,10 @@
 """Lexical retrieval packing of documents into token sequences.
 
-Documents are encoded in tasks and dealt into shards by hash. Each shard holds
-a BM25 inverted index over the token ids of its whole documents. Every seed
+Documents are encoded in tasks and routed by content into shards: their BM25
+vectors, weighted with the corpus's document frequencies, are projected to few
+dimensions and descend a tree of splits that a sample of the corpus gave, so
+that a shard holds related documents at any corpus size. Each shard holds a
+BM25 inverted index over the token ids of its whole documents. Every seed
 document queries the index; the unused neighbours that it returns fill the
 seed's window greedily, the last one cut where the window ends. Runs of a
 document that fill a window alone become sequences of their own.
@@ -18,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -30,6 +35,9 @@ class Settings:
     least_cut: int = 32  # a window with fewer free places is padded rather than filled with a fragment
     cache_chunks: int = 400_000
     slice_chars: int = 1_000_000
+    dims: int = 96  # of the projection that routes documents
+    sample: int = 40_000  # documents that the routing tree is made from
+    seed: int = 7
 
 
 def default_tokenizer() -> str:
@@ -159,10 +167,141 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokeniz
     return rows.mapInPandas(run, f"doc_id {kind}, ids binary")
 
 
+def _idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def document_frequencies(ids: DataFrame, kind_of_id: str) -> np.ndarray:
+    """Number of documents of the corpus that hold each token id; as long as the vocabulary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            for blob in batch["ids"]:
+                terms = np.unique(np.frombuffer(blob, kind_of_id))
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.r_[df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)]
+                df[terms] += 1
+        terms = np.flatnonzero(df)
+        yield pd.DataFrame({"term": terms, "df": df[terms]})
+
+    found = ids.select("ids").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    out = np.zeros(int(found["term"].max()) + 1 if len(found) else 1, np.int64)
+    out[found["term"].to_numpy(np.int64)] = found["df"].to_numpy(np.int64)
+    return out
+
+
+_PLANES: dict[tuple, np.ndarray] = {}
+
+
+def projected(ids: list[np.ndarray], df: np.ndarray, n: int, s: Settings) -> np.ndarray:
+    """Unit vectors of ``s.dims`` random projections of the documents' weighted terms."""
+    key = (len(df), s.dims, s.seed)
+    if key not in _PLANES:
+        _PLANES.clear()
+        _PLANES[key] = np.random.default_rng(s.seed).normal(size=(len(df), s.dims)).astype(np.float32)
+    planes, idf, out = _PLANES[key], _idf(df, n).astype(np.float32), np.zeros((len(ids), s.dims), np.float32)
+    for i, d in enumerate(ids):
+        terms, tf = np.unique(d, return_counts=True)
+        weight = (idf[terms] * tf * (s.k1 + 1) / (tf + s.k1)).astype(np.float32)
+        x = weight @ planes[terms]
+        out[i] = x / max(float(np.sqrt(x @ x)), 1e-12)
+    return out
+
+
+@dataclass
+class Routes:
+    """Binary tree: node i sends x @ axis[i] > cut[i] to high[i], else to low[i]; a negative child -k - 1 is leaf k."""
+
+    axis: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64) if len(self.cut) else np.full(len(x), -1)
+        while (at >= 0).any():
+            rows = np.flatnonzero(at >= 0)
+            node = at[rows]
+            above = np.einsum("ij,ij->i", x[rows], self.axis[node]) > self.cut[node]
+            at[rows] = np.where(above, self.high[node], self.low[node])
+        return -at - 1
+
+
+def routes(x: np.ndarray, leaf: float, s: Settings) -> Routes:
+    """Splits of a sample between two means, or at the median where those are lopsided, down to ``leaf`` documents."""
+    rng = np.random.default_rng(s.seed)
+    axis, cut, low, high, leaves = [], [], [], [], 0
+
+    def split(rows: np.ndarray) -> int:
+        nonlocal leaves
+        own = x[rows]
+        if len(rows) > 1.5 * leaf and len(rows) > 2:
+            a = own[rng.integers(len(rows))]
+            b = own[np.argmin(own @ a)]
+            for _ in range(6):
+                side = own @ (b - a) > (b @ b - a @ a) / 2
+                if side.all() or not side.any():
+                    break
+                a, b = own[~side].mean(0), own[side].mean(0)
+            line = b - a
+            at = own @ line
+            where = float(b @ b - a @ a) / 2
+            if not 0.2 <= (at > where).mean() <= 0.8:
+                where = float(np.median(at))
+            above = at > where
+            if above.any() and not above.all():
+                here = len(cut)
+                for column, value in ((axis, line), (cut, where), (low, 0), (high, 0)):
+                    column.append(value)
+                low[here], high[here] = split(rows[~above]), split(rows[above])
+                return here
+        leaves += 1
+        return -leaves
+
+    split(np.arange(len(x)))
+    return Routes(np.array(axis, np.float32).reshape(len(cut), x.shape[1]), np.array(cut, np.float32), np.array(low, np.int64), np.array(high, np.int64))
+
+
+def routed(ids: DataFrame, df: np.ndarray, n: int, kind_of_id: str, s: Settings) -> DataFrame:
+    """``ids`` with its ``shard``: leaves of the routing tree, those over twice ``shard_docs`` dealt into parts by hash."""
+    spark = ids.sparkSession
+    deal = F.xxhash64("doc_id", F.length("ids"), F.crc32("ids"))
+    if n <= 1.5 * s.shard_docs:
+        return ids.withColumn("shard", F.lit(0).cast("long"))
+    model = spark.sparkContext.broadcast(df)  # as long as the vocabulary
+
+    def vectors(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in blobs:
+            x = projected([np.frombuffer(i, kind_of_id) for i in b], model.value, n, s)
+            yield pd.Series([v.tobytes() for v in x])
+
+    chosen = ids.select("ids", deal.alias("h"))
+    share = min(1.0, s.sample / n)
+    chosen = chosen.filter(F.pmod("h", F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    sample = chosen.select("h", F.pandas_udf(vectors, "binary")("ids").alias("x")).toPandas()  # about s.sample vectors
+    x = np.array([np.frombuffer(v, np.float32) for v in sample.sort_values(["h", "x"])["x"]]).reshape(-1, s.dims)
+    tree = spark.sparkContext.broadcast(routes(x, max(4.0, len(x) * s.shard_docs / n), s))
+
+    def leaves(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in blobs:
+            yield pd.Series(tree.value.leaves(projected([np.frombuffer(i, kind_of_id) for i in b], model.value, n, s)))
+
+    placed = stored(ids.withColumn("leaf", F.pandas_udf(leaves, "long")("ids")))
+    sizes = placed.groupBy("leaf").agg(F.count("*").alias("m")).toPandas()  # a row per leaf, s.sample / 4 at most
+    large = sizes[sizes["m"] > 2 * s.shard_docs]
+    parts = dict(zip(large["leaf"].astype(int), -(-large["m"].astype(int) // s.shard_docs)))
+    most = max(parts.values(), default=1)
+    of_leaf = spark.createDataFrame([(int(k), int(v)) for k, v in parts.items()], "leaf long, parts long")
+    dealt = placed.join(F.broadcast(of_leaf), "leaf", "left")
+    return dealt.select("doc_id", "ids", (F.col("leaf") * most + F.pmod(deal, F.coalesce("parts", F.lit(1)))).alias("shard"))
+
+
 class ShardIndex:
     """BM25 inverted index over the documents of one shard."""
 
-    def __init__(self, docs: list[np.ndarray], s: Settings):
+    def __init__(self, docs: list[np.ndarray], s: Settings, df_of: np.ndarray | None = None, n_all: int = 0):
+        """df_of: document frequencies of the corpus of ``n_all`` documents by token id; without it the shard's own count."""
         n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.fromiter((len(t) for t, _ in found), np.int64, n)
@@ -171,7 +310,7 @@ class ShardIndex:
         doc = np.repeat(np.arange(n), sizes)
         length = np.fromiter(map(len, docs), float, n)
         distinct, at, df = np.unique(terms, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)) if df_of is None else _idf(df_of[distinct], n_all)
         weight = idf[at] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * length[doc] / length.mean()))
         self.n, self.s = n, s
         self.queries = np.split(np.arange(len(at)), np.cumsum(sizes)[:-1])
@@ -190,7 +329,7 @@ class ShardIndex:
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], s: Settings = Settings()) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], s: Settings = Settings(), df_of: np.ndarray | None = None, n_all: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; each id of each document lies in one piece."""
     pieces, sequence = [], 0
     start, left = np.zeros(len(docs), np.int64), np.fromiter(map(len, docs), np.int64, len(docs))
@@ -200,7 +339,7 @@ def pack_shard(docs: list[np.ndarray], s: Settings = Settings()) -> list[tuple[i
             start[d], left[d], sequence = start[d] + s.window, left[d] - s.window, sequence + 1
     if not (left > 0).any():
         return pieces
-    index = ShardIndex(docs, s)
+    index = ShardIndex(docs, s, df_of, n_all)
     unused = left > 0
     for seed in np.argsort(-left, kind="stable"):
         if not unused[seed]:
@@ -242,13 +381,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     rows are packed like any other row. An empty table gives no pieces.
     """
     s = settings
-    n_shards = max(1, -(-docs.count() // s.shard_docs))
     kind = dict(docs.dtypes)[doc_id]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(group["doc_id"].isna(), group["doc_id"], group["ids"]), key=lambda r: (r[0], 0 if r[0] else r[1], r[2]))
         ids = [np.frombuffer(r[2], narrow) for r in rows]
-        pieces = pack_shard(ids, s)
+        pieces = pack_shard(ids, s, shared.value, n)
         base = int(group["shard"].iloc[0]) << 32
         out = pd.DataFrame(pieces, columns=["d", "start", "length", "sequence_id", "offset"])
         out["sequence_id"] += base
@@ -259,6 +397,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
     path = tokenizer or default_tokenizer()
     narrow = narrowest(path)  # what is shuffled is half as wide for up to 65,536 ids
-    dealt = encoded(docs, doc_id, text, path, s, narrow).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("ids"), F.crc32("ids")), F.lit(n_shards)))
+    ids = stored(encoded(docs, doc_id, text, path, s, narrow))
+    n = ids.count()
+    shared = docs.sparkSession.sparkContext.broadcast(document_frequencies(ids, narrow))
+    dealt = routed(ids, shared.value, n, narrow, s)
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("doc_id", doc_id)

@@ -61,6 +61,20 @@ def test_neighbours_share_a_sequence(spark):
     assert all(len(t) == 1 for t in list(together.values())[:2])
 
 
+def test_shards_hold_related_documents_at_two_sizes(spark):
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in "ba ce di fo gu ha je ki lo mu na pe ri so tu".split() for b in "ban cel dim for gut hal jen kip lom mus".split()]
+    for topics in (8, 32):
+        texts = [(t, " ".join(rng.choice(vocabulary[4 * t : 4 * t + 4]) for _ in range(20))) for t in range(topics) for _ in range(40)]
+        docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, text string")
+        s = packing.Settings(window=512, shard_docs=40, least_cut=4)
+        mates = defaultdict(list)
+        for p in packing.pack(docs, settings=s).collect():
+            mates[p.sequence_id].append(texts[p.doc_id][0])
+        pairs = [(a, b) for own in mates.values() for i, a in enumerate(own) for b in own[i + 1 :]]
+        assert sum(a == b for a, b in pairs) / len(pairs) > 0.8
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty).collect() == []

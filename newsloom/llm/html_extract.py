@@ -4,7 +4,9 @@ A page is cut into text blocks at block-level tags. The first pass decides a
 block by stop-word density, length and link density, and by the container it
 stands in. The second pass gives short or unclear blocks the label of their
 nearest decided neighbour. Blocks inside an ``article`` or ``main`` element
-are the candidates where a page has such an element with text.
+are the candidates where a page has such an element with text; for them the
+thresholds are lower, and they stay where no block of the page is decided by
+its words, as in a language without listed stop words.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG = 70, 200
 LOW, HIGH = 0.2, 0.3
+SCOPE_LOW, SCOPE_HIGH = 0.05, 0.2  # for blocks inside an article
 MAX_LINKS = 0.33
 ALL_LINKS = 0.9
 
@@ -130,15 +133,18 @@ def _first_pass(text: str, link_chars: int, in_scope: bool, heading: bool) -> st
         return "bad"
     if len(text) < SHORT or heading:
         return "short"
-    if density >= HIGH:
+    if density >= (SCOPE_HIGH if in_scope else HIGH):
         return "good" if len(text) >= LONG or in_scope else "near"
-    if density >= LOW:
-        return "near"
-    return "short" if in_scope else "bad"
+    return "near" if density >= (SCOPE_LOW if in_scope else LOW) else "bad"
 
 
 def _second_pass(labels: list[str], headings: list[bool], in_scope: bool) -> list[bool]:
-    """Unclear blocks take the label of the nearest decided block; of two as near, headings take the later one, others the earlier one."""
+    """Unclear blocks take the label of the nearest decided block; of two as near, headings take the later one, others the earlier one.
+
+    In an article a good block goes before a bad one as near, and blocks stay where none is good.
+    """
+    if in_scope and "good" not in labels:
+        return [label != "bad" for label in labels]
     decided = [i for i, label in enumerate(labels) if label in ("good", "bad")]
     keep, after = [], 0
     for i, label in enumerate(labels):
@@ -147,10 +153,9 @@ def _second_pass(labels: list[str], headings: list[bool], in_scope: bool) -> lis
         if label in ("good", "bad"):
             keep.append(label == "good")
             continue
-        near = [(abs(j - i), (j < i) == headings[i], labels[j]) for j in decided[max(0, after - 1) : after + 1]]
-        inherited = min(near)[2] if near else "bad"
-        # what stands in an article belongs to it unless its own links speak against it
-        keep.append(in_scope or inherited == "good" or label == "near" and not near)
+        near = [(abs(j - i), in_scope and labels[j] == "bad", (j < i) == headings[i], labels[j]) for j in decided[max(0, after - 1) : after + 1]]
+        inherited = min(near)[3] if near else "bad"
+        keep.append(inherited == "good" or label == "near" and not near)
     return keep
 
 
@@ -165,6 +170,9 @@ def main_text(html: str | None) -> str:
     if in_scope:
         blocks = [b for b in blocks if b[3]]
     labels = [_first_pass(text, links, in_scope, heading) for text, links, _, _, heading in blocks]
+    if in_scope and "good" not in labels:
+        # no words that are known: only links speak against a block of the article
+        labels = ["bad" if links >= ALL_LINKS * len(text) else "near" for text, links, _, _, _ in blocks]
     keep = _second_pass(labels, [b[4] for b in blocks], in_scope)
     return " ".join(b[0] for b, k in zip(blocks, keep) if k)
 

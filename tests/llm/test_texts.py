@@ -130,6 +130,14 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_rules_decide_inside_an_article():
+    story = "It is the story of a town and of the people in it. " * 4
+    advert = "Acme Turbo Vacuum 3000 Deluxe Edition Black Friday Mega Deal Save Big Order Online Today Free Shipping"
+    parts = [f"<p>{story}</p><p>And so on.</p>", f"<div>{advert}</div><div>Order here</div><div>{advert}</div>"]
+    assert html_extract.main_text(f"<article>{''.join(parts)}<p>{story}</p></article>") == " ".join([story.strip(), "And so on.", story.strip()])
+    assert html_extract.main_text(f"<article><p>{advert}</p><p>Order here</p></article>") == f"{advert} Order here"
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(i, "u", h, "old", 3) for i, (h, _) in enumerate(PAGES)] + [(3, "u", PAGES[3][0], "old", 3)], "page_id long, url string, html string, text string, row int")
     got = html_extract.extract(pages)

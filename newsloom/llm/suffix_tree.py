@@ -222,7 +222,7 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     shared = spark.sparkContext.broadcast((words, None))
 
     def pairs(ids, last, before, end):
-        both = (ids >= 0) & (ids < top) & (last >= 0) & (last < top)
+        both = (ids >= 0) & (last >= 0) & (last < top)
         return last[both] * width + ids[both]
 
     found = _counted(docs, text, shared, pairs, s).filter(F.col("c") >= joint).toPandas()  # at most 1 / min_joint rows
@@ -238,7 +238,7 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
 
     def triples(ids, last, before, end):
         node = _lookup(shared2.value[1], np.where((before >= 0) & (last >= 0), before * width + last, -1))
-        both = (ids >= 0) & (ids < top) & (node >= 0)
+        both = (ids >= 0) & (node >= 0)
         return node[both] * width + ids[both]
 
     found = _counted(docs, text, shared2, triples, s).filter(F.col("c") >= joint).toPandas()

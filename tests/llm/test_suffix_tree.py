@@ -73,6 +73,19 @@ def test_longest_suffix_is_used(trained):
     assert two > one > tree.root[at[b"c"]]
 
 
+def test_next_words_rarer_than_a_context_are_kept(spark):
+    s = suffix_tree.Settings(min_word=1e-3, min_context=0.05, min_joint=1e-3, min_count=3)
+    rng = random.Random(2)
+    rows = [(i, " ".join(["a b r" if i % 10 == 0 else "a b c"] + [rng.choice("cde") for _ in range(6)])) for i in range(300)]
+    tree, _ = suffix_tree.train(spark.createDataFrame(rows, "doc_id long, text string"), settings=s)
+    at, width = {w: i for i, w in enumerate(tree.words)}, len(tree.words)
+    level = tree.levels[0]
+    held = {(int(level.contexts[k // width]), int(k % width)) for k in level.keys}
+    assert (at[b"b"], at[b"r"]) in held  # r has a share of 0.01, under min_context
+    two = tree.log_p(np.array([at[b"r"]]), np.array([at[b"b"]]), np.array([at[b"a"]]))[0]
+    assert two == pytest.approx(math.log10(29.5 / 300), abs=1e-6)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, ""), (1, "a b")], "doc_id long, text string")
     tree, counts = suffix_tree.train(docs.limit(0))

@@ -1,26 +1,49 @@
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from newsloom.llm import packing
+import pyarrow as pa
+from newsloom.llm import packing, queries
 from tokenizers import Tokenizer
 
 S = packing.Settings()
-SMALL = packing.Settings(window=64, shard_docs=40, least_cut=4)
+SMALL = packing.Settings(window=64, shard_ids=2_000)
 
 
 def whole(texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
 
 
 def test_chunked_encoding_equals_whole_texts():
-    texts = ["", " ", "Hello  World's\n it'll <|endoftext|> don't", "Éá ÎΣ ΑΣ Σ x y \x85z \x1cq", "a\tb\x0bc\x0cd", "the&&& th%%% 12 3½ 日本語 text", "İstanbul ǅ ﬁ ́ ̈u", "x" * 5000, "a\x01b c \x01 d", "\x01"]
-    encoder = packing.ChunkEncoder(packing.default_tokenizer(), packing.Settings(cache_chunks=20))
+    texts = ["", " ", "Hello  World's\n it'll <|endoftext|> don't", "x<|startoftext|>Y <|ENDOFTEXT|> <| a|>", "Éá ÎΣ ΑΣ Σ x y \x85z \x1cq", "a\tb\x0bc\x0cd", "the&&& th%%% 12 3½ 日本語 text", "İstanbul ǅ ﬁ ́ ̈u", "x" * 5000, "a\x01b c \x01 d", "\x01", "straße, año 2nd (ça) e\u0301t", None]
+    encoder = packing.ChunkEncoder(packing.default_tokenizer(), packing.Settings(cache_pieces=20))
+    assert encoder.simple
     for part in (texts, texts[3:], ["a a b b", "Éá a"], texts, texts):  # the cache overflows in between
-        assert [list(x) for x in encoder.encode(part)] == whole(part)
+        column = pa.array(["before", *part]).slice(1)
+        ids, sizes = encoder.encode(column)
+        assert [[*x, 1] for x in np.split(ids.tolist(), np.cumsum(sizes)[:-1])] == whole([t or "" for t in part])
+
+
+def test_the_registered_query_agrees_with_the_default_tokenizer(spark, tmp_path):
+    rows = [(1, "Rain <|endoftext|> fell."), (2, None), (3, "word " * 3000), (4, "Rain <|endoftext|> fell.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op7_packing(spark, str(tmp_path))
+    assert dict(out.dtypes) == {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    want = dict(zip([i for i, _ in rows], whole([t or "" for _, t in rows])))
+    assert 49407 in want[1]
+    got = out.collect()
+    for p in got:
+        ids = np.array(want[p.doc_id][p.start : p.start + p.length], "<u4")
+        assert (p.ids_crc32, p.doc_tokens, p.length) == (zlib.crc32(ids.tobytes()), len(want[p.doc_id]), len(ids))
+    assert sum(p.length for p in got) == sum(map(len, want.values()))
+
+
+def test_equal_scores_are_taken_in_order():
+    docs = [np.array([5, 6, 1], np.uint32) for _ in range(6)]
+    assert packing.pack_shard(docs, packing.Settings(window=9)) == [(0, 0, 3, 0, 0), (1, 0, 3, 0, 3), (2, 0, 3, 0, 6), (3, 0, 3, 1, 0), (4, 0, 3, 1, 3), (5, 0, 3, 1, 6)]
 
 
 def check(rows, pieces, window):
@@ -67,7 +90,7 @@ def test_shards_hold_related_documents_at_two_sizes(spark):
     for topics in (8, 32):
         texts = [(t, " ".join(rng.choice(vocabulary[4 * t : 4 * t + 4]) for _ in range(20))) for t in range(topics) for _ in range(40)]
         docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, text string")
-        s = packing.Settings(window=512, shard_docs=40, least_cut=4)
+        s = packing.Settings(window=512, shard_ids=2_500)
         mates = defaultdict(list)
         for p in packing.pack(docs, settings=s).collect():
             mates[p.sequence_id].append(texts[p.doc_id][0])

@@ -8,42 +8,63 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of this process's tables that stand in the shared folder, oldest first.
+WRITTEN: list[str] = []
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none, as in tests.
+    Where the session names none, a temporary folder is set in local mode, as
+    in tests; on a cluster, whose machines share no such folder, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext.getCheckpointDir()
         if known is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             known = spark.sparkContext.getCheckpointDir()
         path = known
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: an executor that is lost later costs no recomputation.
+    Tables that a returned frame still reads stay in the folder until
+    ``drop_tables`` or the folder's own clean-up; operators drop all others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    WRITTEN.append(path)
+    return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the table behind a frame that ``stored`` returned and nobody reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("table-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nobody reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in WRITTEN:
+            WRITTEN.remove(name)
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``stored`` returned and nobody reads any more."""
+    for df in frames:
+        drop_tables(df.sparkSession, [df.stored_path])
+
+
+def nested(docs: DataFrame, *columns: str) -> DataFrame:
+    """(row, *columns): each row whole, so that no column of an operator's result can clash with one of its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in columns])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, nested, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDE = 3
@@ -105,5 +105,5 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of any item occurs."""
-    return hits(docs, items, window=window).filter("n_hit = 0").select(*docs.columns)
+    """The rows of ``docs`` in which no window of any item occurs, with all their columns as they are."""
+    return hits(nested(docs, "doc_id", "text"), items, window=window).filter("n_hit = 0").select("row.*")

@@ -366,33 +366,34 @@ def _labels(nodes: DataFrame, components: DataFrame) -> DataFrame:
 def _counted(parts: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """(node, n_links): links to rows of other nodes, counted over all pairs of each component in blocks.
 
-    parts: (node, part, size), size being the rows of the node's class. Small
-    components share a group; large ones are cut into blocks, a group a pair of blocks.
+    parts: (node, part, size), size being the rows of the node's class. A
+    component is cut into blocks by hash, and each pair of blocks is a group;
+    tasks hold one Arrow batch and the group that runs over its end.
     """
-    members = parts.groupBy("part").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / s.block).cast("int")
-    rows = parts.join(members, "part").withColumn("nb", blocks).join(vectors.select("node", "v64"), "node")
+    rows = parts.join(parts.groupBy("part").agg(F.count("*").alias("m")), "part").withColumn("nb", blocks).join(vectors.select("node", "v64"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("node", "size", "part", "v64", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("nb") > 1, F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(64))).alias("bundle"), (F.col("nb") > 1).alias("large"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in group.groupby("part", sort=False):
-            x, size, own = _unit64(g["v64"]), g["size"].to_numpy(np.int64), g["own"].to_numpy()
-            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            close = x[left] @ x[right].T >= s.threshold
-            ids = g["node"].to_numpy()
-            if i == j:
-                np.fill_diagonal(close, False)
-                out.append(pd.DataFrame({"node": ids[left], "n": close @ size[right]}))
-            else:
-                out.append(pd.DataFrame({"node": ids[left], "n": close @ size[right]}))
-                out.append(pd.DataFrame({"node": ids[right], "n": close.T @ size[left]}))
-        return pd.concat(out)
-
-    return rows.groupBy("large", "bundle", "i", "j").applyInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+    rows = rows.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "v64")
+
+    def counts(own, ids, size, x, i: int, j: int) -> Iterator[tuple]:
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        close = x[left] @ x[right].T >= s.threshold
+        if i == j:
+            np.fill_diagonal(close, False)
+            yield ids[left], close @ size[right]
+        else:
+            yield ids[left], close @ size[right]
+            yield ids[right], close.T @ size[left]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, starts in _groups(batches, "part", "i", "j"):
+            x, size, own, ids, i, j = _unit64(g["v64"]), *(g[c].to_numpy(np.int64) for c in ("size", "own", "node", "i", "j"))
+            found = [f for a, b in zip(starts, starts[1:]) for f in counts(own[a:b], ids[a:b], size[a:b], x[a:b], i[a], j[a])]
+            yield pd.DataFrame({"node": np.concatenate([f[0] for f in found]), "n": np.concatenate([f[1] for f in found])})
+
+    dealt = rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
+    return dealt.mapInPandas(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", settings: Settings = Settings()) -> DataFrame:
@@ -422,13 +423,17 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
         labelled = stored(_labels(nodes, components))
         bridges = stored(_bridges(lists, labelled, vectors, s))
         if not bridges.isEmpty():
-            labelled = stored(_labels(nodes, connected_components(components.unionByName(bridges))))
+            joined = connected_components(components.unionByName(bridges))
+            drop_stored(labelled)
+            labelled = stored(_labels(nodes, joined))
+            drop_stored(joined)
         held = _audit_parts(vectors, labelled, s)
         if held < s.recall:
             raise RuntimeError(f"components hold {held:.4f} of the audited links of vectors of length {dim}, under {s.recall}")
         smallest = labelled.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m"))
         linked = labelled.join(smallest.filter("m > 1").select("part"), "part", "left_semi").select("node", "part", "size")
         counts = _counted(linked, vectors, s)
+        drop_stored(lists, components, bridges)
         result = labelled.join(smallest, "part").join(counts, "node", "left").select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
         done = result if done is None else done.unionByName(result)
     if done is None:

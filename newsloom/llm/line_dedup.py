@@ -17,6 +17,8 @@ from .common import stored
 LG_K = 12
 #: Relative standard error of a sketch with 2**LG_K registers.
 ERROR = 1.04 / 2 ** (LG_K / 2)
+#: Spread lines that are sent to all tasks at most (some 50 bytes each); more of them meet the lines in a shuffled join.
+MAX_BROADCAST_LINES = 200_000
 
 
 def _hash(value: Column, *more: Column) -> Column:
@@ -71,15 +73,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     are replaced. A document may end up with an empty text; no row is dropped.
     """
     lines = _lines(docs, doc_id, text, site, min_words)
-    spread = spread_lines(lines, min_sites)
+    spread = stored(spread_lines(lines, min_sites))
+    if spread.count() <= MAX_BROADCAST_LINES:
+        spread = F.broadcast(spread)  # a line that is everywhere is then not gathered in one task
     first = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("pos") == F.col("keep_pos"))
     gone = lines.join(spread, "h").filter(~first).groupBy("key").agg(F.collect_set("pos").alias("gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _hash(F.col(doc_id).cast("string"), F.col(text)).alias("key"))
     whole = F.col(f"row.`{text}`")
     all_lines = F.split(whole, "\n")
-    left = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return rows.join(gone, "key", "left").select(
+    # positions by set difference, in linear time for texts of many lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.element_at(F.col("all_lines"), i + 1)), "\n")
+    return rows.join(gone, "key", "left").withColumn("all_lines", all_lines).select(
         *[F.when(F.col("gone").isNull(), whole).otherwise(left).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept],
         F.when(whole.isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 from .components import connected_components
 
 U64 = np.uint64
@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = spans.select("bucket", "n", "same", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("n_out"))
     open_buckets = spans.groupBy("n", "same").agg(F.min(F.struct("bucket", "top", "n_out")).alias("b")).select("b.bucket", "b.top", "n", "b.n_out")
     more = stored(_joined_across(placed.select("bucket", "node", "part").join(open_buckets, "bucket"), slim, texts, s))
-    parts = connected_components(parts.unionByName(more))
+    first_parts, parts = parts, connected_components(parts.unionByName(more))
+    drop_stored(shared, slim, texts, edges, more, first_parts)  # the result reads the signatures, nodes and parts alone
 
     # an exact copy reaches its node's component, whatever its own id
     own = nodes.select("digest", "node").join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("digest", F.coalesce("part", "node").alias("part"))

@@ -194,8 +194,10 @@ def sliced(texts: list[str], chars: int) -> Iterator[list[str]]:
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, settings: Settings = Settings()) -> DataFrame:
     """``docs`` plus ``score`` (0 to 1, high for good quality) and ``predicted`` (1 if score >= threshold).
 
-    Null and empty texts have no features and get the score of the bias. Other
-    columns pass through; columns named like the two results are replaced.
+    Null and empty texts have no features and get the score of the bias; texts
+    are read whole, however long. Every row is scored alone, so repeated rows
+    repeat their score, and an empty table gives an empty table. Other columns
+    pass through; columns named like the two results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.contributions(), float(model.bias[1] - model.bias[0])))  # 2**bits numbers
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BUCKET = 1024
 
 
@@ -34,7 +36,11 @@ def encoder(ranks_path: str):
 
 
 def token_lengths(docs: DataFrame, text: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """(n_tokens long): one row per document; null and empty texts have 0 tokens."""
+    """(n_tokens long): one row per document; null and empty texts have 0 tokens.
+
+    Texts are encoded whole, however long. Repeated rows count each time, and
+    columns of other names are ignored.
+    """
     path = ranks_path or default_ranks()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,8 +52,8 @@ def token_lengths(docs: DataFrame, text: str = "text", ranks_path: str | None =
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """(n_tokens, n_docs): exact counts; null lengths count as 0."""
-    return lengths.groupBy(F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs): exact counts, stored, as ``suffix_sums`` reads them more than once; null lengths count as 0."""
+    return stored(lengths.groupBy(F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).agg(F.count("*").alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

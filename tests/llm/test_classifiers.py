@@ -6,7 +6,7 @@ from newsloom.llm import quality, toxicity
 from pyspark.sql import functions as F
 
 
-def labelled(n=600, seed=4):
+def labelled(n=1500, seed=4):
     """Toxic: an insult together with a group mention; either alone is clean. Low quality: symbol junk."""
     rng = random.Random(seed)
     plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
@@ -35,7 +35,7 @@ def accuracy(scored, labels, label):
 
 def test_factors_learn_the_pair(spark, frames):
     docs, labels = frames
-    model = toxicity.train(docs, labels, F.col("doc_id") % 3 != 1, settings=toxicity.Settings(min_chi2=15, epochs=60))
+    model = toxicity.train(docs, labels, F.col("doc_id") % 3 != 1)
     assert accuracy(toxicity.score(docs, model), labels, "toxic") > 0.97
     long_clean = " ".join(f"{i % 977}x other{chr(97 + i % 26)} r{chr(97 + i % 7)}{chr(98 + i % 11)}re" for i in range(40_000))
     odd = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (3, long_clean, 9.0), (4, long_clean + " zorp klenians", 9.0), (4, "Zorp! KLENIANS", 9.0)], "doc_id long, text string, score double")
@@ -43,13 +43,42 @@ def test_factors_learn_the_pair(spark, frames):
     assert [p for p, _ in got] == [0, 0, 0, 1, 1] and all(0 <= x <= 1 for _, x in got)
 
 
+def test_terms_significant_only_next_to_a_partner_are_fitted():
+    # the group mention is as common in clean texts as in toxic ones; only next to the insult does it tell
+    rng = random.Random(9)
+    texts, labels = [], []
+    for i in range(1200):
+        insult = i % 4 == 0
+        toxic = insult and i % 8 == 0
+        group = toxic or (not insult and rng.random() < 1 / 6)
+        texts.append(" ".join([rng.choice("abcdefgh") * 3 for _ in range(5)] + ["zorp"] * insult + ["klenians"] * group))
+        labels.append(int(toxic))
+    rows, y = [toxicity.hashed_terms(t) for t in texts], np.array(labels, float)
+    mention = toxicity._hashed("klenians")
+    assert mention in toxicity._significant(rows, y, toxicity.Settings())
+    model = toxicity.fit(rows, y, toxicity.Settings(epochs=60))
+    score = toxicity.Scorer(model).score
+    assert score("zorp klenians") > 0.7 > 0.5 > max(score("zorp"), score("klenians"))
+
+
+def test_cached_scores_equal_those_of_the_terms(frames):
+    docs, labels = labelled(200)
+    texts = [t for _, t in docs] + ["", "zorp zorping ZORPED klenians' the klenian", "x" * 50_000, "ab1c d_e zorpzorp zorpzo zorpzon"]
+    model = toxicity.fit([toxicity.hashed_terms(t) for t in texts[:200]], np.array([t for _, _, t in labels], float), toxicity.Settings(min_chi2=2, min_docs=2))
+    assert len(model.terms) > 5
+    scorer = toxicity.Scorer(model, cache_words=50)
+    for t in texts:
+        assert scorer.found(t).tolist() == toxicity._positions(model.terms, toxicity.hashed_terms(t)).tolist()
+
+
 def test_subword_vectors_learn_junk(spark, frames):
     docs, labels = frames
     s = quality.Settings(max_rows=400)
     model = quality.train(docs, labels, F.col("doc_id") % 3 != 1, settings=s)
     assert accuracy(quality.score(docs, model, settings=s), labels, "quality") > 0.97
-    odd = spark.createDataFrame([(None, None), (2, ""), (3, "x" * 200_000), (3, "a&&& b&&& " * 30_000)], "doc_id long, text string")
-    assert all(0 <= r.score <= 1 for r in quality.score(odd, model, settings=s).collect())
+    odd = spark.createDataFrame([(None, None, 8), (2, "", 8), (3, "x" * 200_000, 8), (3, "a&&& b&&& " * 30_000, 8)], "doc_id long, text string, predicted int")
+    got = quality.score(odd, model, settings=s)
+    assert got.columns == ["doc_id", "text", "score", "predicted"] and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got.collect())
 
 
 def test_reduced_scores_equal_the_full_model():

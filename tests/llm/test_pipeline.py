@@ -6,8 +6,11 @@ import random
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from newsloom.llm import packing, queries
+from newsloom.llm.common import WRITTEN
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,10 +66,30 @@ def test_stages_on_planted_cases(spark, planted):
     pieces = seen["packing"]
     kept = {(r.doc_id, r.text or "") for r in seen["decontamination"]}
     encoder = packing.ChunkEncoder(packing.default_tokenizer(), packing.Settings())
-    assert sum(p.length for p in pieces) == sum(len(encoder.encode([r.text or ""])[0]) for r in seen["decontamination"])
+    encode = lambda t: [*encoder.encode(pa.array([t]))[0].tolist(), 1]
+    assert sum(p.length for p in pieces) == sum(len(encode(r.text or "")) for r in seen["decontamination"])
     one = sorted((p for p in pieces if p.doc_id == 7), key=lambda p: p.start)
     text = next(t for i, t in kept if i == 7)
-    assert np.concatenate([np.frombuffer(bytes(p.ids), "<u4") for p in one]).tolist() == encoder.encode([text])[0].tolist()
+    assert np.concatenate([np.frombuffer(bytes(p.ids), "<u4") for p in one]).tolist() == encode(text)
+
+
+def test_columns_named_like_results_pass_through(spark, planted):
+    folder = planted[0]
+    names = ["score", "predicted", "n_lines", "n_removed", "n_words", "n_hit", "hit_items", "kept", "component_id", "row", "id", "key"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.select("*", *[(F.coalesce("doc_id", F.lit(-1)) * 1000 + i).alias(c) for i, c in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = corpus_pipeline.stored(stage(spark, docs, folder))
+        assert docs.columns == columns
+        assert docs.filter(" OR ".join(f"`{c}` <> coalesce(doc_id, -1) * 1000 + {i}" for i, c in enumerate(names))).count() == 0
+    assert docs.count() > 200 and corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 200
+
+
+def test_a_run_leaves_its_result_alone_behind(spark, planted):
+    before = list(WRITTEN)
+    out = corpus_pipeline.run(spark, planted[0])
+    assert len(WRITTEN) == len(before) + 1 and out.count() > 200
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):

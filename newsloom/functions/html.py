@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import html as entities
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import collapsed, first_non_empty
 
-#: Entities that the expression form decodes; &amp; last, so that nothing is decoded twice.
+#: Entities that the expression form, for use inside arrays, decodes; &amp; last, so that nothing is decoded twice.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 DROPPED = ("script", "style", "nav", "footer", "aside", "form", "noscript")
 
@@ -18,6 +22,12 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+@F.pandas_udf(StringType())
+def all_unescaped(text: pd.Series) -> pd.Series:
+    """Every named and numeric character reference; non-breaking spaces become plain ones."""
+    return text.map(lambda t: entities.unescape(t).replace("\xa0", " ") if t and "&" in t else t)
+
+
 def escaped(text: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(sign), F.lit(entity))
@@ -25,7 +35,12 @@ def escaped(text: Column) -> Column:
 
 
 def stripped(html: Column) -> Column:
-    """Tags out, entities decoded, blanks collapsed."""
+    """Tags out, every entity decoded, blanks collapsed."""
+    return collapsed(all_unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")))
+
+
+def stripped_part(html: Column) -> Column:
+    """``stripped`` as an expression that may stand inside arrays; it decodes ``ENTITIES``."""
     return collapsed(unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")))
 
 
@@ -47,7 +62,8 @@ def article_html(html: Column) -> Column:
 def paragraphs(html: Column, least_words: int = 8, least_chars: int = 40) -> Column:
     """Useful paragraphs of an article element, in order."""
     parts = F.split(article_html(html), r"(?i)</?(?:p|h[1-6]|li|div|br|tr|blockquote)\b[^>]*>")
-    texts = F.transform(parts, stripped)
+    bare = F.transform(parts, lambda p: F.regexp_replace(p, "<[^>]*>", " "))
+    texts = F.transform(F.split(all_unescaped(F.array_join(bare, "\u0001")), "\u0001"), collapsed)
     return F.filter(texts, lambda t: (F.size(F.split(t, " ")) >= least_words) & (F.length(t) >= least_chars))
 
 
@@ -85,7 +101,7 @@ def title(html: Column) -> Column:
 def anchors(html: Column) -> Column:
     """(href, text) of every link, in page order."""
     whole = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)(<a\b[^>]*href=["'][^"']*["'][^>]*>.*?</a>)"""), F.lit(1))
-    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"""(?is)href=["']([^"']*)["']""", 1).alias("href"), stripped(a).alias("text")))
+    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"""(?is)href=["']([^"']*)["']""", 1).alias("href"), stripped_part(a).alias("text")))
 
 
 def normalized_page(title_text: Column, url: Column, published: Column, author: Column, paragraph_list: Column) -> Column:

@@ -95,9 +95,12 @@ def exact_match(prediction: Column, truth: Column) -> Column:
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
-    """Bag overlap of normalised words; 0 if either side has none."""
-    p, g = (F.filter(F.split(normalized_answer(x), " "), lambda w: w != "") for x in (prediction, truth))
-    return bag_f1(p, g)
+    """Bag overlap of normalised words; 0 if either side has none. For short answers; ``metrics.evaluate_answers`` takes any length."""
+    return bag_f1(answer_words(prediction), answer_words(truth))
+
+
+def answer_words(text: Column) -> Column:
+    return F.filter(F.split(normalized_answer(text), " "), lambda w: w != "")
 
 
 def bag_f1(p: Column, g: Column) -> Column:
@@ -257,11 +260,11 @@ def slug(text: Column, length: int = 80, default: str = "article") -> Column:
 SMART, PLAIN = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
 
 
-def cleaned(text: Column) -> Column:
-    """Typographic signs made plain, blanks collapsed inside lines, empty lines dropped."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SMART, PLAIN)
-    lines = F.transform(F.split(plain, "\n"), collapsed)
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+def cleaned(text: Column, boilerplate: str | None = None) -> Column:
+    """Composed characters, typographic signs made plain, blanks collapsed inside lines; empty lines and those that match ``boilerplate`` dropped."""
+    plain = F.translate(nfc(F.coalesce(text, F.lit(""))), SMART, PLAIN)
+    lines = F.filter(F.transform(F.split(plain, "\n"), collapsed), lambda x: x != "")
+    return F.array_join(F.filter(lines, lambda x: ~x.rlike(boilerplate)) if boilerplate else lines, "\n")
 
 
 def best_hit_count(text: Column, terms: Sequence[str] | Column) -> Column:

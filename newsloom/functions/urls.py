@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 #: Query keys that only track the reader.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid")
 TRACKING_PREFIX = "utm_"
-#: Path parts of pages that are not articles.
-EXCLUDED_PARTS = ("/video", "/videos", "/gallery", "/live", "/podcast", "/newsletter", "/tag/", "/author/", "/login", "/subscribe")
+#: Path parts of pages that are not articles. Fixed values.
+EXCLUDED_PARTS = (
+    "/audio/", "/authors/", "/cartoons/", "/help/", "/live/", "/live-news/", "/live-updates/", "/newsletter", "/newsletters",
+    "/opinion/", "/podcast", "/podcasts", "/pictures/", "/video/", "/videos/",
+)
 
 
 def part(url: Column, name: str) -> Column:

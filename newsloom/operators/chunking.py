@@ -146,6 +146,33 @@ def spans_to_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     return spans.join(chunks.select("article_id", F.col("id").alias("chunk_id"), "char_start", "char_end"), "article_id").filter(overlap)
 
 
+def missing_chunks(testset: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, chunk_id): relevant ids that no chunk has; empty in a sound test set."""
+    named = testset.select("question_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
+    return named.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select("question_id", "chunk_id")
+
+
+def derivation_violations(questions: DataFrame, articles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, rule) of questions that a chunked test set cannot hold: article unknown, evidence not at its place, no chunk with it.
+
+    questions: question_id, article_id, evidence, start, end; articles: article_id, text.
+    """
+    placed = questions.join(articles.select("article_id", "text"), "article_id", "left")
+    there = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    rule = F.when(F.col("text").isNull(), "unknown_article").when(there != F.col("evidence"), "evidence_moved")
+    own = placed.select("question_id", rule.alias("rule")).filter("rule IS NOT NULL")
+    bare = relevant_chunks(questions, chunks).filter(F.size("relevant_chunk_ids") == 0).select("question_id", F.lit("no_chunk").alias("rule"))
+    return own.unionByName(bare)
+
+
+def chunked_testset(questions: DataFrame, articles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``questions`` with the chunks that hold their evidence; raises if any question breaks a rule."""
+    from .review import require_none
+
+    require_none(derivation_violations(questions, articles, chunks), "questions without sound evidence")
+    return questions.join(relevant_chunks(questions, chunks), "question_id")
+
+
 def relevant_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, relevant_chunk_ids): sorted ids per question; empty where no chunk holds the evidence, which is an error upstream."""
     found = spans_to_chunks(spans, chunks).groupBy("question_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("ids"))

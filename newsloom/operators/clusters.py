@@ -64,6 +64,13 @@ def merged(placed: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def records(placed: DataFrame, questions: DataFrame) -> DataFrame:
+    """(cluster_id, representative, members): clusters with their members' questions nested, in id order. questions: question_id, question."""
+    rows = placed.join(questions.select("question_id", "question"), "question_id")
+    members = F.array_sort(F.collect_list(F.struct("question_id", "question", (F.col("question_id") == F.col("representative")).alias("representative"))))
+    return rows.groupBy("cluster_id", "representative").agg(members.alias("members"))
+
+
 def removed(placed: DataFrame) -> DataFrame:
     return placed.filter("question_id <> representative").select("question_id", "cluster_id", "representative")
 

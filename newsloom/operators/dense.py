@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .sparse import top_k
 
 METRICS = ("cosine", "l2", "ip")
-MAX_BROADCAST_QUERIES = 50_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,23 +31,67 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     raise ValueError(f"metric {metric!r} is none of {METRICS}")
 
 
+def _matrix(vectors, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, x): the vectors of ``dim`` numbers without nulls, as a matrix, and their places."""
+    whole = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and not any(x is None for x in v)]
+    x = np.array([np.asarray(vectors[i], np.float64) for i in whole]).reshape(len(whole), dim)
+    return np.array(whole, np.int64), x
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """1 - distance of every query (row) to every vector (column)."""
+    if metric == "cosine":
+        norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))
+        return np.divide(q @ x.T, norms, out=np.zeros((len(q), len(x))), where=norms > 0)
+    if metric == "ip":
+        return q @ x.T
+    if metric == "l2":
+        return np.array([1 - ((x - one) * (x - one)).sum(1) for one in q]).reshape(len(q), len(x))
+    raise ValueError(f"metric {metric!r} is none of {METRICS}")
+
+
 def search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, id: str = "id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) with score = 1 - distance over the rows that meet ``where``.
 
-    The stated queries are broadcast after a check of their number; a larger
-    set is met in blocks by hash, so that no side is collected.
+    Blocks of the stated queries of at most ``MAX_BROADCAST_BYTES`` are sent to
+    the corpus, whose batches are compared with them as matrices; a batch passes
+    on its k best of each query (with all ties), so that no pair beyond them is
+    shuffled. Rows with null, or a vector of another length or with nulls, have
+    no score. Query ids are unique.
     """
+    spark = corpus.sparkSession
     rows = corpus if where is None else corpus.filter(where)
-    rows = rows.select(F.col(id).alias("id"), F.col(vector).alias("v"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
-    if asked.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES:
-        pairs = rows.join(F.broadcast(asked))
-    else:
-        blocks = 64
-        dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block")
-    scored = pairs.select("query_id", "id", (1 - distance(F.col("v"), F.col("q"), metric)).alias("score"))
-    return top_k(scored, k)
+    rows = rows.select(F.col(id).alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q")).filter("query_id IS NOT NULL AND q IS NOT NULL")
+    n_bytes = asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)).cast("long")).first()[0] * 8
+    blocks = -(-n_bytes // MAX_BROADCAST_BYTES) if n_bytes else 0
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
+
+    def block(i: int) -> DataFrame:
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        held = own.toPandas()  # MAX_BROADCAST_BYTES on average
+        by_length = [(dim, *_matrix(held["q"], dim)) for dim in sorted({len(v) for v in held["q"]})]
+        shared = spark.sparkContext.broadcast([(dim, held["query_id"].to_numpy()[at], q) for dim, at, q in by_length if len(at)])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, names, q in shared.value:
+                    at, x = _matrix(batch["v"], dim)
+                    for start in range(0, len(names) if len(at) else 0, 256):
+                        found = _scores(x, q[start : start + 256], metric)
+                        shown = np.round(found, 6)
+                        least = -np.partition(-shown, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+                        i, j = np.nonzero(shown >= least[:, None] - 2e-6)  # ties are decided later, by the exact rounding and the id
+                        yield pd.DataFrame({"query_id": names[start + i], "id": batch["id"].array[at[j]], "score": found[i, j]})
+
+        return rows.mapInPandas(run, schema)
+
+    if not blocks:
+        return spark.createDataFrame([], schema + ", rank int")
+    found = block(0)
+    for i in range(1, blocks):
+        found = found.unionByName(block(i))
+    return top_k(found, k)
 
 
 Embedder = Callable[[list[str]], np.ndarray]

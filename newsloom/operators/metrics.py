@@ -86,9 +86,26 @@ def all_zero(means: DataFrame) -> DataFrame:
 
 
 def evaluate_answers(samples: DataFrame, prediction: str = "prediction", answers: str = "accepted_answers") -> DataFrame:
-    """(n, exact_match, f1): best over the accepted answers; failed answers are empty predictions."""
-    p, a = fx.without_citations(F.col(prediction)), F.col(answers)
-    scored = samples.select(fx.best_over_answers(fx.exact_match, p, a).alias("em"), fx.best_over_answers(fx.token_f1, p, a).alias("f1"))
+    """(n, exact_match, f1): best over the accepted answers; failed answers are empty predictions.
+
+    Words are counted by grouping them, so long answers cost no more than their words.
+    """
+    p = fx.without_citations(F.col(prediction))
+    rows = samples.select(F.monotonically_increasing_id().alias("row"), p.alias("p"), F.coalesce(F.col(answers), F.array().cast("array<string>")).alias("answers"))
+    rows = rows.withColumn("words", fx.answer_words(F.col("p")))
+    entry = lambda a, w, p, g, em: F.struct(a.cast("int").alias("a"), w.cast("string").alias("w"), F.lit(p).alias("p"), F.lit(g).alias("g"), em.cast("double").alias("em"))
+    none = F.lit(None)
+
+    def of_answer(x, i):
+        theirs = F.transform(F.col("words"), lambda w: entry(i, w, 1, 0, F.lit(0.0)))
+        own = F.transform(fx.answer_words(x), lambda w: entry(i, w, 0, 1, F.lit(0.0)))
+        return F.concat(F.array(entry(i, none, 0, 0, F.coalesce(fx.exact_match(F.col("p"), x), F.lit(0.0)))), theirs, own)
+
+    every = F.concat(F.array(entry(F.lit(-1), none, 0, 0, F.lit(0.0))), F.flatten(F.transform("answers", of_answer)))
+    words = rows.select("row", F.explode(every).alias("e")).groupBy("row", "e.a", "e.w").agg(F.sum("e.p").alias("p"), F.sum("e.g").alias("g"), F.max("e.em").alias("em"))
+    pairs = words.groupBy("row", "a").agg(F.sum(F.least("p", "g")).alias("both"), F.sum("p").alias("p"), F.sum("g").alias("g"), F.max("em").alias("em"))
+    f1 = F.when((F.col("p") > 0) & (F.col("g") > 0), 2.0 * F.col("both") / (F.col("p") + F.col("g"))).otherwise(0.0)
+    scored = pairs.groupBy("row").agg(F.max("em").alias("em"), F.max(f1).alias("f1"))
     return scored.agg(F.count("*").alias("n"), F.coalesce(F.avg("em"), F.lit(0.0)).alias("exact_match"), F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"))
 
 
@@ -109,9 +126,10 @@ def evaluate_citations(samples: DataFrame, **names) -> DataFrame:
 
 def judge_means(rows: DataFrame, scores: str = "scores") -> DataFrame:
     """(metric, mean, scored, coverage) of a map of judge scores; missing and NaN scores are left out."""
-    total = rows.select(F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"), F.explode(scores).alias("metric", "v"))
     value = F.when(~F.isnan("v"), F.col("v"))
-    return total.groupBy("metric").agg(F.avg(value).alias("mean"), F.count(value).alias("scored"), (F.count(value) / F.max("n")).alias("coverage"))
+    each = rows.select(F.explode(scores).alias("metric", "v")).groupBy("metric").agg(F.avg(value).alias("mean"), F.count(value).alias("scored"))
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    return each.join(F.broadcast(n)).select("metric", "mean", "scored", (F.col("scored") / F.col("n")).alias("coverage"))
 
 
 # ---- corpus ----
@@ -140,6 +158,11 @@ def completeness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.agg(F.avg(every.cast("double")).alias("metadata_completeness"))
 
 
+def median(df: DataFrame, value: Column) -> DataFrame:
+    """(median): of two middle values their mean."""
+    return df.agg(F.percentile(value, F.lit(0.5)).alias("median"))
+
+
 def histogram(df: DataFrame, value: Column, width: int = 100) -> DataFrame:
     return df.groupBy((F.floor(value / width) * width).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -154,6 +177,29 @@ def latency_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
+def selection_coverage(candidates: DataFrame, selected: DataFrame, questions: DataFrame) -> DataFrame:
+    """The seven distributions that tell a selection of articles from its candidates, by ``distribution_summary``.
+
+    candidates: article_id, text; selected: article_id; questions: article_id,
+    question, answer, start. Articles without questions count with 0.
+    """
+    counts = questions.groupBy("article_id").agg(F.count("*").alias("n"))
+    sized = candidates.select("article_id", F.length("text").alias("chars")).join(counts, "article_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chosen = sized.join(selected.select("article_id").distinct(), "article_id", "left_semi")
+    asked = questions.join(chosen.select("article_id", "chars"), "article_id")
+
+    def values(df: DataFrame, **columns: Column) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(name).alias("metric"), c.cast("double").alias("value")) for name, c in columns.items()])
+        return df.select(F.explode(each).alias("m")).select("m.*")
+
+    stacked = (
+        values(sized, candidate_article_chars=F.col("chars"), candidate_questions_per_article=F.col("n"))
+        .unionByName(values(chosen, selected_article_chars=F.col("chars"), selected_questions_per_article=F.col("n")))
+        .unionByName(values(asked, selected_question_chars=F.length("question"), selected_answer_chars=F.length("answer"), selected_normalized_answer_position=F.col("start") / F.greatest("chars", F.lit(1))))
+    )
+    return distribution_summary(stacked, "metric", "value")
+
+
 def distribution_summary(df: DataFrame, metric: str, value: str, fractions: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(metric, count, min, max, mean, p..) with nearest-rank percentiles: the value at bround((n - 1) * f).
 

@@ -49,12 +49,12 @@ def failures(reports: DataFrame, order: str = "path") -> DataFrame:
 
 
 def tagged_failures(runs: dict[str, DataFrame], limit: int = 50) -> DataFrame:
-    """Failures of several runs under a run column; the limit is the report's size."""
+    """Failures of several runs under a run column, by run and question; the limit is the report's size."""
     out = None
     for name, df in runs.items():
         part = df.withColumn("run", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out.limit(limit)
+    return out.orderBy("run", "question_id").limit(limit)
 
 
 def review_status(rows: DataFrame) -> DataFrame:
@@ -84,9 +84,10 @@ def integrity(**checks: DataFrame) -> DataFrame:
     return out
 
 
-def judge_estimate(n: int, per_sample: int, batch: int) -> dict[str, int]:
-    """Requests that judging n samples takes."""
-    return {"samples": n, "requests": n * per_sample, "batches": -(-n // batch)}
+def judge_estimate(samples: DataFrame, per_sample: int, batch: int) -> DataFrame:
+    """(samples, requests, batches) that judging the rows of ``samples`` takes."""
+    n = F.count("*")
+    return samples.agg(n.alias("samples"), (n * per_sample).alias("requests"), F.ceil(n / batch).alias("batches"))
 
 
 def as_text(report: DataFrame, title: str) -> DataFrame:

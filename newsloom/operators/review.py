@@ -141,22 +141,62 @@ def flattened(document: DataFrame) -> DataFrame:
 def packets(articles: DataFrame, max_articles: int = 20, max_questions: int = 150) -> DataFrame:
     """(article_id, packet): articles in id order into packets bounded by articles and questions, never split.
 
-    articles: article_id, n. The order is sequential by definition, so only
-    these small rows meet in one group, never the questions.
+    articles: article_id, n. A packet starts where the one before it is full,
+    so ids are dealt into ranges: each range packs itself once for every row
+    that may be its first start (``max_articles`` at most) and reports how each
+    try ends. These few rows are chained, then each range numbers its own.
     """
     import pandas as pd
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        packet, held, total, out = 0, 0, 0, []
-        for a, n in sorted(zip(group["article_id"], group["n"])):
-            if held and (held == max_articles or total + n > max_questions):
-                packet, held, total = packet + 1, 0, 0
-            held, total = held + 1, total + n
-            out.append((a, packet))
-        return pd.DataFrame(out, columns=["article_id", "packet"])
+    from .runlog import ranged
 
     kind = dict(articles.dtypes)["article_id"]
-    return articles.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, f"article_id {kind}, packet int")
+    dealt = ranged(articles.select("article_id", "n"), "article_id").sortWithinPartitions("article_id")
+
+    def walk(sizes: list[int], held: int, total: int) -> tuple[list[int], int, int]:
+        """Rows at which packets start, and the state of the last packet, from one that is open with ``held`` articles."""
+        starts = []
+        for at, n in enumerate(sizes):
+            if held and (held == max_articles or total + n > max_questions):
+                held, total = 0, 0
+                starts.append(at)
+            held, total = held + 1, total + n
+        return starts, held, total
+
+    def report(batches):
+        parts = list(batches)
+        rows = pd.concat(parts) if parts else []
+        if len(rows):
+            sizes = rows["n"].tolist()
+            tries = [walk(sizes[first:], 0, 0) for first in range(min(len(sizes), max_articles + 1))]
+            head = sizes[: max_articles + 1]
+            yield pd.DataFrame({"range": [rows["range"].iloc[0]], "head": [head], "closed": [[len(t[0]) for t in tries]], "held": [[t[1] for t in tries]], "total": [[t[2] for t in tries]]})
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        packet, held, total, out = 0, 0, 0, []
+        for r in group.sort_values("range").itertuples():
+            out.append((r.range, packet, held, total))
+            starts, own_held, own_total = walk(list(r.head), held, total)
+            if starts:  # from the first start on, the range's own try holds
+                first = starts[0]
+                packet, held, total = packet + 1 + r.closed[first], r.held[first], r.total[first]
+            else:  # a short range that the open packet takes whole
+                held, total = own_held, own_total
+        return pd.DataFrame(out, columns=["range", "packet", "held", "total"])
+
+    small = dealt.mapInPandas(report, "range int, head array<long>, closed array<int>, held array<int>, total array<long>")
+    entry = small.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chain, "range int, packet int, held int, total long")  # a row per range
+
+    def number(batches):
+        parts = list(batches)
+        rows = pd.concat(parts) if parts else []
+        if len(rows):
+            starts, _, _ = walk(rows["n"].tolist(), int(rows["held"].iloc[0]), int(rows["total"].iloc[0]))
+            step = pd.Series(0, index=range(len(rows)))
+            step[starts] = 1
+            yield pd.DataFrame({"article_id": rows["article_id"].array, "packet": (int(rows["packet"].iloc[0]) + step.cumsum()).astype("int32").array})
+
+    return dealt.join(F.broadcast(entry), "range").sortWithinPartitions("article_id").mapInPandas(number, f"article_id {kind}, packet int")
 
 
 def competing_candidates(scored: DataFrame, articles: DataFrame, questions: DataFrame, k: int = 3, length: int = 420) -> DataFrame:

@@ -66,26 +66,70 @@ def same_run(log: DataFrame, run: str, column: str = "fingerprint") -> DataFrame
     return log.filter(F.col(column) != run)
 
 
+def collection_name(prefix: str, **settings: Column | str | int | float) -> Column:
+    """The name of the collection that belongs to these settings: other settings never share it."""
+    values = [(settings[k] if isinstance(settings[k], Column) else F.lit(settings[k])).alias(k) for k in sorted(settings)]
+    return F.concat(F.lit(f"{prefix}_"), F.left(F.sha2(F.to_json(F.struct(*values)).cast("binary"), 256), F.lit(12)))
+
+
+def preflight(manifest: DataFrame, actual: DataFrame, name: str = "name") -> DataFrame:
+    """(name, rule) of artifacts that are missing, not in the manifest, or differ in rows or hash; both frames: name, rows, hash."""
+    a = actual.select(name, F.col("rows").alias("rows_a"), F.col("hash").alias("hash_a"), F.lit(True).alias("here"))
+    both = manifest.select(name, "rows", "hash", F.lit(True).alias("listed")).join(a, name, "full_outer")
+    rules = F.array(
+        F.when(F.col("here").isNull(), F.lit("missing")),
+        F.when(F.col("listed").isNull(), F.lit("not_listed")),
+        F.when(F.col("rows") != F.col("rows_a"), F.lit("rows_differ")),
+        F.when(F.col("hash") != F.col("hash_a"), F.lit("hash_differs")),
+    )
+    return both.select(name, F.explode(F.array_compact(rules)).alias("rule"))
+
+
+def judge_violations(rows: DataFrame, requests: DataFrame, key: str, model: str) -> DataFrame:
+    """(key, rule) of judge rows that may not be mixed into a run: of another model, of another input, or never asked for.
+
+    rows: key, model, fingerprint; requests: key, fingerprint.
+    """
+    asked = requests.select(key, F.col("fingerprint").alias("asked"), F.lit(True).alias("known"))
+    rules = F.array(
+        F.when(~F.col("model").eqNullSafe(F.lit(model)), F.lit("other_model")),
+        F.when(F.col("known").isNull(), F.lit("not_requested")),
+        F.when(F.col("known").isNotNull() & ~F.col("fingerprint").eqNullSafe(F.col("asked")), F.lit("other_input")),
+    )
+    return rows.join(asked, key, "left").select(key, F.explode(F.array_compact(rules)).alias("rule"))
+
+
 def dataset_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     """(n, total): order-independent number and 60-bit hash sum of the rows; nothing is gathered."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"))
 
 
-def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Numbers the rows in batches of ``size`` by key order, without meeting in one task.
+def ranged(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a ``range``: its rows dealt by key order into as many ranges as a shuffle has partitions, a number that adaptive execution keeps."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, F.col(key)).withColumn("range", F.spark_partition_id())
+
+
+def numbered(df: DataFrame, key: str, out: str = "at") -> DataFrame:
+    """``df`` with each row's place by key order, from 0, without meeting in one task.
 
     Ranges of the key are counted, and each range starts at the sum of those before.
     """
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(F.col(key)).withColumn("range", F.spark_partition_id())
+    dealt = ranged(df, key)
     inside = Window.partitionBy("range").orderBy(key)
-    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
     starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = ranged.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(starts), "range")
-    return numbered.withColumn("batch", F.floor((F.col("start") + F.col("rn") - 1) / size)).drop("range", "rn", "start")
+    placed = dealt.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(starts), "range")
+    return placed.withColumn(out, F.col("start") + F.col("rn") - 1).drop("range", "rn", "start")
+
+
+def batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Numbers the rows in batches of ``size`` by key order."""
+    return numbered(df, key, "at").withColumn("batch", F.floor(F.col("at") / size)).drop("at")
 
 
 def last_n(df: DataFrame, key: str, n: int, order: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .runlog import numbered
 
 
 def sample(df: DataFrame, id: str, k: int, seed: int) -> DataFrame:
@@ -21,8 +22,8 @@ def positional_sample(df: DataFrame, id: str, k: int, seed: int) -> DataFrame:
     n = df.count()
     picked = random.Random(seed).sample(range(n), min(k, n))
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(p + 1,) for p in picked], "at long")
-    ids = df.select(id).withColumn("at", F.row_number().over(Window.orderBy(id)).cast("long"))
+    wanted = spark.createDataFrame([(p,) for p in picked], "at long")
+    ids = numbered(df.select(id), id, "at")
     return df.join(ids.join(F.broadcast(wanted), "at").select(id), id, "left_semi")
 
 

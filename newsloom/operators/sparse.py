@@ -16,11 +16,16 @@ MAX_BROADCAST_TERMS = 500_000
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, id, tf, dl), terms (term, df, raw) and corpus (n, avgdl, avg_raw)."""
+    """postings (term, id, tf, dl), terms (term, df, raw) and corpus (n, avgdl, avg_raw).
+
+    ``words`` (term, id, dl), a row per word, stands behind the postings of an
+    index that is not written: a search then counts the words of its query alone.
+    """
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    words: DataFrame | None = None
 
     def write(self, path: str) -> None:
         """Postings are clustered by term, so a query reads few row groups."""
@@ -36,13 +41,17 @@ class Index:
 def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     """Index of every document; documents without words count in n and avgdl with length 0."""
     tokenized = docs.select(F.col(doc_id).alias("id"), fx.tokens(F.col(text)).alias("ws"))
-    lengths = tokenized.select("id", F.size("ws").alias("dl"), "ws")
-    postings = lengths.select("id", "dl", F.explode("ws").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    words = tokenized.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
     sizes = docs.select(F.size(fx.tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # documents per term need no shuffle of the words: each document names its distinct ones
+    df = tokenized.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.join(F.broadcast(sizes.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     corpus = sizes.join(F.broadcast(terms.agg(F.avg("raw").alias("avg_raw"))))
-    return Index(postings, terms, corpus)
+    return Index(_counted(words), terms, corpus, words)
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -57,7 +66,11 @@ def scores(index: Index, terms: DataFrame) -> DataFrame:
     asked = terms.join(index.terms, "term").join(F.broadcast(index.corpus))
     idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.col("avg_raw"))
     asked = asked.select("query_id", "term", "qtf", idf.alias("idf"), "avgdl")
-    hits = index.postings.join(F.broadcast(asked) if small else asked, "term")
+    postings = index.postings
+    if index.words is not None:  # words that no query has go before they are counted
+        wanted = terms.select("term").distinct()
+        postings = _counted(index.words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi"))
+    hits = postings.join(F.broadcast(asked) if small else asked, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import chunking, metrics, sampling
-from ..session import table
+from ..session import sent, table
 from .registry import query
-from .retrieval import CONTAINS, gold, rounded
+from .retrieval import CONTAINS, MAX_ITEMS, gold, rounded
 
 LINES = r"""
 l0 AS (SELECT doc_id AS article_id, text AS body, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -82,7 +82,7 @@ def metadata_completeness(spark, sf_dir):
 def evidence(spark, sf_dir):
     """Benchmark items as questions whose evidence is their place in a document."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pairs = gold(spark, sf_dir).withColumnsRenamed({"id": "article_id"}).join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))), "query_id")
+    pairs = gold(spark, sf_dir).withColumnsRenamed({"id": "article_id"}).join(sent(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), MAX_ITEMS), "query_id")
     placed = pairs.join(docs.select(F.col("doc_id").alias("article_id"), "text"), "article_id")
     start = F.call_function("locate", F.col("item"), F.col("text")) - 1
     return placed.select(F.concat_ws("_", F.col("query_id").cast("string"), F.col("article_id").cast("string")).alias("question_id"), "article_id", start.alias("start"), (start + F.length("item")).alias("end"))
@@ -125,10 +125,10 @@ def leakage_antijoin(spark, sf_dir):
     return sampling.without_leaks(docs, docs.filter("source = 'src0'")).select("doc_id")
 
 
-@query(f"SELECT doc_id, 'doc_' || left(sha256(text), 16) AS content_id, {NORMAL} AS normalized, left(md5(CAST(doc_id AS VARCHAR)), 12) AS article_id FROM documents")
+@query(f"SELECT doc_id, 'doc_' || left(sha256(text), 16) AS content_id, {NORMAL} AS normalized, left(md5(CASE WHEN lang = 'en' THEN source ELSE CAST(doc_id AS VARCHAR) END), 12) AS article_id FROM documents")
 def content_hashes(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", fx.content_id(t).alias("content_id"), fx.normalized_hash(t).alias("normalized"), fx.article_id(F.lit(""), F.col("doc_id").cast("string")).alias("article_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", fx.content_id(t).alias("content_id"), fx.normalized_hash(t).alias("normalized"), fx.article_id(F.when(F.col("lang") == "en", F.col("source")).otherwise(""), F.col("doc_id").cast("string")).alias("article_id"))
 
 
 @query("SELECT doc_id, coalesce(left(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1], 160), '') AS title FROM documents")
@@ -150,6 +150,29 @@ def distribution_summary(spark, sf_dir):
     return rounded(metrics.distribution_summary(stacked, "metric", "value"), "mean")
 
 
+@query(
+    f"""WITH {SPANS}, k AS (SELECT article_id, count(*) AS n FROM sp GROUP BY 1), a AS (SELECT doc_id, length(text) AS chars, coalesce(n, 0) AS n FROM documents LEFT JOIN k ON article_id = doc_id),
+    c AS (SELECT * FROM a WHERE n > 0), x AS (SELECT s / greatest(chars, 1) AS place, e - s AS size FROM sp JOIN a ON doc_id = article_id),
+    v AS (SELECT 'candidate_article_chars' AS metric, CAST(chars AS DOUBLE) AS value FROM a UNION ALL SELECT 'candidate_questions_per_article', n FROM a UNION ALL SELECT 'selected_article_chars', chars FROM c UNION ALL SELECT 'selected_questions_per_article', n FROM c
+      UNION ALL SELECT 'selected_question_chars', size FROM x UNION ALL SELECT 'selected_answer_chars', size FROM x UNION ALL SELECT 'selected_normalized_answer_position', place FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value) AS rn, count(*) OVER (PARTITION BY metric) AS n FROM v WHERE value IS NOT NULL)
+    SELECT metric, max(n) AS count, round(min(value), 9) AS min, round(max(value), 9) AS max, round(avg(value), 9) AS mean, {QUANTILES.replace("END)", "END), 9)").replace("max(CASE", "round(max(CASE")} FROM r GROUP BY metric"""
+)
+def selection_coverage(spark, sf_dir):
+    """Documents as candidates; those that hold a benchmark item are the selection, the item being question and answer."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    held = evidence(spark, sf_dir).join(docs, "article_id")
+    item = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    asked = held.select("article_id", item.alias("question"), item.alias("answer"), "start")
+    out = metrics.selection_coverage(docs, asked.select("article_id"), asked)
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query(f"SELECT quantile_cont({N_TOKENS}, 0.5) AS median FROM documents")
+def token_median(spark, sf_dir):
+    return metrics.median(table(spark, sf_dir, "documents"), fx.token_count(F.col("text")))
+
+
 @query("SELECT source, count(*) AS n, max(length(text)) AS longest FROM documents GROUP BY source")
 def articles_per_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
@@ -169,7 +192,7 @@ def payload_fingerprint(spark, sf_dir):
 def span_validation(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("quote"))
-    rows = evidence(spark, sf_dir).join(docs, "article_id").withColumn("item", F.substring_index("question_id", "_", 1)).join(F.broadcast(items), "item")
+    rows = evidence(spark, sf_dir).join(docs, "article_id").withColumn("item", F.substring_index("question_id", "_", 1)).join(sent(items, MAX_ITEMS), "item")
     return rows.select("question_id", fx.spans_valid(F.col("text"), F.array(F.struct("start", "end", F.col("quote").alias("text")))).alias("valid"), F.length("text").alias("n"))
 
 

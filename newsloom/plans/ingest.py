@@ -66,6 +66,6 @@ def metadata_defaults(spark, sf_dir):
 PLAIN = fx.PLAIN.replace("'", "''")
 
 
-@query(rf"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(translate(text, '{fx.SMART}', '{PLAIN}'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))) AS text_md5 FROM documents")
+@query(rf"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize(text), '{fx.SMART}', '{PLAIN}'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)all rights reserved|licensed? under')), chr(10))) AS text_md5 FROM documents")
 def cleaned_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fx.cleaned(F.col("text")).cast("binary")).alias("text_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fx.cleaned(F.col("text"), "(?i)all rights reserved|licensed? under").cast("binary")).alias("text_md5"))

@@ -10,9 +10,15 @@ from ..session import table
 from .registry import query
 from .retrieval import tok
 
+def bare(text: str) -> str:
+    """Distinct words without the punctuation at their edges."""
+    edges = r"""[.,;:!?"''()\[\]{}]+"""
+    return f"list_distinct(list_filter(list_transform({tok(text)}, lambda w: regexp_replace(w, '^{edges}|{edges}$', '', 'g')), lambda w: w <> ''))"
+
+
 # documents as questions: three of every six neighbouring ids form a cluster
 ID = "CAST(doc_id AS VARCHAR)"
-QUESTIONS = f"q AS (SELECT {ID} AS question_id, CAST(doc_id // 6 AS VARCHAR) AS article_id, doc_id, left(text, 40) AS question, [lang, source] AS accepted_answers, ['c' || (doc_id % 5)] AS relevant_chunk_ids FROM documents)"
+QUESTIONS = f"q AS (SELECT {ID} AS question_id, CAST(doc_id // 6 AS VARCHAR) AS article_id, doc_id, text AS question, [lang, source] AS accepted_answers, ['c' || (doc_id % 5)] AS relevant_chunk_ids FROM documents)"
 CLUSTERS = """k AS (SELECT article_id, list_sort(list(question_id)) AS members, CAST(min(doc_id) AS VARCHAR) AS representative FROM q WHERE (doc_id // 3) % 2 = 0 GROUP BY article_id, doc_id // 3 HAVING count(*) >= 2),
 kc AS (SELECT *, sha256('{"article_id":"' || article_id || '","members":["' || array_to_string(members, '","') || '"]}') AS cluster_id FROM k),
 pt AS (SELECT unnest(members) AS question_id, cluster_id, representative FROM kc UNION ALL SELECT question_id, sha256('{"article_id":"' || article_id || '","members":["' || question_id || '"]}'), question_id FROM q WHERE question_id NOT IN (SELECT unnest(members) FROM kc))"""
@@ -20,7 +26,7 @@ pt AS (SELECT unnest(members) AS question_id, cluster_id, representative FROM kc
 
 def questions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("question_id"), F.floor(F.col("doc_id") / 6).cast("string").alias("article_id"), "doc_id", F.left("text", F.lit(40)).alias("question"),
+        F.col("doc_id").cast("string").alias("question_id"), F.floor(F.col("doc_id") / 6).cast("string").alias("article_id"), "doc_id", F.col("text").alias("question"),
         F.array("lang", "source").alias("accepted_answers"), F.array(F.concat(F.lit("c"), (F.col("doc_id") % 5).cast("string"))).alias("relevant_chunk_ids"),
     )
 
@@ -49,6 +55,15 @@ def dedup_merge(spark, sf_dir):
     return clusters.merged(placed, questions(spark, sf_dir))
 
 
+@query(f"WITH {QUESTIONS}, {CLUSTERS} SELECT cluster_id, representative, list_transform(list_sort(list(question_id)), lambda x: x) AS ids, md5(string_agg(question_id || ':' || coalesce(question, '') || ':' || CAST(question_id = representative AS VARCHAR), chr(10) ORDER BY question_id)) AS members_md5 FROM pt JOIN q USING (question_id) GROUP BY 1, 2")
+def cluster_records(spark, sf_dir):
+    """Clusters with their members' questions nested."""
+    placed = clusters.partition(decided(spark, sf_dir), questions(spark, sf_dir))
+    member = lambda m: F.concat(m["question_id"], F.lit(":"), F.coalesce(m["question"], F.lit("")), F.lit(":"), m["representative"].cast("string"))
+    rows = clusters.records(placed, questions(spark, sf_dir))
+    return rows.select("cluster_id", "representative", F.col("members.question_id").alias("ids"), F.md5(F.array_join(F.transform("members", member), "\n").cast("binary")).alias("members_md5"))
+
+
 @query(f"WITH {QUESTIONS}, {CLUSTERS} SELECT count(DISTINCT cluster_id) AS clusters, count(DISTINCT CASE WHEN question_id <> representative THEN cluster_id END) AS with_duplicates, count(*) FILTER (question_id <> representative) AS removed FROM pt")
 def duplicate_summary(spark, sf_dir):
     placed = clusters.partition(decided(spark, sf_dir), questions(spark, sf_dir))
@@ -112,7 +127,7 @@ def coverage_rules(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS question_id, left(text, 20) AS question, CASE WHEN doc_id % 3 = 0 THEN 'context_dependent' ELSE 'standalone' END AS label, CASE WHEN doc_id % 6 = 0 THEN 'clear ' || doc_id ELSE '' END AS clarified, doc_id % 10 = 0 AS excluded FROM documents)
+    """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS question_id, text AS question, CASE WHEN doc_id % 3 = 0 THEN 'context_dependent' ELSE 'standalone' END AS label, CASE WHEN doc_id % 6 = 0 THEN 'clear ' || doc_id ELSE '' END AS clarified, doc_id % 10 = 0 AS excluded FROM documents)
     SELECT 'reviewed' AS variant, question_id, question FROM a WHERE NOT excluded
     UNION ALL SELECT 'resolved', question_id, CASE WHEN label = 'context_dependent' AND clarified <> '' THEN clarified ELSE question END FROM a WHERE NOT excluded
     UNION ALL SELECT 'clarified', question_id, CASE WHEN label = 'context_dependent' AND clarified <> '' THEN clarified ELSE question END FROM a WHERE NOT excluded AND clarified <> ''
@@ -121,7 +136,7 @@ def coverage_rules(spark, sf_dir):
 def testset_variants(spark, sf_dir):
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
-    testset = docs.select(d.cast("string").alias("question_id"), F.left("text", F.lit(20)).alias("question"))
+    testset = docs.select(d.cast("string").alias("question_id"), F.col("text").alias("question"))
     notes = docs.select(d.cast("string").alias("question_id"), F.when(d % 3 == 0, "context_dependent").otherwise("standalone").alias("label"), F.when(d % 6 == 0, F.concat(F.lit("clear "), d.cast("string"))).otherwise("").alias("clarified"), (d % 10 == 0).alias("excluded"))
     return review.derived_testsets(testset, notes).select("variant", "question_id", "question")
 
@@ -143,8 +158,10 @@ def review_packets(spark, sf_dir):
     rf"""WITH b AS (SELECT item_id, text FROM benchmark), d AS (SELECT doc_id, text, list_distinct({tok('text')}) AS ws FROM documents),
     q AS (SELECT item_id, list_distinct({tok('text')}) AS qs FROM b),
     s AS (SELECT item_id, doc_id, len(list_intersect(ws, qs)) AS score FROM q, d WHERE len(list_intersect(ws, qs)) > 0 AND doc_id <> item_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
-    SELECT item_id AS question_id, rank, doc_id AS article_id FROM r WHERE rank <= 3"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s),
+    l AS (SELECT r.*, list_filter(string_split(d.text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls, {bare('b.text')} AS terms FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 3),
+    z AS (SELECT *, list_max(list_transform(ls, lambda x, i: struct_pack(hits := len(list_intersect({bare('x')}, terms)), place := -i, line := x))) AS best FROM l)
+    SELECT item_id AS question_id, rank, doc_id AS article_id, left(coalesce(best.line, ''), 420) AS snippet FROM z"""
 )
 def competing_candidates(spark, sf_dir):
     """Articles that share most words with an item, its own namesake left out, with their best lines."""
@@ -153,13 +170,13 @@ def competing_candidates(spark, sf_dir):
     words = docs.select("article_id", F.explode(F.array_distinct(fx.tokens(F.col("text")))).alias("w"))
     asked = items.select("question_id", F.explode(F.array_distinct(fx.tokens(F.col("question")))).alias("w"))
     scored = words.join(asked, "w").groupBy("question_id", "article_id").agg(F.count("*").cast("double").alias("score")).withColumn("source_article_id", F.col("question_id"))
-    return review.competing_candidates(scored, docs, items).select("question_id", "rank", "article_id")
+    return review.competing_candidates(scored, docs, items).select("question_id", "rank", "article_id", "snippet")
 
 
-@query("WITH e AS (SELECT event_id, CAST(event_id % 6 AS INTEGER) AS k, props FROM events) SELECT event_id, ([200, 429, 503, 401, 404, 418])[k + 1] AS code, (['other', 'retryable', 'retryable', 'fatal', 'fatal', 'other'])[k + 1] AS error_class FROM e")
+@query("WITH e AS (SELECT event_id, CAST(event_id % 6 AS INTEGER) AS k, props FROM events) SELECT event_id, ([200, 429, 503, 401, 404, 418])[k + 1] AS code, (['other', 'retryable', 'retryable', 'fatal', 'fatal', 'other'])[k + 1] AS error_class, left(coalesce(replace(props, 'key', '***'), ''), 500) AS message FROM e")
 def error_classes(spark, sf_dir):
     code = F.element_at(F.array(*[F.lit(c) for c in (200, 429, 503, 401, 404, 418)]), (F.col("event_id") % 6 + 1).cast("int"))
-    return runlog.classified_errors(table(spark, sf_dir, "events").select("event_id", code.alias("code"), F.col("props").alias("message")), "code", "message", "key").select("event_id", "code", "error_class")
+    return runlog.classified_errors(table(spark, sf_dir, "events").select("event_id", code.alias("code"), F.col("props").alias("message")), "code", "message", "key").select("event_id", "code", "error_class", "message")
 
 
 @query(f"SELECT doc_id, len({tok('text')}) AS n_tokens, sha256('{{\"a\":\"' || lang || '\",\"b\":\"' || source || '\"}}') AS row_hash FROM documents")

@@ -8,9 +8,9 @@ from ..functions import dates
 from ..functions import text as fx
 from ..operators import metrics, reports, runlog
 from ..session import table
-from . import retrieval
-from .registry import query
-from .retrieval import rounded
+from . import corpus, retrieval
+from .registry import SQL, query
+from .retrieval import BM25, KS, NAMES, OVERLAP, SAMPLES, metric_sql, rounded, tall_sql
 
 STATUS = "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'exhausted' ELSE 'failed' END"
 LATEST = f"s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, {STATUS} AS status FROM events), la AS (SELECT * FROM s WHERE rn = 1)"
@@ -105,6 +105,12 @@ def date_formats(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dates.iso_z(F.col("ts")).alias("iso"), dates.label(F.col("ts")).alias("label"))
 
 
+@query("SELECT count(DISTINCT conv_id) AS samples, 3 * count(DISTINCT conv_id) AS requests, CAST(ceil(count(DISTINCT conv_id) / 16) AS BIGINT) AS batches FROM conversations")
+def judge_estimate(spark, sf_dir):
+    """Requests and batches that judging every conversation three times takes."""
+    return reports.judge_estimate(table(spark, sf_dir, "conversations").select("conv_id").distinct(), 3, 16)
+
+
 @query("WITH m AS (SELECT conv_id, count(*) AS n, count(*) FILTER (text IS NULL OR trim(text, ' ') = '') AS blank FROM conversations GROUP BY conv_id) SELECT count(*) AS conversations, sum(n) AS turns, sum(blank) AS blank, sum(ceil(n / 2)) AS requests FROM m")
 def judge_requests(spark, sf_dir):
     """How many requests judging the answers of every conversation takes."""
@@ -119,12 +125,75 @@ def judge_means(spark, sf_dir):
     return rounded(metrics.judge_means(rows), "mean", "coverage")
 
 
-@query()
+SHORT_KS = (1, 3, 5)  # a reranked list has five hits
+SHORT = [f"{m}_{k}" for k in SHORT_KS for m in ("hit_rate", "mrr", "recall", "ndcg")]
+MEANS = lambda names: ", ".join(f"avg({n}) AS {n}" for n in names)
+COVERED = ["expected", "recorded", "successful", "failed", "missing", "success_rate"]
+ANSWERED, CITED = ["n", "exact_match", "f1"], [f"citation_{c}" for c in ("validity", "precision", "recall", "f1", "coverage")]
+
+
+def group_sql(group: str, rows: str) -> str:
+    return f"SELECT 'bm25' AS run, {group} AS \"group\", metric, value FROM ({rows})"
+
+
+@query(
+    f"""WITH {SAMPLES}, {OVERLAP}, h2 AS (SELECT query_id, list(id ORDER BY rank) AS retrieved FROM z WHERE rank <= 5 GROUP BY 1),
+    m2 AS (SELECT l.query_id, relevant, coalesce(h2.retrieved, []) AS retrieved FROM l LEFT JOIN h2 USING (query_id)),
+    e AS (SELECT query_id, relevant, {', '.join(metric_sql(k) for k in KS)} FROM m), e2 AS (SELECT query_id, {', '.join(metric_sql(k) for k in SHORT_KS)} FROM m2),
+    v AS (SELECT {MEANS(NAMES)} FROM e), v2 AS (SELECT {MEANS(SHORT)} FROM e2), dl AS (SELECT {', '.join(f'v2.{n} - v.{n} AS {n}' for n in SHORT)} FROM v, v2),
+    wa AS (SELECT list_min(relevant) AS article, {MEANS(NAMES)} FROM e GROUP BY 1), ma AS (SELECT {MEANS(NAMES)} FROM wa),
+    lb AS (SELECT coalesce(CAST(quality AS VARCHAR), 'none') AS label, {MEANS(NAMES)} FROM e LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) q ON q.doc_id = list_min(relevant) GROUP BY 1),
+    lt AS (SELECT avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS max FROM events WHERE value IS NOT NULL),
+    an AS ({SQL["qa_em_f1"]}), ct AS ({SQL["citations_eval"]}), cv AS ({SQL["coverage"]})
+    {" UNION ALL ".join([
+        group_sql("'retrieval'", tall_sql("v")), group_sql("'reranked'", tall_sql("v2", SHORT)), group_sql("'delta'", tall_sql("dl", SHORT)), group_sql("'macro'", tall_sql("ma")),
+        group_sql("'label:' || label", tall_sql("lb", keys="label, ")), group_sql("'answers'", tall_sql("an", ANSWERED)), group_sql("'citations'", tall_sql("ct", CITED)),
+        group_sql("'coverage'", tall_sql("cv", COVERED)), group_sql("'latency'", tall_sql("lt", ["mean", "p50", "p95", "max"])),
+    ])}"""
+)
 def benchmark_report(spark, sf_dir):
-    """The end-to-end run: retrieval before and after reranking, latency, as one tall report."""
-    base = retrieval.samples(spark, sf_dir)
-    lat = metrics.latency_summary(table(spark, sf_dir, "events"), "value")
-    return reports.build({"retrieval": metrics.evaluate_retrieval(base, retrieval.KS), "latency": metrics.tall(lat, ["mean", "p50", "p95", "max"])}, "bm25")
+    """The end-to-end run as one tall report: retrieval before and after reranking and the difference, means by article and by label, answers, citations, work done, latency."""
+    base = metrics.per_query(retrieval.samples(spark, sf_dir), KS).withColumn("article", F.array_min("relevant"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("article")).agg(F.max("quality").cast("string").alias("label"))
+    labelled = base.join(labels, "article", "left").withColumn("label", F.coalesce("label", F.lit("none")))
+    names = metrics.metric_columns(KS)
+    before = metrics.tall(base.agg(*[F.avg(c).alias(c) for c in names]), names)
+    after = metrics.evaluate_retrieval(retrieval.reranked_samples(spark, sf_dir), SHORT_KS)
+    by_label = metrics.tall(labelled.groupBy("label").agg(*[F.avg(c).alias(c) for c in names]), names, ["label"])
+    state = runlog.latest(log(spark, sf_dir), "user_id", "ts", "event_id")
+    latency = metrics.latency_summary(table(spark, sf_dir, "events"), "value")
+    groups = {
+        "retrieval": before,
+        "reranked": after,
+        "delta": metrics.delta(before, after).select("metric", F.col("delta").alias("value")),
+        "macro": metrics.macro_average(base, "article", names),
+        "answers": metrics.tall(corpus.qa_em_f1(spark, sf_dir), ANSWERED),
+        "citations": metrics.tall(corpus.citations_eval(spark, sf_dir), CITED),
+        "coverage": metrics.tall(runlog.coverage(work(spark, sf_dir), state, "user_id"), COVERED),
+        "latency": metrics.tall(latency, ["mean", "p50", "p95", "max"]),
+    }
+    labels_too = by_label.select(F.lit("bm25").alias("run"), F.concat(F.lit("label:"), "label").alias("group"), "metric", "value")
+    return rounded(reports.build(groups, "bm25").unionByName(labels_too), "value")
+
+
+CHUNKS = ["total_chunks", "mean_tokens", "std_tokens", "min_tokens", "max_tokens", "duplicate_rate", "sentence_end_rate", "size_compliance", "chunks_per_article_mean", "chunks_per_article_std"]
+
+
+@query(
+    f"""WITH ch AS ({SQL["chunk_stats"]}), du AS ({SQL["dedup_rate"]}), se AS ({SQL["semantic_integrity"]}), co AS ({SQL["metadata_completeness"]}), sr AS ({SQL["self_retrieval"]})
+    {" UNION ALL ".join(group_sql(f"'{g}'", tall_sql(s, n)).replace("'bm25'", "'corpus'") for g, s, n in (
+        ("chunks", "ch", CHUNKS), ("duplicates", "du", ["duplicate_rate"]), ("sentences", "se", ["sentence_end_rate"]), ("metadata", "co", ["metadata_completeness"]), ("retrieval", "sr", ["asked", "recall_at_1"])))}"""
+)
+def corpus_report(spark, sf_dir):
+    """Chunk sizes, duplicates, sentence ends, metadata and self-retrieval of a corpus as one tall report."""
+    groups = {
+        "chunks": metrics.tall(corpus.chunk_stats(spark, sf_dir), CHUNKS),
+        "duplicates": metrics.tall(corpus.dedup_rate(spark, sf_dir), ["duplicate_rate"]),
+        "sentences": metrics.tall(corpus.semantic_integrity(spark, sf_dir), ["sentence_end_rate"]),
+        "metadata": metrics.tall(corpus.metadata_completeness(spark, sf_dir), ["metadata_completeness"]),
+        "retrieval": metrics.tall(retrieval.self_retrieval(spark, sf_dir), ["asked", "recall_at_1"]),
+    }
+    return rounded(reports.build(groups, "corpus"), "value")
 
 
 @query("SELECT conv_id, turn, coalesce(list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d{1,9})\\]', 1), lambda x: CAST(x AS INTEGER))), []) AS cited_set, length(text) AS n FROM conversations".replace("coalesce(list_distinct", "list_sort(list_distinct").replace(", []) AS cited_set", ") AS cited_set"))

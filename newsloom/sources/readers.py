@@ -53,10 +53,13 @@ def log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame
     Appends are one line each, so a torn line can only be the last; any other
     bad line is a violation that callers must reject.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n+$", ""), "\n")).alias("pos", "line"), F.size(F.split(F.regexp_replace("value", "\n+$", ""), "\n")).alias("n"))
-    parsed = lines.filter("line <> ''").withColumn("record", F.try_parse_json("line"))
-    bad = parsed.filter("record IS NULL")
-    return parsed.filter("record IS NOT NULL").select("file", "pos", "record"), bad.filter("pos = n - 1").select("file", "pos", "line"), bad.filter("pos < n - 1").select("file", "pos", "line")
+    # a long file is read in splits: a line's place is its split's start and its order inside it
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line")).filter("line <> ''")
+    parsed = lines.withColumn("record", F.try_parse_json("line"))
+    last = lines.groupBy("file").agg(F.max("at").alias("last"))
+    bad = parsed.filter("record IS NULL").join(last, "file")
+    return parsed.filter("record IS NOT NULL").select("file", "at", "record"), bad.filter("at = last").select("file", "at", "line"), bad.filter("at <> last").select("file", "at", "line")
 
 
 def snapshot(spark: SparkSession, path: str, revision: str) -> DataFrame:
@@ -64,11 +67,11 @@ def snapshot(spark: SparkSession, path: str, revision: str) -> DataFrame:
     return spark.read.parquet(f"{path}/revision={revision}")
 
 
-def review_document(spark: SparkSession, path: str) -> DataFrame:
-    """Flat review rows of nested review documents."""
+def review_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Flat review rows of nested review documents: one a file, or with ``lines`` one a line."""
     from ..operators.review import flattened
 
-    return flattened(spark.read.schema(schemas.REVIEW_DOCUMENT).option("multiLine", "true").json(path))
+    return flattened(spark.read.schema(schemas.REVIEW_DOCUMENT).option("multiLine", str(not lines)).json(path))
 
 
 def review_csv(spark: SparkSession, path: str, known: DataFrame, schema: str = schemas.REVIEW) -> DataFrame:

@@ -94,10 +94,11 @@ def text_report(df: DataFrame, path: str) -> None:
 
 
 def review_documents(df: DataFrame, path: str) -> None:
-    """Nested review documents, a line per article."""
+    """Nested review documents, a line each, with one article in it."""
     from ..operators.review import readable_queue
 
-    readable_queue(df).write.mode("overwrite").json(path)
+    one = F.array(F.struct("article_id", "questions"))
+    readable_queue(df).select(F.lit("1").alias("schema_version"), one.alias("articles")).write.mode("overwrite").json(path)
 
 
 def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Gates, joins, sinks, sources and streams on small frames."""
 
+import random
+
 import pytest
 from newsloom.operators import clusters, dense, discovery, fusion, review, runlog, sampling, sparse
 from newsloom.sources import readers, sinks
@@ -64,6 +66,38 @@ def test_packets_are_bounded(spark):
     assert sizes(max_articles=2) == [1, 2] and sizes(max_questions=1) == [1, 1, 1] and sizes() == [3]
 
 
+@pytest.mark.parametrize("n,most", [(0, 9), (7, 3), (500, 9), (500, 400)])
+def test_packets_over_ranges_are_those_of_one_pass(spark, n, most):
+    rng = random.Random(n + most)
+    rows = [(3 * i, rng.randint(0, most)) for i in range(n)]
+    want, packet, held, total = {}, 0, 0, 0
+    for a, size in rows:
+        if held and (held == 4 or total + size > 20):
+            packet, held, total = packet + 1, 0, 0
+        held, total = held + 1, total + size
+        want[a] = packet
+    rng.shuffle(rows)
+    got = review.packets(spark.createDataFrame(rows, "article_id long, n long"), 4, 20).collect()
+    assert {r.article_id: r.packet for r in got} == want
+
+
+def test_searches_in_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(120)] + [(200, None), (201, [0.0] * 3), (202, [1.0]), (203, [1.0, None, 2.0])]
+    table = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    asked = table.filter("id % 10 = 0 OR id > 200").select(F.col("id").alias("query_id"), "embedding")
+    for metric in dense.METRICS:
+        whole = sorted(map(tuple, dense.search(table, asked, 7, metric).select("query_id", "id", "rank").collect()))
+        monkeypatch.setattr(dense, "MAX_BROADCAST_BYTES", 100)
+        assert sorted(map(tuple, dense.search(table, asked, 7, metric).select("query_id", "id", "rank").collect())) == whole
+        monkeypatch.undo()
+        score = {"cosine": lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 or 1), "ip": lambda a, b: sum(x * y for x, y in zip(a, b)), "l2": lambda a, b: 1 - sum((x - y) ** 2 for x, y in zip(a, b))}[metric]
+        good = [(i, v) for i, v in rows if v and len(v) == 3 and None not in v]
+        for q in (0, 50, 201):
+            best = sorted(good, key=lambda r: (-round(score(dict(good)[q], r[1]), 6), r[0]))[:7]
+            assert [b for a, b, _ in sorted((x for x in whole if x[0] == q), key=lambda x: x[2])] == [i for i, _ in best]
+
+
 def test_clusters(spark):
     q = spark.createDataFrame([("1", "a", "x", ["p"], ["c2"]), ("2", "a", "y", ["q", "p"], ["c1"]), ("3", "b", "z", ["r"], [])], "question_id string, article_id string, question string, accepted_answers array<string>, relevant_chunk_ids array<string>")
     schema = "cluster_id string, article_id string, members array<string>, representative string, target string, rationale string"

@@ -53,9 +53,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_remainder(F.col("doc_id"), 5) == 1
-    tree, counts = suffix_tree.train(docs.filter(~held_out))
-    scored = suffix_tree.score(docs, tree, counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = suffix_tree.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

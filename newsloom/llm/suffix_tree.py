@@ -1,300 +1,351 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root holds the smoothed unigram distribution. A context of one or two
-words is a candidate node if its share of all tokens reaches ``min_context``;
-it is retained if its next-word distribution diverges from that of its suffix:
-if the training likelihood gained by it exceeds a BIC penalty. A node keeps
-the next words whose share together with the context reaches ``min_joint``,
-discounts them, and gives the rest to its suffix. A token is scored in the
-state of the longest retained suffix of its history.
-
-The shares bound the model: at most 1 / min_context nodes a level and
-1 / min_joint next words a level exist at any corpus size, so it may be
-broadcast. Counts themselves are taken over the whole corpus, and words too
-rare for the broadcast list meet their counts in a join.
+The root holds the smoothed unigram distribution. A context of up to ``depth``
+words that the training texts hold ``min_count`` times is a candidate node; it
+is retained if its next-word distribution diverges from that of its suffix: if
+the training likelihood gained by it exceeds a BIC penalty. A node keeps the
+next words that follow it ``min_count`` times, discounts them, and gives the
+rest to its suffix. A token is scored in the state of the longest retained
+suffix of its history. The floors are absolute, so the tree grows with the
+corpus, and no task and no driver ever holds it whole.
+
+Texts are cut into slices of whole documents, whose tokens are kept as numbers
+of the slice's own word list. What a slice must know of the corpus it asks by
+key: its distinct words or word sequences, hashed to 64 bits, are dealt with
+its own counts to parts by hash, a part adds up what all slices sent, and each
+slice gets the sums of its keys back. A slice sends a key once, so a frequent
+word weighs no more than a rare one. Level by level, only sequences whose two
+shorter parts are frequent enough are asked for. What a node's test needs are
+sums over its next words; every slice adds its share, and the part decides.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 #: The end of a text, and the history before its first word. No word holds a blank.
 END = b"\n"
+U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class Settings:
-    min_word: float = 1e-6  # share from which a word is in the broadcast list
-    min_context: float = 1e-5
-    min_joint: float = 1e-6
-    min_count: int = 3  # floor below which no share counts, for small corpora
+    depth: int = 3  # words of the longest context
+    min_count: int = 2
     discount: float = 0.5
-    slice_chars: int = 1_000_000
-    held_words: int = 300_000  # distinct words or pairs a task holds before it passes their counts on
-
-    def least(self, share: float, total: int) -> int:
-        return max(self.min_count, int(np.ceil(share * total)))
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII blanks after lower-casing A-Z, without the end token."""
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def _sliced(texts, chars: int) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def word_counts(docs: DataFrame, text: str, s: Settings = Settings()) -> DataFrame:
-    """(word binary, c long) over all texts, the end token included."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    slice_chars: int = 4_000_000
+    part_keys: int = 2_000_000  # keys that meet in a part, on average
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The bytes of numbers, those of equal weight together, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(blob: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _mixed(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
+    h = (a ^ (a >> U64(29))) * U64(0x9E3779B97F4A7C15) + (np.atleast_1d(np.asarray(b, U64)) ^ U64(salt)) * U64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> U64(32))) * U64(0x9E3779B97F4A7C15)
+    return h ^ (h >> U64(29))
+
+
+def _sliced(docs: DataFrame, kind: str, s: Settings) -> DataFrame:
+    """(slice, docs, learn, sizes, ids, words, n_learn): runs of rows of ``docs`` (doc_id, text, learn), tokens as places in ``words``."""
+
+    def cut(ids: pa.Array, texts: pa.Array, learn: pa.Array, number: int) -> pa.RecordBatch:
+        texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.string()), "")  # copied: some kernels misread slices
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        coded = parts.flatten().dictionary_encode()
+        words = [w.encode("utf-8", "replace") for w in coded.dictionary.to_numpy(zero_copy_only=False)]
+        at = coded.indices.to_numpy()
+        real = at != words.index(b"") if b"" in words else np.ones(len(at), bool)  # blanks at an end of a text
+        doc, at = doc[real], at[real]
+        sizes = np.bincount(doc, minlength=len(texts)) + 1
+        tokens = np.full(sizes.sum(), len(words))
+        tokens[np.arange(len(at)) + doc] = at
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in [*words, END]], U64)
+        # the most frequent words get the smallest numbers
+        count = np.bincount(tokens, minlength=len(hashes))
+        order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        rank = np.empty(len(hashes), np.int64)
+        rank[order] = np.arange(len(order))
+        flags = learn.to_numpy(zero_copy_only=False).astype(np.uint8)
+        row = {
+            "slice": [number], "learn": [flags.tobytes()], "sizes": [_packed(sizes.astype("<i4"))], "ids": [_packed(rank[tokens].astype("<u4"))],
+            "words": [hashes[order].tobytes()], "n_learn": [int(sizes[flags > 0].sum())],
+        }
+        columns = [pa.array(v, t) for v, t in zip(row.values(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays([ids]))], [*row, "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for t in batch["t"]:
-                held.update(tokens(t))
-            held[END] += len(batch)
-            if len(held) > s.held_words:
-                yield pd.DataFrame({"word": list(held.keys()), "c": list(held.values())})
-                held = Counter()
-        yield pd.DataFrame({"word": list(held.keys()), "c": list(held.values())})
-
-    return docs.select(F.col(text).alias("t")).mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Words:
-    """Positions of the broadcast words, most frequent first; -1 for every other word."""
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            start = size = 0
+            for stop, n in enumerate(lengths, 1):
+                size += n
+                if size >= s.slice_chars or stop == len(lengths):
+                    yield cut(*(batch.column(i).slice(start, stop - start) for i in range(3)), number)
+                    start, size, number = stop, 0, number + 1
 
-    def __init__(self, words: list[bytes]):
-        self.at = {w: i for i, w in enumerate(words)}
-        self.end = self.at.get(END, -1)
+    return docs.mapInArrow(run, f"slice long, learn binary, sizes binary, ids binary, words binary, n_learn long, docs array<{kind}>")
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all tokens of the texts, ends included, and each text's number of tokens."""
-        get, flat, sizes = self.at.get, [], []
-        for t in texts:
-            words = tokens(t)
-            flat.extend([get(w, -1) for w in words])
-            flat.append(self.end)
-            sizes.append(len(words) + 1)
-        return np.array(flat, np.int64), np.array(sizes, np.int64)
 
+COUNT, GAIN = 0, 1000  # kinds of questions: COUNT + level, GAIN + level
 
-def histories(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last and the last but one word before each token; -1 where there is none."""
-    starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    last = np.r_[-1, ids[:-1]]
-    last[starts] = end
-    before = np.r_[-1, last[:-1]]
-    before[starts] = -1
-    return last, before
 
+@dataclass
+class _Level:
+    """Distinct sequences of level + 1 words of a slice: sequence i is sequence ctx[i] of the level below, then the last word of suffix[i]."""
+
+    at: np.ndarray  # the sequence that ends at each token, -1 where none may be frequent
+    key: np.ndarray
+    n: np.ndarray  # occurrences in the slice's training texts
+    ctx: np.ndarray
+    suffix: np.ndarray
+    c: np.ndarray | None = None  # occurrences in all training texts
+
+
+class _Slice:
+    def __init__(self, row, bits: int, n_tokens: int, n_distinct: int, s: Settings):
+        self.s, self.bits, self.N, self.V = s, bits, n_tokens, n_distinct
+        self.sizes = _unpacked(row.sizes, "<i4").astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.learn = np.repeat(np.frombuffer(row.learn, np.uint8), self.sizes)
+        tokens, key = _unpacked(row.ids, "<u4").astype(np.int64), np.frombuffer(row.words, U64)
+        none = np.zeros(0, np.int64)
+        self.levels = [_Level(tokens, key, np.bincount(tokens, weights=self.learn, minlength=len(key)).astype(np.int64), none, none)]
+        self.end = tokens[-1]
+        self.answers: dict[int, list] = {}
+        for a in row.answers if getattr(row, "answers", None) is not None else ():
+            self.answers.setdefault(a["kind"], []).append((a["part"], a["out"]))
+
+    def answer(self, kind: int, key: np.ndarray, dtype: str) -> np.ndarray:
+        """What the parts said of each key: parts hold ranges of keys, so their answers in order are those of the sorted keys."""
+        out = np.empty(len(key), dtype)
+        if len(key):
+            out[np.argsort(key, kind="stable")] = np.concatenate([_unpacked(blob, dtype) for _, blob in sorted(self.answers[kind], key=lambda x: x[0])])
+        return out
 
-def _counted(docs: DataFrame, text: str, words, keys: Callable, s: Settings) -> DataFrame:
-    """(key long, c long): counts of what ``keys(ids, last, before, end)`` gives for slices of texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words(words.value[0])
-        held_keys, held_counts, size = [], [], 0
-
-        def merged():
-            k, at = np.unique(np.concatenate(held_keys), return_inverse=True)
-            return k, np.bincount(at, weights=np.concatenate(held_counts), minlength=len(k)).astype(np.int64)
-
-        for batch in batches:
-            for part in _sliced(batch["t"], s.slice_chars):
-                ids, sizes = known.ids(part)
-                k, c = np.unique(keys(ids, *histories(ids, sizes, known.end), known.end), return_counts=True)
-                held_keys.append(k)
-                held_counts.append(c)
-                size += len(k)
-                if size > 4 * s.held_words:
-                    k, c = merged()
-                    held_keys, held_counts, size = [k], [c], len(k)
-                    if size > 2 * s.held_words:
-                        yield pd.DataFrame({"key": k, "c": c})
-                        held_keys, held_counts, size = [], [], 0
-        if size:
-            k, c = merged()
-            yield pd.DataFrame({"key": k, "c": c})
-
-    return docs.select(F.col(text).alias("t")).mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions of keys in sorted_keys, -1 where absent."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
+    def questions(self, kind: int, key: np.ndarray, values: np.ndarray, total: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(key, kind="stable")
+        key, values, total = key[order], values[order], total[order]
+        part = (key >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(key) else part
+        for a, b in zip(cuts, [*cuts[1:], len(key)]):
+            yield kind, int(part[a]), key[a:b].tobytes(), _packed(values[a:b].ravel()), _packed(total[a:b])
+
+    def previous(self, level: int) -> np.ndarray:
+        """The sequence of ``level`` that ends before each token; the end stands before a text's first word."""
+        out = np.r_[-1, self.levels[level].at[:-1]]
+        out[self.starts] = self.end if level == 0 else -1
+        return out
 
-@dataclass
-class Level:
-    """The retained nodes of one depth: node n has the back-off weight alpha[n] and next words keys // width == n."""
-
-    contexts: np.ndarray  # sorted context keys
-    alpha: np.ndarray  # log10 weight of the suffix
-    keys: np.ndarray  # sorted node * width + next word
-    log_p: np.ndarray
-
-    def scores(self, contexts: np.ndarray, following: np.ndarray, suffix: np.ndarray, width: int) -> np.ndarray:
-        """log10 probabilities at this depth, from those of the suffix."""
-        node = _lookup(self.contexts, contexts)
-        out = np.where(node >= 0, suffix + self.alpha[node] if len(self.alpha) else suffix, suffix)
-        here = np.flatnonzero((node >= 0) & (following >= 0))
-        at = _lookup(self.keys, node[here] * width + following[here])
-        out[here[at >= 0]] = self.log_p[at[at >= 0]]
+    def counted(self, level: int):
+        own = self.levels[level]
+        own.c = self.answer(COUNT + level, own.key, "<i8")
+
+    def ask_counts(self, level: int) -> Iterator[tuple]:
+        own = self.levels[level]
+        yield from self.questions(COUNT + level, own.key, own.n.astype("<i4"), np.zeros(len(own.key), "<i8"))
+
+    def grow(self):
+        """The next level: sequences whose first and last parts are both frequent enough."""
+        below, level = self.levels[-1], len(self.levels)
+        before = self.previous(level - 1)
+        may = np.flatnonzero((before >= 0) & (below.at >= 0))
+        may = may[(below.c[before[may]] >= self.s.min_count) & (below.c[below.at[may]] >= self.s.min_count)]
+        size = max(len(below.key), 1)
+        both, inverse = np.unique(before[may] * size + below.at[may], return_inverse=True)
+        at = np.full(len(before), -1)
+        at[may] = inverse
+        ctx, suffix = both // size, both % size
+        n = np.bincount(inverse, weights=self.learn[may], minlength=len(both)).astype(np.int64)
+        self.levels.append(_Level(at, _mixed(below.key[ctx], below.key[suffix], level), n, ctx, suffix))
+
+    def base(self) -> np.ndarray:
+        return np.log10((self.levels[0].c + 0.5) / (self.N + 0.5 * (self.V + 1)))
+
+    def contexts(self, level: int) -> np.ndarray:
+        """The sequences below ``level`` that are frequent enough to be nodes and that a token follows."""
+        before = self.previous(level - 1)
+        seen = np.unique(before[before >= 0])
+        return seen[self.levels[level - 1].c[seen] >= self.s.min_count]
+
+    def own_log_p(self, level: int) -> np.ndarray:
+        """Discounted log10 probability of each sequence's last word after the words before it; nan for rare ones."""
+        own = self.levels[level]
+        total = self.levels[level - 1].c[own.ctx]
+        return np.log10(np.where(own.c >= self.s.min_count, own.c - self.s.discount, np.nan) / np.maximum(total, 1))
+
+    def ask_gains(self, level: int, below: np.ndarray) -> Iterator[tuple]:
+        """This slice's share of the sums that decide on the nodes; below: log10 P(last word | suffix) of each sequence below ``level``."""
+        own, log_p, nodes = self.levels[level], self.own_log_p(level), self.contexts(level)
+        kept = np.flatnonzero((own.c >= self.s.min_count) & (own.n > 0))
+        share, c, q = own.n[kept] / own.c[kept], own.c[kept], below[own.suffix[kept]]
+        place = np.searchsorted(nodes, own.ctx[kept])
+        sums = [np.bincount(place, weights=share * x, minlength=len(nodes)) for x in (c - self.s.discount, 10.0**q, c * (log_p[kept] - q), c, np.ones(len(kept)))]
+        key = _mixed(self.levels[level - 1].key[nodes], GAIN, GAIN + level)
+        yield from self.questions(GAIN + level, key, np.stack(sums, 1).astype("<f4"), self.levels[level - 1].c[nodes].astype("<i8"))
+
+    def alphas(self, level: int) -> np.ndarray:
+        """log10 back-off weight of each sequence below ``level`` as a node; nan where it is not retained."""
+        nodes = self.contexts(level)
+        out = np.full(len(self.levels[level - 1].key), np.nan)
+        out[nodes] = self.answer(GAIN + level, _mixed(self.levels[level - 1].key[nodes], GAIN, GAIN + level), "<f8")
         return out
 
+    def log_p(self, level: int, below: np.ndarray) -> np.ndarray:
+        """log10 P(last word | longest retained suffix up to this depth) of each sequence of ``level``, from that of the level below."""
+        own, q = self.levels[level], below[self.levels[level].suffix]
+        alpha, p = self.alphas(level)[own.ctx], self.own_log_p(level)
+        return np.where(np.isnan(alpha), q, np.where(np.isnan(p), q + alpha, p))
+
+    def scores(self) -> np.ndarray:
+        out = self.base()[self.levels[0].at]
+        for level in range(1, len(self.levels)):
+            before, own = self.previous(level - 1), self.levels[level]
+            alpha = np.r_[self.alphas(level), np.nan][before]
+            p = np.r_[self.own_log_p(level), np.nan][own.at]
+            out = np.where(np.isnan(alpha), out, np.where(np.isnan(p), out + alpha, p))
+        return out
 
-def _level(contexts: np.ndarray, totals: np.ndarray, node: np.ndarray, following: np.ndarray, c: np.ndarray, suffix: np.ndarray, width: int, n_tokens: int, s: Settings) -> Level:
-    """Nodes whose gain over the suffix distribution exceeds the penalty. suffix: log10 P(following | suffix)."""
-    k = len(contexts)
-    kept = np.bincount(node, weights=c - s.discount, minlength=k)
-    covered = np.bincount(node, weights=10.0**suffix, minlength=k)
-    symbols = np.bincount(node, minlength=k)
-    rest = totals - np.bincount(node, weights=c, minlength=k)
-    alpha = np.log10(np.maximum((totals - kept) / totals, 1e-12) / np.maximum(1 - covered, 1e-12))
-    log_p = np.log10((c - s.discount) / totals[node])
-    gain = np.log(10) * (np.bincount(node, weights=c * (log_p - suffix), minlength=k) + rest * alpha)
-    good = (symbols > 0) & (covered < 1 - 1e-9) & (gain > 0.5 * symbols * np.log(max(n_tokens, 2)))
-    new = np.cumsum(good) - 1
-    inside = good[node]
-    keys = new[node[inside]] * width + following[inside]
-    order = np.argsort(keys)
-    return Level(contexts[good], alpha[good], keys[order], log_p[inside][order])
 
+def _decided(total: np.ndarray, kept, covered, gain, c, symbols, n_tokens: int) -> np.ndarray:
+    """log10 back-off weight of the nodes that pass the divergence test, nan for the others."""
+    total = np.maximum(total, 1)
+    alpha = np.log10(np.maximum((total - kept) / total, 1e-12) / np.maximum(1 - covered, 1e-12))
+    gained = np.log(10) * (gain + (total - c) * alpha)
+    good = (symbols > 0.5) & (covered < 1 - 1e-6) & (gained > 0.5 * np.round(symbols) * np.log(max(n_tokens, 2)))
+    return np.where(good, alpha, np.nan)
 
-@dataclass
-class Tree:
-    words: list[bytes]
-    root: np.ndarray  # log10 base probability of each broadcast word
-    levels: list[Level]
-    n_tokens: int
-    n_distinct: int
-
-    def base(self, c):
-        return np.log10((np.asarray(c, float) + 0.5) / (self.n_tokens + 0.5 * (self.n_distinct + 1)))
-
-    def log_p(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P(token | longest retained suffix); the base part of words outside the list is left out (0)."""
-        width = len(self.words)
-        out = np.append(self.root, 0.0)[ids]
-        for depth, level in enumerate(self.levels, 1):
-            contexts = last if depth == 1 else np.where((before >= 0) & (last >= 0), before * width + last, -1)
-            out = level.scores(contexts, ids, out, width)
-        return out
 
+def _answered(asked: DataFrame, n_tokens: int) -> DataFrame:
+    """(slice, kind, part, out, n_distinct): for each question the sums, or the node decisions, of its keys."""
 
-def train(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[Tree, DataFrame]:
-    """The tree, and the stored (word, c) counts of the corpus. An empty corpus gives a bare root."""
-    s, spark = settings, docs.sparkSession
-    counts = stored(word_counts(docs, text, s))
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(totals["n"]), int(totals["v"])
-    head = counts.filter(F.col("c") >= s.least(s.min_word, n)).toPandas()  # at most 1 / min_word rows
-    head = head.sort_values(["c", "word"], ascending=[False, True], kind="stable")
-    words, c1 = [bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64)
-    tree = Tree(words, np.zeros(0), [], n, v)
-    tree.root = tree.base(c1)
-    width = len(words)
-    least, joint = s.least(s.min_context, n), s.least(s.min_joint, n)
-    top = int((c1 >= least).sum())  # words with room for contexts stand in front
-    shared = spark.sparkContext.broadcast((words, None))
-
-    def pairs(ids, last, before, end):
-        both = (ids >= 0) & (last >= 0) & (last < top)
-        return last[both] * width + ids[both]
-
-    found = _counted(docs, text, shared, pairs, s).filter(F.col("c") >= joint).toPandas()  # at most 1 / min_joint rows
-    key, c2 = found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
-    first, following = key // max(width, 1), key % max(width, 1)
-    one = _level(np.arange(top), c1[:top].astype(float), first, following, c2, tree.root[following], width, n, s)
-    tree.levels.append(one)
-
-    order = np.argsort(key)
-    wide = order[(c2[order] >= least) & (following[order] != (Words(words).end))]
-    contexts, totals2 = key[wide], c2[wide].astype(float)
-    shared2 = spark.sparkContext.broadcast((words, contexts))
-
-    def triples(ids, last, before, end):
-        node = _lookup(shared2.value[1], np.where((before >= 0) & (last >= 0), before * width + last, -1))
-        both = (ids >= 0) & (node >= 0)
-        return node[both] * width + ids[both]
-
-    found = _counted(docs, text, shared2, triples, s).filter(F.col("c") >= joint).toPandas()
-    key, c3 = found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
-    node, following = key // max(width, 1), key % max(width, 1)
-    suffix = one.scores(contexts[node] % max(width, 1), following, tree.root[following], width) if len(node) else np.zeros(0)
-    tree.levels.append(_level(contexts, totals2, node, following, c3, suffix, width, n, s))
-    return tree, counts
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per document: its id, n_tokens, n_known, base_score and score.
-
-    Null and empty texts hold the end token alone. Words outside the tree's
-    list are gathered per document and joined with the corpus counts; every
-    row is scored alone, so repeated and null ids are no special case.
-    """
-    s = settings
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kind = dict(docs.dtypes)[doc_id]
+    def decide(kind: int, group: list[tuple]) -> pd.DataFrame:
+        keys = [np.frombuffer(g[3], U64) for g in group]
+        distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        if kind < GAIN:
+            out = np.bincount(inverse, weights=np.concatenate([_unpacked(g[4], "<i4") for g in group])).astype("<i8")
+            known = int((out > 0).sum())
+        else:
+            values = np.concatenate([_unpacked(g[4], "<f4").reshape(-1, 5) for g in group]).astype(float)
+            total = np.concatenate([_unpacked(g[5], "<i8") for g in group])[first]
+            out, known = _decided(total, *(np.bincount(inverse, weights=v) for v in values.T), n_tokens), 0
+        parts = np.split(out[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        return pd.DataFrame({"slice": [g[0] for g in group], "kind": kind, "part": group[0][2], "out": [_packed(p) for p in parts], "n_distinct": [known] + [0] * (len(group) - 1)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, row = shared.value, TaskContext.get().partitionId() << 40
-        known = Words(t.words)
-        root = np.append(t.root, 0.0)
+        group: list[tuple] = []
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                if group and row[1:3] != group[0][1:3]:
+                    yield decide(group[0][1], group)
+                    group = []
+                group.append(row)
+        if group:
+            yield decide(group[0][1], group)
+
+    dealt = asked.repartition("kind", "part").sortWithinPartitions("kind", "part", "slice")
+    return dealt.mapInPandas(run, "slice long, kind int, part long, out binary, n_distinct long")
+
+
+def score(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """A row per row of ``docs``: its id, n_tokens, n_known, train_tokens, base_score and score, by a tree of the rows that meet ``learn`` (null: all).
+
+    Scores are log10 probabilities of the whole text; texts are read whole,
+    however long. Null and empty texts hold the end token alone. Every row
+    counts and is scored alone, so repeated and null ids are no special case.
+    Columns of other names are ignored; an empty table gives an empty table,
+    and without training rows every token gets the unigram smoothing.
+    """
+    s, kind = settings, dict(docs.dtypes)[doc_id]
+    flag = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    slices = stored(_sliced(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), flag.alias("learn")), kind, s))
+    n_tokens = int(slices.agg(F.coalesce(F.sum("n_learn"), F.lit(0))).first()[0])
+    n_keys = int(slices.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]) // 8
+    bits = max(0, int(np.ceil(np.log2(max(1, 3 * n_keys / s.part_keys)))))
+    answers: list[DataFrame] = []
+    n_distinct = 0
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield row, _Slice(row, bits, n_tokens, n_distinct, s)
+
+    def asked(level: int):
+        """Questions once the counts of levels below ``level`` are known: counts of this level, decisions on the nodes two levels down."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row, x in opened(batches):
+                found, q = [], None
+                for done in range(level):
+                    x.counted(done)
+                    if done:
+                        q = x.log_p(done - 1, q) if done > 1 else x.base()
+                    if done < level - 1 or level <= s.depth:
+                        x.grow()
+                if level <= s.depth:
+                    found += x.ask_counts(level)
+                if level > 1:
+                    found += x.ask_gains(level - 1, q)
+                yield pd.DataFrame([(row.slice, *f) for f in found], columns=["slice", "kind", "part", "keys", "values", "total"])
+
+        return run
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, x in opened(batches):
+            yield pd.DataFrame([(row.slice, *f) for f in x.ask_counts(0)], columns=["slice", "kind", "part", "keys", "values", "total"])
+
+    def told() -> DataFrame:
+        """Slices with the answers so far."""
+        every = answers[0]
+        for a in answers[1:]:
+            every = every.unionByName(a)
+        per_slice = every.groupBy("slice").agg(F.collect_list(F.struct("kind", "part", "out")).alias("answers"))
+        return slices.join(per_slice, "slice")
+
+    schema = "slice long, kind int, part long, keys binary, values binary, total binary"
+    answers.append(stored(_answered(slices.drop("docs").mapInPandas(first, schema), n_tokens)))
+    n_distinct = int(answers[0].agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0])
+    for level in range(1, s.depth + 2):
+        answers.append(stored(_answered(told().drop("docs").mapInPandas(asked(level), schema), n_tokens)))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in _sliced(batch["t"], s.slice_chars):
-                ids, sizes = known.ids(part)
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                log_p = t.log_p(ids, *histories(ids, sizes, known.end))
-                rare = [Counter(w for w in tokens(x) if w not in known.at) for x in part]
-                yield pd.DataFrame({
-                    "row": np.arange(row, row + len(part)),
-                    "doc_id": batch["doc_id"].array[at : at + len(part)],
-                    "n_tokens": sizes,
-                    "n_listed": np.add.reduceat((ids >= 0).astype(np.int64), starts),
-                    "listed_base": np.add.reduceat(root[ids], starts),
-                    "listed_score": np.add.reduceat(log_p, starts),
-                    "rare": [list(r.keys()) for r in rare],
-                    "times": [list(r.values()) for r in rare],
-                })
-                row, at = row + len(part), at + len(part)
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    schema = f"row long, doc_id {kind}, n_tokens long, n_listed long, listed_base double, listed_score double, rare array<binary>, times array<long>"
-    passed = stored(rows.mapInPandas(run, schema))
-    rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10((c + 0.5) / F.lit(tree.n_tokens + 0.5 * (tree.n_distinct + 1)))
-    sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(base * F.col("times")).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    rare_base = F.coalesce("rare_base", F.lit(0.0))
-    return passed.drop("rare", "times").join(sums, "row", "left").select(
-        F.col("doc_id").alias(doc_id),
-        "n_tokens",
-        (F.col("n_listed") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        (F.col("listed_base") + rare_base).alias("base_score"),
-        (F.col("listed_score") + rare_base).alias("score"),
-    )
+            for i in range(len(batch)):
+                row = SimpleNamespace(**{name: batch.column(name)[i].as_py() for name in ("learn", "sizes", "ids", "words", "answers")})
+                x = _Slice(row, bits, n_tokens, n_distinct, s)
+                for level in range(s.depth + 1):
+                    x.counted(level)
+                    if level < s.depth:
+                        x.grow()
+                words = x.levels[0].at
+                sums = [np.add.reduceat(v, x.starts) for v in ((x.levels[0].c > 0)[words].astype(np.int64), x.base()[words], x.scores())]
+                columns = [batch.column("docs")[i].values, x.sizes, sums[0], np.full(len(x.sizes), n_tokens), sums[1], sums[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = stored(told().mapInArrow(scored, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    drop_stored(slices, *answers)
+    return out.withColumnRenamed("doc_id", doc_id)

@@ -44,10 +44,11 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 3  # words of the longest context
+    depth: int = 2  # words of the longest context
     min_count: int = 2
     discount: float = 0.5
-    slice_chars: int = 4_000_000
+    slice_chars: int = 8_000_000
+    spare_bits: int = 24  # two of the corpus's sequences share a key with a chance of 2 ** -spare_bits for each sequence
     part_keys: int = 2_000_000  # keys that meet in a part, on average
 
 
@@ -69,7 +70,7 @@ def _mixed(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
 
 
 def _sliced(docs: DataFrame, kind: str, s: Settings) -> DataFrame:
-    """(slice, docs, learn, sizes, ids, words, n_learn): runs of rows of ``docs`` (doc_id, text, learn), tokens as places in ``words``."""
+    """(slice, learn, sizes, ids, words, n_learn, n_all, docs): runs of rows of ``docs`` (doc_id, text, learn), tokens as places in ``words``."""
 
     def cut(ids: pa.Array, texts: pa.Array, learn: pa.Array, number: int) -> pa.RecordBatch:
         texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.string()), "")  # copied: some kernels misread slices
@@ -92,9 +93,9 @@ def _sliced(docs: DataFrame, kind: str, s: Settings) -> DataFrame:
         flags = learn.to_numpy(zero_copy_only=False).astype(np.uint8)
         row = {
             "slice": [number], "learn": [flags.tobytes()], "sizes": [_packed(sizes.astype("<i4"))], "ids": [_packed(rank[tokens].astype("<u4"))],
-            "words": [hashes[order].tobytes()], "n_learn": [int(sizes[flags > 0].sum())],
+            "words": [hashes[order].tobytes()], "n_learn": [int(sizes[flags > 0].sum())], "n_all": [int(sizes.sum())],
         }
-        columns = [pa.array(v, t) for v, t in zip(row.values(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))]
+        columns = [pa.array(v, t) for v, t in zip(row.values(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))]
         return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays([ids]))], [*row, "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +109,28 @@ def _sliced(docs: DataFrame, kind: str, s: Settings) -> DataFrame:
                     yield cut(*(batch.column(i).slice(start, stop - start) for i in range(3)), number)
                     start, size, number = stop, 0, number + 1
 
-    return docs.mapInArrow(run, f"slice long, learn binary, sizes binary, ids binary, words binary, n_learn long, docs array<{kind}>")
+    return docs.mapInArrow(run, f"slice long, learn binary, sizes binary, ids binary, words binary, n_learn long, n_all long, docs array<{kind}>")
 
 
 COUNT, GAIN = 0, 1000  # kinds of questions: COUNT + level, GAIN + level
 
 
+@dataclass(frozen=True)
+class _Size:
+    n_tokens: int  # of the training texts
+    key_bits: int  # of a sequence's key; words keep all 64
+    part_bits: int  # first bits of a key, which name its part
+
+    def kept(self, kind: int) -> int:
+        return 64 if kind == COUNT else self.key_bits
+
+    def short(self, kind: int, key: np.ndarray) -> np.ndarray:
+        return key >> U64(64 - self.kept(kind))
+
+    def part(self, kind: int, short: np.ndarray) -> np.ndarray:
+        return (short >> U64(self.kept(kind) - self.part_bits)).astype(np.int64) if self.part_bits else np.zeros(len(short), np.int64)
+
+
 @dataclass
 class _Level:
     """Distinct sequences of level + 1 words of a slice: sequence i is sequence ctx[i] of the level below, then the last word of suffix[i]."""
@@ -127,8 +144,8 @@ class _Level:
 
 
 class _Slice:
-    def __init__(self, row, bits: int, n_tokens: int, n_distinct: int, s: Settings):
-        self.s, self.bits, self.N, self.V = s, bits, n_tokens, n_distinct
+    def __init__(self, row, size: _Size, n_distinct: int, s: Settings):
+        self.s, self.size, self.N, self.V = s, size, size.n_tokens, n_distinct
         self.sizes = _unpacked(row.sizes, "<i4").astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.learn = np.repeat(np.frombuffer(row.learn, np.uint8), self.sizes)
@@ -144,16 +161,17 @@ class _Slice:
         """What the parts said of each key: parts hold ranges of keys, so their answers in order are those of the sorted keys."""
         out = np.empty(len(key), dtype)
         if len(key):
-            out[np.argsort(key, kind="stable")] = np.concatenate([_unpacked(blob, dtype) for _, blob in sorted(self.answers[kind], key=lambda x: x[0])])
+            out[np.argsort(self.size.short(kind, key), kind="stable")] = np.concatenate([_unpacked(blob, dtype) for _, blob in sorted(self.answers[kind], key=lambda x: x[0])])
         return out
 
     def questions(self, kind: int, key: np.ndarray, values: np.ndarray, total: np.ndarray) -> Iterator[tuple]:
+        key = self.size.short(kind, key)
         order = np.argsort(key, kind="stable")
         key, values, total = key[order], values[order], total[order]
-        part = (key >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        part = self.size.part(kind, key)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(key) else part
         for a, b in zip(cuts, [*cuts[1:], len(key)]):
-            yield kind, int(part[a]), key[a:b].tobytes(), _packed(values[a:b].ravel()), _packed(total[a:b])
+            yield kind, int(part[a]), _packed(np.diff(key[a:b], prepend=U64(0))), _packed(values[a:b].ravel()), _packed(total[a:b])
 
     def previous(self, level: int) -> np.ndarray:
         """The sequence of ``level`` that ends before each token; the end stands before a text's first word."""
@@ -244,7 +262,7 @@ def _answered(asked: DataFrame, n_tokens: int) -> DataFrame:
     """(slice, kind, part, out, n_distinct): for each question the sums, or the node decisions, of its keys."""
 
     def decide(kind: int, group: list[tuple]) -> pd.DataFrame:
-        keys = [np.frombuffer(g[3], U64) for g in group]
+        keys = [np.cumsum(_unpacked(g[3], "<u8"), dtype=U64) for g in group]
         distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         if kind < GAIN:
             out = np.bincount(inverse, weights=np.concatenate([_unpacked(g[4], "<i4") for g in group])).astype("<i8")
@@ -283,16 +301,16 @@ def score(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc_id",
     s, kind = settings, dict(docs.dtypes)[doc_id]
     flag = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     slices = stored(_sliced(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), flag.alias("learn")), kind, s))
-    n_tokens = int(slices.agg(F.coalesce(F.sum("n_learn"), F.lit(0))).first()[0])
-    n_keys = int(slices.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]) // 8
-    bits = max(0, int(np.ceil(np.log2(max(1, 3 * n_keys / s.part_keys)))))
+    n_tokens, n_all, n_bytes = (int(x or 0) for x in slices.agg(F.sum("n_learn"), F.sum("n_all"), F.sum(F.length("words"))).first())
+    part_bits = max(0, int(np.ceil(np.log2(max(1, 3 * n_bytes / 8 / s.part_keys)))))
+    size = _Size(n_tokens, max(part_bits, min(64, int(np.ceil(np.log2(max(2, s.depth * n_all)))) + s.spare_bits)), part_bits)
     answers: list[DataFrame] = []
     n_distinct = 0
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield row, _Slice(row, bits, n_tokens, n_distinct, s)
+                yield row, _Slice(row, size, n_distinct, s)
 
     def asked(level: int):
         """Questions once the counts of levels below ``level`` are known: counts of this level, decisions on the nodes two levels down."""
@@ -336,7 +354,7 @@ def score(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc_id",
         for batch in batches:
             for i in range(len(batch)):
                 row = SimpleNamespace(**{name: batch.column(name)[i].as_py() for name in ("learn", "sizes", "ids", "words", "answers")})
-                x = _Slice(row, bits, n_tokens, n_distinct, s)
+                x = _Slice(row, size, n_distinct, s)
                 for level in range(s.depth + 1):
                     x.counted(level)
                     if level < s.depth:

@@ -10,7 +10,7 @@ suffix of its history. The floors are absolute, so the tree grows with the
 corpus, and no task and no driver ever holds it whole.
 
 Texts are cut into slices of whole documents, whose tokens are kept as numbers
-of the slice's own word list. What a slice must know of the corpus it asks by
+of the slice's own word list; words under the floor share a number. What a slice must know of the corpus it asks by
 key: its distinct words or word sequences, hashed to 64 bits, are dealt with
 its own counts to parts by hash, a part adds up what all slices sent, and each
 slice gets the sums of its keys back. A slice sends a key once, so a frequent
@@ -152,6 +152,8 @@ class _Slice:
         tokens, key = _unpacked(row.ids, "<u4").astype(np.int64), np.frombuffer(row.words, U64)
         none = np.zeros(0, np.int64)
         self.levels = [_Level(tokens, key, np.bincount(tokens, weights=self.learn, minlength=len(key)).astype(np.int64), none, none)]
+        if getattr(row, "counts", None) is not None:
+            self.levels[0].c = _unpacked(row.counts, "<i8")
         self.end = tokens[-1]
         self.answers: dict[int, list] = {}
         for a in row.answers if getattr(row, "answers", None) is not None else ():
@@ -181,7 +183,16 @@ class _Slice:
 
     def counted(self, level: int):
         own = self.levels[level]
-        own.c = self.answer(COUNT + level, own.key, "<i8")
+        if own.c is None:
+            own.c = self.answer(COUNT + level, own.key, "<i8")
+
+    def settled(self) -> tuple[bytes, bytes, bytes]:
+        """(ids, words, counts) with one number for all words of each count under the floor, as no sequence holds them."""
+        own, least = self.levels[0], self.s.min_count
+        often = own.c >= least
+        number = np.where(often, least + np.cumsum(often) - 1, own.c)
+        words = np.r_[np.zeros(least, U64), own.key[often]]
+        return _packed(number[own.at].astype("<u4")), words.tobytes(), _packed(np.r_[np.arange(least), own.c[often]].astype("<i8"))
 
     def ask_counts(self, level: int) -> Iterator[tuple]:
         own = self.levels[level]
@@ -222,7 +233,7 @@ class _Slice:
         kept = np.flatnonzero((own.c >= self.s.min_count) & (own.n > 0))
         share, c, q = own.n[kept] / own.c[kept], own.c[kept], below[own.suffix[kept]]
         place = np.searchsorted(nodes, own.ctx[kept])
-        sums = [np.bincount(place, weights=share * x, minlength=len(nodes)) for x in (c - self.s.discount, 10.0**q, c * (log_p[kept] - q), c, np.ones(len(kept)))]
+        sums = [np.bincount(place, weights=share * x, minlength=len(nodes)) for x in (10.0**q, c * (log_p[kept] - q), c, np.ones(len(kept)))]
         key = _mixed(self.levels[level - 1].key[nodes], GAIN, GAIN + level)
         yield from self.questions(GAIN + level, key, np.stack(sums, 1).astype("<f4"), self.levels[level - 1].c[nodes].astype("<i8"))
 
@@ -230,7 +241,7 @@ class _Slice:
         """log10 back-off weight of each sequence below ``level`` as a node; nan where it is not retained."""
         nodes = self.contexts(level)
         out = np.full(len(self.levels[level - 1].key), np.nan)
-        out[nodes] = self.answer(GAIN + level, _mixed(self.levels[level - 1].key[nodes], GAIN, GAIN + level), "<f8")
+        out[nodes] = self.answer(GAIN + level, _mixed(self.levels[level - 1].key[nodes], GAIN, GAIN + level), "<f4")
         return out
 
     def log_p(self, level: int, below: np.ndarray) -> np.ndarray:
@@ -249,16 +260,19 @@ class _Slice:
         return out
 
 
-def _decided(total: np.ndarray, kept, covered, gain, c, symbols, n_tokens: int) -> np.ndarray:
-    """log10 back-off weight of the nodes that pass the divergence test, nan for the others."""
+def _decided(total: np.ndarray, covered, gain, c, symbols, n_tokens: int, discount: float) -> np.ndarray:
+    """log10 back-off weight of the nodes that pass the divergence test, nan for the others.
+
+    c: occurrences of the kept next words, whose number is ``symbols``.
+    """
     total = np.maximum(total, 1)
-    alpha = np.log10(np.maximum((total - kept) / total, 1e-12) / np.maximum(1 - covered, 1e-12))
+    alpha = np.log10(np.maximum((total - c + discount * symbols) / total, 1e-12) / np.maximum(1 - covered, 1e-12))
     gained = np.log(10) * (gain + (total - c) * alpha)
     good = (symbols > 0.5) & (covered < 1 - 1e-6) & (gained > 0.5 * np.round(symbols) * np.log(max(n_tokens, 2)))
     return np.where(good, alpha, np.nan)
 
 
-def _answered(asked: DataFrame, n_tokens: int) -> DataFrame:
+def _answered(asked: DataFrame, n_tokens: int, discount: float) -> DataFrame:
     """(slice, kind, part, out, n_distinct): for each question the sums, or the node decisions, of its keys."""
 
     def decide(kind: int, group: list[tuple]) -> pd.DataFrame:
@@ -268,9 +282,9 @@ def _answered(asked: DataFrame, n_tokens: int) -> DataFrame:
             out = np.bincount(inverse, weights=np.concatenate([_unpacked(g[4], "<i4") for g in group])).astype("<i8")
             known = int((out > 0).sum())
         else:
-            values = np.concatenate([_unpacked(g[4], "<f4").reshape(-1, 5) for g in group]).astype(float)
+            values = np.concatenate([_unpacked(g[4], "<f4").reshape(-1, 4) for g in group]).astype(float)
             total = np.concatenate([_unpacked(g[5], "<i8") for g in group])[first]
-            out, known = _decided(total, *(np.bincount(inverse, weights=v) for v in values.T), n_tokens), 0
+            out, known = _decided(total, *(np.bincount(inverse, weights=v) for v in values.T), n_tokens, discount).astype("<f4"), 0
         parts = np.split(out[inverse], np.cumsum([len(k) for k in keys])[:-1])
         return pd.DataFrame({"slice": [g[0] for g in group], "kind": kind, "part": group[0][2], "out": [_packed(p) for p in parts], "n_distinct": [known] + [0] * (len(group) - 1)})
 
@@ -307,6 +321,10 @@ def score(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc_id",
     answers: list[DataFrame] = []
     n_distinct = 0
 
+    def read(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+        for i in range(len(batch)):
+            yield i, SimpleNamespace(**{name: batch.column(name)[i].as_py() for name in names})
+
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -342,18 +360,30 @@ def score(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc_id",
         for a in answers[1:]:
             every = every.unionByName(a)
         per_slice = every.groupBy("slice").agg(F.collect_list(F.struct("kind", "part", "out")).alias("answers"))
-        return slices.join(per_slice, "slice")
+        return slices.join(per_slice, "slice", "left")  # a slice may have had nothing to ask
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in read(batch, "learn", "sizes", "ids", "words", "answers"):
+                x = _Slice(row, size, 0, s)
+                x.counted(0)
+                new = [pa.array([v], pa.binary()) for v in (row.learn, row.sizes, *x.settled())]
+                yield pa.RecordBatch.from_arrays([batch.column("slice").slice(i, 1), *new, batch.column("docs").slice(i, 1)], ["slice", "learn", "sizes", "ids", "words", "counts", "docs"])
 
     schema = "slice long, kind int, part long, keys binary, values binary, total binary"
-    answers.append(stored(_answered(slices.drop("docs").mapInPandas(first, schema), n_tokens)))
+    answers.append(stored(_answered(slices.drop("docs").mapInPandas(first, schema), n_tokens, s.discount)))
     n_distinct = int(answers[0].agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0])
+    whole = slices
+    slices = stored(told().mapInArrow(settle, f"slice long, learn binary, sizes binary, ids binary, words binary, counts binary, docs array<{kind}>"))
+    drop_stored(whole, *answers)
+    answers.clear()
     for level in range(1, s.depth + 2):
-        answers.append(stored(_answered(told().drop("docs").mapInPandas(asked(level), schema), n_tokens)))
+        source = told() if answers else slices
+        answers.append(stored(_answered(source.drop("docs").mapInPandas(asked(level), schema), n_tokens, s.discount)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                row = SimpleNamespace(**{name: batch.column(name)[i].as_py() for name in ("learn", "sizes", "ids", "words", "answers")})
+            for i, row in read(batch, "learn", "sizes", "ids", "words", "counts", "answers"):
                 x = _Slice(row, size, n_distinct, s)
                 for level in range(s.depth + 1):
                     x.counted(level)

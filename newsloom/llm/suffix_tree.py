@@ -54,13 +54,19 @@ class Settings:
 
 def _packed(values: np.ndarray) -> bytes:
     """The bytes of numbers, those of equal weight together, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
+    planes = np.empty(flat.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):
+        plane[:] = flat[:, i]
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unpacked(blob: bytes, kind: str) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    flat = np.empty(planes.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):
+        flat[:, i] = plane
+    return flat.view(kind).ravel()
 
 
 def _mixed(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
@@ -163,12 +169,12 @@ class _Slice:
         """What the parts said of each key: parts hold ranges of keys, so their answers in order are those of the sorted keys."""
         out = np.empty(len(key), dtype)
         if len(key):
-            out[np.argsort(self.size.short(kind, key), kind="stable")] = np.concatenate([_unpacked(blob, dtype) for _, blob in sorted(self.answers[kind], key=lambda x: x[0])])
+            out[np.argsort(self.size.short(kind, key))] = np.concatenate([_unpacked(blob, dtype) for _, blob in sorted(self.answers[kind], key=lambda x: x[0])])
         return out
 
     def questions(self, kind: int, key: np.ndarray, values: np.ndarray, total: np.ndarray) -> Iterator[tuple]:
         key = self.size.short(kind, key)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # sequences of equal keys may come in any order: their answers are equal
         key, values, total = key[order], values[order], total[order]
         part = self.size.part(kind, key)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(key) else part
@@ -205,7 +211,7 @@ class _Slice:
         may = np.flatnonzero((before >= 0) & (below.at >= 0))
         may = may[(below.c[before[may]] >= self.s.min_count) & (below.c[below.at[may]] >= self.s.min_count)]
         size = max(len(below.key), 1)
-        both, inverse = np.unique(before[may] * size + below.at[may], return_inverse=True)
+        inverse, both = pd.factorize(before[may] * size + below.at[may])
         at = np.full(len(before), -1)
         at[may] = inverse
         ctx, suffix = both // size, both % size
@@ -217,9 +223,10 @@ class _Slice:
 
     def contexts(self, level: int) -> np.ndarray:
         """The sequences below ``level`` that are frequent enough to be nodes and that a token follows."""
-        before = self.previous(level - 1)
-        seen = np.unique(before[before >= 0])
-        return seen[self.levels[level - 1].c[seen] >= self.s.min_count]
+        before, below = self.previous(level - 1), self.levels[level - 1]
+        seen = np.zeros(len(below.key), bool)
+        seen[before[before >= 0]] = True
+        return np.flatnonzero(seen & (below.c >= self.s.min_count))
 
     def own_log_p(self, level: int) -> np.ndarray:
         """Discounted log10 probability of each sequence's last word after the words before it; nan for rare ones."""

@@ -47,8 +47,8 @@ def _shuffles_dropped(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
+def stored(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again; ``options`` go to the writer.
 
     Cuts the lineage: an executor that is lost later costs no recomputation.
     Tables that a returned frame still reads stay in the folder until
@@ -57,7 +57,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with _shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     WRITTEN.append(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, line_dedup, minhash, packing, quality, suffix_tree, token_counts, toxicity
+from . import decontaminate, embedding_dedup, html_extract, lexical_search, line_dedup, minhash, packing, phrases, quality, secret_scan, suffix_tree, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -79,6 +79,29 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return phrases.mine(docs, settings=phrases.Settings(floor=30, most_words=4, inside=80, top=2000))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs).select("doc_id", "found", F.filter("found", lambda s: s["rank"] < secret_scan.BASE).alias("base"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("base", lambda s: s["rule"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(of, ("assign", "access", "hex")),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("found").alias("spans"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"), settings=lexical_search.Settings(top=10))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it stands at the top of the repository and imports this subpackage
 
@@ -97,12 +120,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_minhash": op9_minhash,
         "op10_html": op10_html,
+        "op11_phrases": op11_phrases,
+        "op12_secrets": op12_secrets,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op8_line_dedup": OP8_SQL, "op11_phrases": OP11_SQL, "op12_secrets": OP12_SQL, "op13_lexical_search": OP13_SQL}
 
 
 OP3_SQL = r"""
@@ -142,3 +168,70 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
        CAST(length(kept) AS BIGINT) AS n_chars_left, md5(kept) AS text_md5
 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
 """
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM t),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, len(g) AS k, array_to_string(g, ' ') AS phrase
+  FROM (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS g FROM p)
+), f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.k, c.phrase, c.ws, c.a, cut, x.a AS l, y.a AS r, CAST((2000000 * CAST(c.a AS HUGEINT)) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ')
+), m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, sub, max(a) AS most
+  FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda n: list_transform(range(1, k - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))))) AS sub FROM f WHERE k > 2)
+  GROUP BY ALL
+), kept AS (
+  SELECT m.* FROM m LEFT JOIN longer ON longer.lang = m.lang AND longer.sub = m.phrase
+  WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(m.a AS HUGEINT)
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total ON kept.lang = total.lang
+QUALIFY rank <= 2000
+"""
+
+
+def _rule_sql(rank: int, rule: secret_scan.Rule) -> str:
+    text, pattern = "low" if rule.any_case else "text", rule.pattern.replace("'", "''")
+    return f"""SELECT r, {rank} AS rank, '{rule.name}' AS rule, {rule.least} AS least, generate_subscripts(regexp_split_to_array({text}, '{pattern}'), 1) AS i,
+  length(unnest(regexp_split_to_array({text}, '{pattern}'))) AS gap, length(unnest(regexp_extract_all({text}, '{pattern}'))) AS n, length(unnest(regexp_extract_all({text}, '{pattern}', {rule.group}))) AS measured FROM d"""
+
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), m AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(secret_scan.RULES))}),
+p AS (SELECT *, sum(gap + n) OVER (PARTITION BY r, rank ORDER BY i) AS stop FROM m WHERE n IS NOT NULL),
+s AS (SELECT r, rank, rule, stop - n AS start, concat(rule, ':', stop - n, ':', stop) AS span FROM p WHERE measured >= least),
+a AS (
+  SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {secret_scan.BASE}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM s GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON d.r = a.r
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), q AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ws FROM benchmark
+), total AS (SELECT count(*) AS N, CAST(sum(len(ws)) AS BIGINT) AS L FROM d WHERE len(ws) > 0),
+qt AS (SELECT q, unnest(ws) AS term FROM q),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, N),
+g AS (
+  SELECT tf.r, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ws) * N) // L))) AS gain
+  FROM tf JOIN d ON tf.r = d.r JOIN w ON tf.term = w.term, total
+), s AS (SELECT q, r, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM g JOIN qt ON g.term = qt.term GROUP BY q, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN q ON k.q = q.q WHERE rank <= 10
+"""

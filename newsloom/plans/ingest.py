@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import html
 from ..functions import text as fx
 from ..operators import chunking, dense, sparse
-from ..session import table
-from ..sources import readers, sinks
+from ..session import shared_folder, table
+from ..sources import readers, tables
 from .registry import query
 
 
@@ -27,9 +27,14 @@ def collection_stats(spark, sf_dir):
 
 @query("SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT doc_id + 1000000, lang, 'new' FROM documents WHERE doc_id % 10 = 0")
 def upserted_collection(spark, sf_dir):
+    """A collection of all documents, upserted with changed and with new rows, each given twice; old versions are expired."""
+    path = shared_folder(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     new = docs.filter("id % 3 = 0").unionByName(docs.filter("id % 10 = 0").withColumn("id", F.col("id") + 1_000_000)).withColumn("source", F.lit("new"))
-    return sinks.upserted(docs, new.unionByName(new))
+    tables.upsert(docs, path, buckets=16)
+    tables.upsert(new.unionByName(new), path)
+    tables.expire(spark, path, keep=1)
+    return tables.read(spark, path)
 
 
 @query()

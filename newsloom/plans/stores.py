@@ -8,7 +8,7 @@ from .. import schemas
 from ..functions import text as fx
 from ..operators import chunking, dense, reports, review, runlog, sampling
 from ..session import shared_folder, table
-from ..sources import readers, sinks
+from ..sources import readers, sinks, tables
 from .corpus import LINES, SPANS, evidence, lines
 from .ingest import page_chunks
 from .registry import query
@@ -258,5 +258,5 @@ def ingested_collection(spark, sf_dir):
     path = shared_folder(spark)
     rows = dense.embed(page_chunks(spark, sf_dir), "text").select("id", "article_id", "chunk_index", "text", "embedding")
     for _ in range(2):
-        version = sinks.upsert(rows, path, "id", replace="article_id")
-    return rounded(spark.read.parquet(f"{path}/v={version}").select("id", "article_id", "chunk_index", F.length("text").alias("n"), dense.dot(F.col("embedding"), F.col("embedding")).alias("norm")), "norm", digits=4)
+        tables.upsert(rows, path, "id", replace="article_id", buckets=16)
+    return rounded(tables.read(spark, path).select("id", "article_id", "chunk_index", F.length("text").alias("n"), dense.dot(F.col("embedding"), F.col("embedding")).alias("norm")), "norm", digits=4)

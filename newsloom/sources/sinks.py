@@ -16,42 +16,6 @@ def append_log(df: DataFrame, path: str, run: str = "run") -> None:
     df.write.mode("append").partitionBy(run).json(path)
 
 
-def upserted(existing: DataFrame, new: DataFrame, id: str = "id", replace: str | None = None) -> DataFrame:
-    """The table after an upsert: new rows win by id, the last of equal ids in ``new`` by its content order.
-
-    ``replace`` names a column (an article id): rows of a replaced article that
-    the new rows no longer hold go too.
-    """
-    columns = existing.columns
-    rest = [c for c in columns if c != id]
-    once = new.groupBy(id).agg(F.max(F.struct(*rest)).alias("r")).select(id, *[F.col(f"r.`{c}`").alias(c) for c in rest]).select(*columns)
-    kept = existing.join(once.select(id), id, "left_anti")
-    if replace:
-        kept = kept.join(once.select(replace).distinct(), replace, "left_anti")
-    return kept.select(*columns).unionByName(once)
-
-
-def upsert(df: DataFrame, path: str, id: str = "id", replace: str | None = None) -> int:
-    """Upsert into a versioned table folder: the new version is written beside the old one, which readers keep using."""
-    spark = df.sparkSession
-    old = version(spark, path)
-    rows = df if old is None else upserted(spark.read.parquet(f"{path}/v={old}"), df, id, replace)
-    if old is None:
-        rows = upserted(df.limit(0), df, id, replace)
-    rows.write.parquet(f"{path}/v={(old or 0) + 1}")
-    return (old or 0) + 1
-
-
-def version(spark, path: str) -> int | None:
-    """The latest complete version of a table folder."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return None
-    found = [int(f.getPath().getName()[2:]) for f in fs.listStatus(place) if f.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return max(found, default=None)
-
-
 def articles(df: DataFrame, path: str, existing: DataFrame | None = None) -> None:
     """Gzipped article records under source and hash prefix; stored urls are not written again. df: source, url_hash, ..."""
     rows = df if existing is None else df.join(existing.select("url_hash").distinct(), "url_hash", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import dates, urls
-from ..sources import sinks
+from ..sources import tables
 
 
 def new_urls(stream: DataFrame, url: str, ts: str, delay: str) -> DataFrame:
@@ -37,11 +37,11 @@ def append_new(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_chunks(stream: DataFrame, path: str, checkpoint: str, id: str = "id", replace: str | None = None):
-    """Every batch is upserted by id; running a batch twice gives the same table."""
+def upsert_chunks(stream: DataFrame, path: str, checkpoint: str, id: str = "id", replace: str | None = None, buckets: int = 64):
+    """Every batch is upserted by id into the buckets it touches; running a batch twice gives the same table."""
 
     def write(batch: DataFrame, _: int) -> None:
-        sinks.upsert(batch, path, id, replace)
+        tables.upsert(batch, path, id, replace, buckets)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

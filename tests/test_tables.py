@@ -4,7 +4,7 @@ import random
 
 import pytest
 from newsloom.operators import clusters, dense, discovery, fusion, review, runlog, sampling, sparse
-from newsloom.sources import readers, sinks
+from newsloom.sources import readers, sinks, tables
 from newsloom.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -24,18 +24,6 @@ def test_sample_ignores_row_order_and_partitions(spark):
     assert got == sorted(random.Random(11).sample(range(200), 5))
 
 
-def test_upsert_twice_is_once(spark, folder):
-    rows = spark.createDataFrame([("a_0", "a", "x"), ("a_1", "a", "y"), ("b_0", "b", "z")], "id string, article_id string, text string")
-    path = f"{folder}/chunks"
-    sinks.upsert(rows, path)
-    v = sinks.upsert(rows, path)
-    assert spark.read.parquet(f"{path}/v={v}").count() == 3
-    shorter = rows.filter("id = 'a_0'").withColumn("text", F.lit("new"))
-    v = sinks.upsert(shorter, path, replace="article_id")
-    assert sorted(r.id + r.text for r in spark.read.parquet(f"{path}/v={v}").collect()) == ["a_0new", "b_0z"]
-    assert sinks.version(spark, f"{folder}/none") is None
-
-
 def test_review_gates(spark):
     t = spark.createDataFrame([("1", "q1"), ("2", "q2")], "question_id string, question string")
     notes = spark.createDataFrame([("1", "standalone", "", False)], "question_id string, label string, clarified string, excluded boolean")
@@ -245,8 +233,7 @@ def test_stream_append_and_upsert_are_idempotent(spark, folder):
     assert spark.read.parquet(f"{folder}/out").count() == 2
     for _ in range(2):
         incremental.upsert_chunks(stream.select("k", "status"), f"{folder}/up", f"{folder}/cu{_}", id="k").awaitTermination(60)
-    v = sinks.version(spark, f"{folder}/up")
-    assert spark.read.parquet(f"{folder}/up/v={v}").count() == 2
+    assert tables.read(spark, f"{folder}/up").count() == 2
 
 
 def test_model_seams(spark):

@@ -137,13 +137,24 @@ def aligned(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, first, step)["out"]
 
 
-def spans_to_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
+def spans_to_chunks(spans: DataFrame, chunks: DataFrame, bin_chars: int = 4096) -> DataFrame:
     """Interval-overlap join on the article: spans (question_id, article_id, start, end) to every chunk they touch.
 
-    The article is an equality, so this is a hash join with a range residual.
+    Both sides are dealt into bins of ``bin_chars`` characters and meet by
+    (article, bin), so a long article with many spans is many small keys; a
+    pair that shares several bins is taken in the first of them.
     """
+
+    def bins(start: Column, end: Column) -> Column:
+        return F.sequence(F.floor(start / bin_chars), F.floor(F.greatest(end - 1, start) / bin_chars))
+
+    asked = spans.withColumn("bins", bins(F.col("start"), F.col("end")))
+    asked = asked.withColumn("first_span_bin", F.get("bins", F.lit(0))).withColumn("bin", F.explode("bins")).drop("bins")
+    held = chunks.select("article_id", F.col("id").alias("chunk_id"), "char_start", "char_end", bins(F.col("char_start"), F.col("char_end")).alias("bins"))
+    held = held.select("article_id", "chunk_id", "char_start", "char_end", F.get("bins", F.lit(0)).alias("first_chunk_bin"), F.explode("bins").alias("bin"))
     overlap = (F.col("char_start") < F.col("end")) & (F.col("start") < F.col("char_end"))
-    return spans.join(chunks.select("article_id", F.col("id").alias("chunk_id"), "char_start", "char_end"), "article_id").filter(overlap)
+    first = F.col("bin") == F.greatest("first_span_bin", "first_chunk_bin")
+    return asked.join(held, ["article_id", "bin"]).filter(overlap & first).select(*spans.columns, "chunk_id", "char_start", "char_end")
 
 
 def missing_chunks(testset: DataFrame, chunks: DataFrame) -> DataFrame:

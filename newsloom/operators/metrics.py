@@ -200,17 +200,40 @@ def selection_coverage(candidates: DataFrame, selected: DataFrame, questions: Da
     return distribution_summary(stacked, "metric", "value")
 
 
+def values_at(values: DataFrame, targets: DataFrame, group: str, value: str, bins: int = 4096, rounds: int = 3) -> DataFrame:
+    """(group, name, value): the exact value at each target's rank, found without sorting a group.
+
+    values: group, value (double, not null), c (how often); targets: group,
+    name, rank (from 1), lo, hi (least and greatest value of the group). Each
+    round counts the values between lo and hi in ``bins`` equal ranges,
+    and the one that holds the rank becomes the next lo and hi. After
+    ``rounds`` of them what is left, mostly a single value, is put in order.
+    """
+    v, lo, hi = F.col(value), F.col("lo"), F.col("hi")
+    for _ in range(rounds):
+        # halves, as the width of a group's range may pass the greatest double
+        place = F.floor(F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2) * bins)
+        inside = values.join(targets, group).filter((v >= lo) & (v <= hi))
+        bin = F.when(v <= lo, 0).when(v >= hi, bins - 1).otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
+        counted = inside.groupBy(group, "name", "rank", bin.alias("bin")).agg(F.sum("c").alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        upto = F.sum("c").over(Window.partitionBy(group, "name").orderBy("bin"))  # a row per bin
+        held = counted.withColumn("before", upto - F.col("c")).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("c")))
+        targets = held.select(group, "name", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi")
+    left = values.join(targets, group).filter((v >= lo) & (v <= hi))
+    upto = F.sum("c").over(Window.partitionBy(group, "name").orderBy(value))
+    return left.withColumn("before", upto - F.col("c")).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("c"))).select(group, "name", value)
+
+
 def distribution_summary(df: DataFrame, metric: str, value: str, fractions: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(metric, count, min, max, mean, p..) with nearest-rank percentiles: the value at bround((n - 1) * f).
 
-    Values are counted first, so equal values are one row each in the running count.
+    Equal values are counted first; ranks are then selected by ranges, so no task holds a metric's values.
     """
+    names = {f: f"p{round(f * 100)}" for f in fractions}
     counts = df.filter(F.col(value).isNotNull()).groupBy(metric, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(metric).orderBy(value)
-    placed = counts.withColumn("last", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(metric)))
-    at = {f: F.bround((F.col("n") - 1) * F.lit(f), 0).cast("long") + 1 for f in fractions}
-    holds = lambda f: (F.col("last") >= at[f]) & (F.col("last") - F.col("c") < at[f])
-    return placed.groupBy(metric).agg(
-        F.max("n").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"),
-        *[F.max(F.when(holds(f), F.col(value))).alias(f"p{round(f * 100)}") for f in fractions],
-    )
+    whole = counts.groupBy(metric).agg(F.sum("c").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
+    rank = lambda f: (F.bround((F.col("count") - 1) * F.lit(f), 0).cast("long") + 1).alias("rank")
+    wanted = F.explode(F.array(*[F.struct(F.lit(names[f]).alias("name"), rank(f)) for f in fractions]))
+    targets = whole.select(metric, wanted.alias("t"), F.col("min").alias("lo"), F.col("max").alias("hi")).select(metric, "t.name", "t.rank", "lo", "hi")
+    found = values_at(counts, targets, metric, value).groupBy(metric).agg(*[F.max(F.when(F.col("name") == p, F.col(value))).alias(p) for p in names.values()])
+    return whole.join(found, metric)

@@ -138,20 +138,23 @@ def flattened(document: DataFrame) -> DataFrame:
     return document.select(F.explode("articles").alias("a")).select("a.article_id", F.explode("a.questions").alias("q")).select("article_id", "q.*")
 
 
-def packets(articles: DataFrame, max_articles: int = 20, max_questions: int = 150) -> DataFrame:
+def packets(articles: DataFrame, max_articles: int = 20, max_questions: int = 150, block: int = 100_000) -> DataFrame:
     """(article_id, packet): articles in id order into packets bounded by articles and questions, never split.
 
     articles: article_id, n. A packet starts where the one before it is full,
-    so ids are dealt into ranges: each range packs itself once for every row
-    that may be its first start (``max_articles`` at most) and reports how each
-    try ends. These few rows are chained, then each range numbers its own.
+    so articles are numbered and dealt into blocks of ``block`` of them, and
+    each block reports for every row that may be its first start
+    (``max_articles`` + 1 at most) how its packing would end. These few rows
+    are chained, then each block numbers its own. A task holds one block.
     """
+    import numpy as np
     import pandas as pd
 
-    from .runlog import ranged
+    from .runlog import numbered
 
     kind = dict(articles.dtypes)["article_id"]
-    dealt = ranged(articles.select("article_id", "n"), "article_id").sortWithinPartitions("article_id")
+    placed = numbered(articles.select("article_id", F.col("n").cast("long").alias("n")), "article_id", "at")
+    dealt = placed.withColumn("block", F.floor(F.col("at") / block).cast("long"))
 
     def walk(sizes: list[int], held: int, total: int) -> tuple[list[int], int, int]:
         """Rows at which packets start, and the state of the last packet, from one that is open with ``held`` articles."""
@@ -163,40 +166,53 @@ def packets(articles: DataFrame, max_articles: int = 20, max_questions: int = 15
             held, total = held + 1, total + n
         return starts, held, total
 
-    def report(batches):
-        parts = list(batches)
-        rows = pd.concat(parts) if parts else []
-        if len(rows):
-            sizes = rows["n"].tolist()
-            tries = [walk(sizes[first:], 0, 0) for first in range(min(len(sizes), max_articles + 1))]
-            head = sizes[: max_articles + 1]
-            yield pd.DataFrame({"range": [rows["range"].iloc[0]], "head": [head], "closed": [[len(t[0]) for t in tries]], "held": [[t[1] for t in tries]], "total": [[t[2] for t in tries]]})
+    def ends(sizes: list[int]) -> tuple[list[int], list[int]]:
+        """For a packet that starts at each row: how many packets follow it in the block, and where the last one starts.
+
+        Backwards over the rows, as every packet's end is known from the next one's.
+        """
+        n = len(sizes)
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        # the first row that the packet from each row cannot take
+        over = np.searchsorted(before, before[:-1] + max_questions, "right") - 1
+        follow = np.minimum(np.minimum(np.maximum(over, np.arange(n) + 1), np.arange(n) + max_articles), n)
+        closed, last = [0] * n, list(range(n))
+        for at in range(n - 1, -1, -1):
+            if follow[at] < n:
+                closed[at], last[at] = closed[follow[at]] + 1, last[follow[at]]
+        return closed, last
+
+    def report(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows.sort_values("at")["n"].tolist()
+        closed, last = ends(sizes)
+        tries = range(min(len(sizes), max_articles + 1))
+        held = [len(sizes) - last[t] for t in tries]
+        total = [sum(sizes[last[t] :]) for t in tries]
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "head": [sizes[: max_articles + 1]], "closed": [[closed[t] for t in tries]], "held": [held], "total": [total]})
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         packet, held, total, out = 0, 0, 0, []
-        for r in group.sort_values("range").itertuples():
-            out.append((r.range, packet, held, total))
+        for r in group.sort_values("block").itertuples():
+            out.append((r.block, packet, held, total))
             starts, own_held, own_total = walk(list(r.head), held, total)
-            if starts:  # from the first start on, the range's own try holds
+            if starts:  # from the first start on, the block's own report holds
                 first = starts[0]
                 packet, held, total = packet + 1 + r.closed[first], r.held[first], r.total[first]
-            else:  # a short range that the open packet takes whole
+            else:  # a short block that the open packet takes whole
                 held, total = own_held, own_total
-        return pd.DataFrame(out, columns=["range", "packet", "held", "total"])
+        return pd.DataFrame(out, columns=["block", "packet", "held", "total"])
 
-    small = dealt.mapInPandas(report, "range int, head array<long>, closed array<int>, held array<int>, total array<long>")
-    entry = small.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chain, "range int, packet int, held int, total long")  # a row per range
+    small = dealt.groupBy("block").applyInPandas(report, "block long, head array<long>, closed array<int>, held array<int>, total array<long>")
+    entry = small.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chain, "block long, packet int, held int, total long")  # a row per block
 
-    def number(batches):
-        parts = list(batches)
-        rows = pd.concat(parts) if parts else []
-        if len(rows):
-            starts, _, _ = walk(rows["n"].tolist(), int(rows["held"].iloc[0]), int(rows["total"].iloc[0]))
-            step = pd.Series(0, index=range(len(rows)))
-            step[starts] = 1
-            yield pd.DataFrame({"article_id": rows["article_id"].array, "packet": (int(rows["packet"].iloc[0]) + step.cumsum()).astype("int32").array})
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        starts, _, _ = walk(rows["n"].tolist(), int(rows["held"].iloc[0]), int(rows["total"].iloc[0]))
+        step = pd.Series(0, index=range(len(rows)))
+        step[starts] = 1
+        return pd.DataFrame({"article_id": rows["article_id"].array, "packet": (int(rows["packet"].iloc[0]) + step.cumsum()).astype("int32").array})
 
-    return dealt.join(F.broadcast(entry), "range").sortWithinPartitions("article_id").mapInPandas(number, f"article_id {kind}, packet int")
+    return dealt.join(entry, "block").groupBy("block").applyInPandas(number, f"article_id {kind}, packet int")
 
 
 def competing_candidates(scored: DataFrame, articles: DataFrame, questions: DataFrame, k: int = 3, length: int = 420) -> DataFrame:

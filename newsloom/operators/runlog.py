@@ -105,26 +105,46 @@ def dataset_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"))
 
 
-def ranged(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with a ``range``: its rows dealt by key order into as many ranges as a shuffle has partitions, a number that adaptive execution keeps."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, F.col(key)).withColumn("range", F.spark_partition_id())
+#: Keys that are looked at to place the bounds between ranges, for each range.
+LOOKED_AT = 20
+MAX_RANGES = 1024
 
 
-def numbered(df: DataFrame, key: str, out: str = "at") -> DataFrame:
+def bounds(df: DataFrame, key: str, ranges: int) -> list:
+    """At most ``ranges`` - 1 rising values of ``key`` that part its rows into ranges of about equal size, from a sample of bounded size."""
+    n = df.count()
+    share = min(1.0, 1.2 * LOOKED_AT * ranges / max(n, 1))
+    seen = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).sample(share, seed=7).orderBy(key).limit(2 * LOOKED_AT * MAX_RANGES).collect()]
+    at = [seen[len(seen) * k // ranges] for k in range(1, ranges)] if seen else []
+    return [b for k, b in enumerate(at) if k == 0 or b != at[k - 1]]
+
+
+def _range_of(key: Column, splits: list, first: int = 0) -> Column:
+    """How many of the splits are at most ``key``, by halving: as deep as the logarithm of their number."""
+    if not splits:
+        return F.lit(first)
+    mid = len(splits) // 2
+    return F.when(key >= F.lit(splits[mid]), _range_of(key, splits[mid + 1 :], first + mid + 1)).otherwise(_range_of(key, splits[:mid], first))
+
+
+def numbered(df: DataFrame, key: str, out: str = "at", ranges: int | None = None) -> DataFrame:
     """``df`` with each row's place by key order, from 0, without meeting in one task.
 
-    Ranges of the key are counted, and each range starts at the sum of those before.
+    The bounds of key ranges are fixed first and stand as values in the plan,
+    so a row falls into the same range wherever and however often the plan is
+    run. Ranges are counted, and each starts at the sum of those before. Null
+    keys come first; rows with equal keys are numbered in any order. ``ranges``
+    is one for about a million rows where it is not given.
     """
     from pyspark.sql import Window
 
-    dealt = ranged(df, key)
-    inside = Window.partitionBy("range").orderBy(key)
-    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
-    starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = dealt.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(starts), "range")
-    return placed.withColumn(out, F.col("start") + F.col("rn") - 1).drop("range", "rn", "start")
+    if ranges is None:
+        ranges = min(MAX_RANGES, df.count() // 1_000_000 + 1)
+    dealt = df.withColumn("range", _range_of(F.col(key), bounds(df, key, ranges)) if ranges > 1 else F.lit(0))
+    counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}  # a row per range
+    starts = [sum(counts.get(r, 0) for r in range(k)) for k in range(max(counts, default=0) + 1)]
+    place = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1 + F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("range"))
+    return dealt.withColumn(out, place).drop("range")
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:

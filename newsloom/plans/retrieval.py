@@ -13,6 +13,8 @@ from .registry import query
 K = 10
 #: Benchmark items whose texts are sent to all tasks at most; more of them are joined by shuffle.
 MAX_ITEMS = 100_000
+#: Words of items that are sent to all tasks at most.
+MAX_KEYS = 200_000
 KS = (1, 3, 5, 10)
 
 
@@ -43,22 +45,33 @@ def bm25_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id): documents that hold an item's text; candidates come from the items' rarest indexed words."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    """(query_id, id): documents that hold an item's text. Candidates come from the item's rarest inner word; texts are fetched for them alone."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
     # every inner word of an item stands in the document as it is; its edges may be parts of longer words
-    words = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), fx.tokens(F.col("text")).alias("ws"))
-    inner = F.when(F.size("ws") > 2, F.slice("ws", F.lit(2), F.size("ws") - 2)).otherwise(F.array().cast("array<string>"))
-    keyed = words.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
-    postings = docs.select(F.col("doc_id").alias("id"), "text", F.explode(F.array_distinct(fx.tokens(F.col("text")))).alias("key"))
-    by_word = keyed.filter("key IS NOT NULL").select("query_id", "item", "key")
-    found = postings.join(sent(by_word, MAX_ITEMS), "key").filter(F.contains("text", F.col("item"))).select("query_id", "id")
-    rest = keyed.filter("key IS NULL AND item IS NOT NULL").select("query_id", "item")
-    # items without an inner word have no key; they are a stated few, and no more of them than MAX_ITEMS are taken
-    n = rest.limit(MAX_ITEMS + 1).count()
-    if n > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items of one or two words")
-    short = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(rest), F.contains("text", "item")).select("query_id", "id")
-    return found.unionByName(short) if n else found
+    ws = fx.tokens(F.col("item"))
+    inner = F.when(F.size("ws") > 2, F.array_distinct(F.slice("ws", F.lit(2), F.size("ws") - 2))).otherwise(F.array().cast("array<string>"))
+    keyed = items.withColumn("ws", ws).select("query_id", "item", inner.alias("keys"))
+    words = docs.select("id", F.explode(F.array_distinct(fx.tokens(F.col("text")))).alias("key"))
+    found = candidates(keyed, words)
+    # items of one or two words have no inner word: their shortest sure parts are runs of three characters
+    short = keyed.filter("size(keys) = 0")
+    if short.limit(1).count():
+        run = lambda text, n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+        for n in (3, 2, 1):
+            own = short.filter(F.length("item") >= 3 if n == 3 else F.length("item") == n).select("query_id", "item", F.array_distinct(run(F.col("item"), n)).alias("keys"))
+            found = found.unionByName(candidates(own, docs.select("id", F.explode(F.array_distinct(run(F.col("text"), n))).alias("key"))))
+        found = found.unionByName(short.filter("item = ''").select("query_id").crossJoin(docs.select("id")))  # an empty text is in every document
+    return found.join(items, "query_id").join(docs, "id").filter(F.contains("text", F.col("item"))).select("query_id", "id")
+
+
+def candidates(keyed: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, id): documents with the rarest of an item's keys. keyed: query_id, keys; postings: id, key."""
+    asked = keyed.select("query_id", F.explode("keys").alias("key"))
+    held = postings.join(sent(asked.select("key").distinct(), MAX_KEYS), "key", "left_semi")
+    counts = held.groupBy("key").agg(F.count("*").alias("df"))
+    rarest = asked.join(counts, "key", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("k"))
+    return held.join(rarest.filter("k.df > 0").select("query_id", F.col("k.key").alias("key")), "key").select("query_id", "id")
 
 
 def samples(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

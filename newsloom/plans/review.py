@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..operators import clusters, reports, review, runlog
 from ..session import table
+from .corpus import LINES, lines
 from .registry import query
 from .retrieval import tok
 
@@ -148,9 +149,20 @@ def review_status(spark, sf_dir):
     return reports.review_status(rows)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES},
+    o AS (SELECT article_id, n, row_number() OVER (ORDER BY article_id) AS at FROM (SELECT article_id, count(*) AS n FROM lc GROUP BY article_id)),
+    walked AS (
+      SELECT article_id, at, 0 AS packet, 1 AS held, n AS total FROM o WHERE at = 1
+      UNION ALL
+      SELECT o.article_id, o.at, CASE WHEN held = 20 OR total + n > 150 THEN packet + 1 ELSE packet END, CASE WHEN held = 20 OR total + n > 150 THEN 1 ELSE held + 1 END, CASE WHEN held = 20 OR total + n > 150 THEN n ELSE total + n END
+      FROM walked JOIN o ON o.at = walked.at + 1
+    )
+    SELECT article_id, CAST(packet AS INTEGER) AS packet FROM walked"""
+)
 def review_packets(spark, sf_dir):
-    counts = questions(spark, sf_dir).groupBy(F.col("article_id").cast("long").alias("article_id")).agg(F.count("*").alias("n"))
+    """Documents as articles and their lines as the questions on them."""
+    counts = lines(spark, sf_dir).groupBy("article_id").agg(F.count("*").alias("n"))
     return review.packets(counts)
 
 

@@ -148,3 +148,72 @@ def test_extract_table(spark):
 
 def test_query_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+STORY = ("It is the story of a town and of the people in it, and they say that it was good. " * 6).strip()
+KEPT = [
+    f'<article class="post tags-politics"><h1>Head</h1><p>{STORY}</p></article>',
+    f'<div id="content-top"><article><h1>Head</h1><p>{STORY}</p></article></div>',
+    f'<div class="site-header-wrap top"><div><h1>Head</h1><p>{STORY}</p></div></div>',
+    f'<div class="has-sidebar comments-open"><main><h1>Head</h1><p>{STORY}</p></main></div>',
+    f'<div class="related"><article><h3>Also read this of the day</h3></article></div><div class="story"><h1>Head</h1><p>{STORY}</p></div><article><h3>Teaser of another day</h3></article>',
+    f'<article class="post"><h1>Head</h1><p>{STORY}</p><div class="newsletter">Get it in your mail and be the first of all to know what there is.</div></article>'
+    f'<div id="comments"><article class="comment"><p>{STORY.upper()} {STORY.upper()} {STORY.upper()}</p></article></div>',
+    f'<div class="ad-layout"><h1>Head</h1><p>{STORY}</p></div><div class="ad">Buy all of the best now.</div>',
+]
+
+
+@pytest.mark.parametrize("html", KEPT)
+def test_names_of_containers_lose_no_article(html):
+    assert html_extract.main_text(f"<html><body class='top nav'>{html}</body></html>") == f"Head {STORY}"
+
+
+def test_second_pass_matches_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        labels = [rng.choice(["good", "bad", "near", "short"]) for _ in range(rng.randint(0, 12))]
+        headings, in_scope = [rng.random() < 0.3 for _ in labels], rng.random() < 0.5
+        want = []
+        for i, label in enumerate(labels):
+            decided = [j for j, x in enumerate(labels) if x in ("good", "bad")]
+            if in_scope and "good" not in labels:
+                want.append(label != "bad")
+            elif label in ("good", "bad"):
+                want.append(label == "good")
+            elif not decided:
+                want.append(label == "near")
+            else:
+                least = min(abs(i - j) for j in decided)
+                nearest = {j > i: labels[j] for j in decided if abs(i - j) == least}
+                if len(set(nearest.values())) == 1:
+                    want.append("good" in nearest.values())
+                else:
+                    want.append(in_scope or nearest[headings[i]] == "good")
+        assert html_extract._second_pass(labels, headings, in_scope) == want
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    html_extract.main_text("<article><p>" + "<span>x</i></b> " * 60_000)
+    html_extract.main_text("<div>a " * 60_000)
+    assert html_extract.main_text("<article><p>" + "the word of it " * 200_000).count("word") == 200_000
+    assert time.perf_counter() - start < 30
+
+
+def test_renamed_tags_and_classes_keep_the_words():
+    from collections import Counter
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    pq = pytest.importorskip("pyarrow.parquet")
+    try:
+        pages = pq.read_table(path)["html"].to_pylist()
+    except FileNotFoundError:
+        pytest.skip("no test tables here")
+    both = whole = renamed = 0
+    for html in pages:
+        other = re.sub(r'class="[^"]*"', 'class="zq"', html.replace("<article", "<div").replace("</article", "</div"))
+        a, b = Counter(html_extract.main_text(html).split()), Counter(html_extract.main_text(other).split())
+        both, whole, renamed = both + (a & b).total(), whole + a.total(), renamed + b.total()
+    assert both > 0.95 * whole and both > 0.95 * renamed

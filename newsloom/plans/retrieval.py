@@ -76,9 +76,14 @@ def candidates(keyed: DataFrame, postings: DataFrame) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(query_id, relevant, retrieved): per query with gold documents."""
-    hits = bm25_hits(spark, sf_dir, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id")))["id"].alias("retrieved"))
-    relevant = gold(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("relevant"))
-    return relevant.join(hits, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<bigint>")))
+    return samples_of(bm25_hits(spark, sf_dir, k), gold(spark, sf_dir))
+
+
+def samples_of(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, relevant, retrieved) from ranked hits and gold pairs."""
+    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id")))["id"].alias("retrieved"))
+    relevant = pairs.groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("relevant"))
+    return relevant.join(found, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<bigint>")))
 
 
 SAMPLES = f"""
@@ -233,9 +238,9 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 """.format(q=tok("b.text"), t=tok("x.text"), k=K)
 
 
-def reranked(spark, sf_dir, n=5):
+def reranked(spark, sf_dir, n=5, found=None):
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    hits = fusion.with_text(bm25_hits(spark, sf_dir), docs, "doc_id").join(sent(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), MAX_ITEMS), "query_id")
+    hits = fusion.with_text(bm25_hits(spark, sf_dir) if found is None else found, docs, "doc_id").join(sent(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), MAX_ITEMS), "query_id")
     return fusion.rerank(hits, n, fusion.overlap_score)
 
 
@@ -246,9 +251,7 @@ def rerank_overlap(spark, sf_dir):
 
 def reranked_samples(spark, sf_dir):
     """``samples`` with the reranked hits."""
-    after = reranked(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id")))["id"].alias("retrieved"))
-    relevant = gold(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("relevant"))
-    return relevant.join(after, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<bigint>")))
+    return samples_of(reranked(spark, sf_dir), gold(spark, sf_dir))
 
 
 @query(

@@ -142,21 +142,33 @@ def testset_variants(spark, sf_dir):
     return review.derived_testsets(testset, notes).select("variant", "question_id", "question")
 
 
-@query("SELECT kind, value, count(*) AS n FROM (SELECT 'label' AS kind, CASE WHEN doc_id % 3 = 0 THEN 'context_dependent' ELSE 'standalone' END AS value FROM documents UNION ALL SELECT 'decision', CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE 'accepted' END FROM documents UNION ALL SELECT 'issue', unnest(CASE WHEN doc_id % 3 = 0 THEN ['pronoun', lang] ELSE [] END) FROM documents UNION ALL SELECT 'ready', (SELECT CAST(bool_and(doc_id % 4 <> 0) AS VARCHAR) FROM documents) FROM documents) GROUP BY kind, value")
+@query(
+    """WITH v AS (SELECT d.doc_id, CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END AS label, CASE WHEN l.toxic IS NOT NULL THEN CASE l.toxic WHEN 1 THEN 'reject' ELSE 'accept' END END AS decision,
+      list_filter([CASE WHEN l.toxic = 1 THEN 'toxic' END, CASE WHEN d.n_chars < 200 THEN 'short' END, CASE WHEN l.quality = 0 THEN lang END], lambda x: x IS NOT NULL) AS codes
+      FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))
+    SELECT kind, value, count(*) AS n FROM (SELECT 'label' AS kind, coalesce(label, 'none') AS value FROM v UNION ALL SELECT 'decision', coalesce(decision, 'none') FROM v UNION ALL SELECT 'issue', unnest(codes) FROM v
+      UNION ALL SELECT 'ready', (SELECT CAST(bool_and(decision IS NOT NULL) AS VARCHAR) FROM v) FROM v) GROUP BY kind, value"""
+)
 def review_status(spark, sf_dir):
-    d = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(d.cast("string").alias("question_id"), F.when(d % 3 == 0, "context_dependent").otherwise("standalone").alias("label"), F.when(d % 4 != 0, "accepted").alias("decision"), F.when(d % 3 == 0, F.array(F.lit("pronoun"), "lang")).otherwise(F.array().cast("array<string>")).alias("reason_codes"))
+    """Documents as review rows: what the labels say of them, and what is short or in which language poor."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(labels, "doc_id", "left")
+    codes = F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("n_chars") < 200, "short"), F.when(F.col("quality") == 0, F.col("lang"))))
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("question_id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("label"),
+        F.when(F.col("toxic") == 1, "reject").when(F.col("toxic") == 0, "accept").alias("decision"), codes.alias("reason_codes"),
+    )
     return reports.review_status(rows)
 
 
 @query(
     f"""WITH RECURSIVE {LINES},
-    o AS (SELECT article_id, n, row_number() OVER (ORDER BY article_id) AS at FROM (SELECT article_id, count(*) AS n FROM lc GROUP BY article_id)),
+    o AS (SELECT article_id, n, row_number() OVER (ORDER BY article_id) AS place FROM (SELECT article_id, count(*) AS n FROM lc GROUP BY article_id)),
     walked AS (
-      SELECT article_id, at, 0 AS packet, 1 AS held, n AS total FROM o WHERE at = 1
+      SELECT article_id, place, 0 AS packet, 1 AS held, n AS total FROM o WHERE place = 1
       UNION ALL
-      SELECT o.article_id, o.at, CASE WHEN held = 20 OR total + n > 150 THEN packet + 1 ELSE packet END, CASE WHEN held = 20 OR total + n > 150 THEN 1 ELSE held + 1 END, CASE WHEN held = 20 OR total + n > 150 THEN n ELSE total + n END
-      FROM walked JOIN o ON o.at = walked.at + 1
+      SELECT o.article_id, o.place, CASE WHEN held = 20 OR total + n > 150 THEN packet + 1 ELSE packet END, CASE WHEN held = 20 OR total + n > 150 THEN 1 ELSE held + 1 END, CASE WHEN held = 20 OR total + n > 150 THEN n ELSE total + n END
+      FROM walked JOIN o ON o.place = walked.place + 1
     )
     SELECT article_id, CAST(packet AS INTEGER) AS packet FROM walked"""
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import text as fx
 from ..operators import metrics, reports, runlog
-from ..session import table
+from ..session import shared_folder, table
 from . import corpus, retrieval
 from .registry import SQL, query
 from .retrieval import BM25, KS, NAMES, OVERLAP, SAMPLES, metric_sql, rounded, tall_sql
@@ -176,6 +176,51 @@ def benchmark_report(spark, sf_dir):
     return rounded(reports.build(groups, "bm25").unionByName(labels_too), "value")
 
 
+SCORED = f"""{SAMPLES}, {OVERLAP}, h2 AS (SELECT query_id, list(id ORDER BY rank) AS retrieved FROM z WHERE rank <= 5 GROUP BY 1),
+    m2 AS (SELECT l.query_id, relevant, coalesce(h2.retrieved, []) AS retrieved FROM l LEFT JOIN h2 USING (query_id)),
+    e AS (SELECT query_id, relevant, {', '.join(metric_sql(k) for k in KS)} FROM m), e2 AS (SELECT query_id, {', '.join(metric_sql(k) for k in SHORT_KS)} FROM m2),
+    lq AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+    qn AS (SELECT query_id, list_min(relevant) AS article_id, coalesce(CAST(quality AS VARCHAR), 'none') AS label, quality, 1 - toxic AS harmless FROM e LEFT JOIN lq ON lq.doc_id = list_min(relevant)),
+    rw AS (SELECT 'retrieval' AS "group", * FROM ({tall_sql("e", keys="query_id, ").replace("round(", "(").replace(", 9)", ")")}) UNION ALL SELECT 'reranked', * FROM ({tall_sql("e2", SHORT, keys="query_id, ").replace("round(", "(").replace(", 9)", ")")})
+      UNION ALL SELECT 'judge', * FROM (SELECT query_id, unnest(['quality', 'harmless']) AS metric, CAST(unnest([quality, harmless]) AS DOUBLE) AS value FROM qn)),
+    sc AS (SELECT "group", rw.query_id, article_id, label, metric, value FROM rw JOIN qn ON qn.query_id = rw.query_id WHERE value IS NOT NULL)"""
+
+
+def stored_scores(spark, sf_dir):
+    """Predictions are retrieved once and stored; from them the score rows are made and stored."""
+    path = shared_folder(spark)
+    retrieval.bm25_hits(spark, sf_dir).write.parquet(f"{path}/hits")
+    retrieval.gold(spark, sf_dir).write.parquet(f"{path}/gold")
+    hits, pairs = spark.read.parquet(f"{path}/hits"), spark.read.parquet(f"{path}/gold")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("article_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    questions = pairs.groupBy(F.col("query_id").alias("question_id")).agg(F.min("id").alias("article_id")).join(labels, "article_id", "left").withColumn("label", F.col("quality").cast("string"))
+    scored = lambda found, ks: metrics.per_query(retrieval.samples_of(found, pairs), ks).select(F.col("query_id").alias("question_id"), *metrics.metric_columns(ks))
+    groups = {
+        "retrieval": scored(hits, KS),
+        "reranked": scored(retrieval.reranked(spark, sf_dir, found=hits), SHORT_KS),
+        "judge": questions.select("question_id", "quality", (1 - F.col("toxic")).alias("harmless")),
+    }
+    reports.score_rows("bm25", questions, groups).write.parquet(f"{path}/scores")
+    return spark.read.schema(reports.SCORES).parquet(f"{path}/scores")
+
+
+@query(f"""WITH {SCORED} SELECT 'bm25' AS run, "group", CAST(query_id AS VARCHAR) AS question_id, CAST(article_id AS VARCHAR) AS article_id, label, metric, round(value, 9) AS value FROM sc""")
+def score_table(spark, sf_dir):
+    """Per-question score rows: retrieval, reranked retrieval, and the labels of the article as a judge's verdict."""
+    return rounded(stored_scores(spark, sf_dir), "value")
+
+
+@query(
+    f"""WITH {SCORED}, gm AS (SELECT "group", metric, avg(value) AS value FROM sc GROUP BY ALL), gl AS (SELECT "group" || ':label:' || label AS "group", metric, avg(value) AS value FROM sc GROUP BY ALL),
+    ga AS (SELECT "group" || ':macro' AS "group", metric, avg(value) AS value FROM (SELECT "group", article_id, metric, avg(value) AS value FROM sc GROUP BY ALL) GROUP BY ALL),
+    gd AS (SELECT 'delta' AS "group", a.metric, a.value - b.value AS value FROM gm a JOIN gm b ON a.metric = b.metric WHERE a."group" = 'reranked' AND b."group" = 'retrieval')
+    SELECT 'bm25' AS run, "group", metric, round(value, 9) AS value FROM (SELECT * FROM gm UNION ALL SELECT * FROM gl UNION ALL SELECT * FROM ga UNION ALL SELECT * FROM gd)"""
+)
+def score_report(spark, sf_dir):
+    """One report over the stored score rows: means, macro means, means by label, the judge, and what reranking changed."""
+    return rounded(reports.score_report(stored_scores(spark, sf_dir)), "value")
+
+
 CHUNKS = ["total_chunks", "mean_tokens", "std_tokens", "min_tokens", "max_tokens", "duplicate_rate", "sentence_end_rate", "size_compliance", "chunks_per_article_mean", "chunks_per_article_std"]
 
 

@@ -91,6 +91,20 @@ def stored_log(spark, sf_dir):
     return good.select(get("event_id", "long"), get("event_type", "string"), get("user_id", "long"))
 
 
+@query("SELECT event_type, count(*) AS sound, CAST(sum(event_id) AS BIGINT) AS ids, 1 AS torn, '{\"event_id\":' AS torn_line FROM events GROUP BY event_type")
+def quarantined_log(spark, sf_dir):
+    """A log of a file per event type, each with a torn last line that is set aside while the rest is read."""
+    path, aside = shared_folder(spark), shared_folder(spark)
+    events = table(spark, sf_dir, "events").select("event_type", F.to_json(F.struct("event_id", "event_type")).alias("value"), F.lit(0).alias("last"))
+    torn = events.select("event_type").distinct().select("event_type", F.lit('{"event_id":').alias("value"), F.lit(1).alias("last"))
+    events.unionByName(torn).repartition("event_type").sortWithinPartitions("event_type", "last").select("event_type", "value").write.partitionBy("event_type").text(path)
+    good = readers.quarantined_log(spark, path, aside)
+    get = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind).alias(name)
+    sound = good.select(get("event_id", "long"), get("event_type", "string")).groupBy("event_type").agg(F.count("*").alias("sound"), F.sum("event_id").alias("ids"))
+    bad = readers.set_aside(spark, aside).select(F.regexp_extract("file", "event_type=([^/]*)", 1).alias("event_type"), "line").groupBy("event_type").agg(F.count("*").cast("int").alias("torn"), F.max("line").alias("torn_line"))
+    return sound.join(bad, "event_type", "left")
+
+
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE lang = 'en'")
 def pinned_snapshot(spark, sf_dir):
     """The first of two revisions of a dataset, which the second does not change."""

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +68,47 @@ def log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame
     return parsed.filter("record IS NOT NULL").select("file", "at", "record"), bad.filter("at = last").select("file", "at", "line"), bad.filter("at <> last").select("file", "at", "line")
 
 
+def quarantined_log(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """(file, record): the sound lines of log files as variants, after one pass that sets the others aside.
+
+    Every line is written once, with what it is, under ``quarantine``: a torn
+    last line of a file is left there for inspection (``set_aside``), and any
+    other line that is no record makes the read fail, with the line.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bad line is torn if it ends its file: the file's last split, and no further line of it in the task."""
+
+        def rows(b: pa.RecordBatch, ends: np.ndarray) -> pa.RecordBatch:
+            ok, last = b["ok"].to_numpy(zero_copy_only=False), ends & b["last_split"].to_numpy(zero_copy_only=False)
+            return pa.RecordBatch.from_arrays([b["file"], b["line"], pa.array(np.where(ok, "sound", np.where(last, "torn", "broken")))], ["file", "line", "state"])
+
+        held = None  # the last row so far, until the next one tells whether it ends its file
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            files, held = b["file"], b.slice(b.num_rows - 1)
+            yield rows(b.slice(0, b.num_rows - 1), pc.not_equal(files[:-1], files[1:]).to_numpy(zero_copy_only=False))
+        if held is not None:
+            yield rows(held, np.array([True]))
+
+    m = F.col("_metadata")
+    last_split = m["file_block_start"] + m["file_block_length"] >= m["file_size"]
+    lines = spark.read.text(path).select(m["file_path"].alias("file"), last_split.alias("last_split"), F.col("value").alias("line")).filter("line <> ''")
+    place = f"{quarantine}/read-{uuid.uuid4().hex}"
+    lines.withColumn("ok", F.try_parse_json("line").isNotNull()).mapInArrow(told, "file string, line string, state string").write.partitionBy("state").parquet(place)
+    kept = spark.read.schema("file string, line string, state string").parquet(place)
+    broken = kept.filter("state = 'broken'").select(F.assert_true(F.lit(False), F.concat(F.lit("no record: "), "file", F.lit(": "), "line")).alias("x"))
+    broken.write.format("noop").mode("overwrite").save()
+    return kept.filter("state = 'sound'").select("file", F.parse_json("line").alias("record"))
+
+
+def set_aside(spark: SparkSession, quarantine: str) -> DataFrame:
+    """(file, line, state) of the lines that were no records, of all reads under ``quarantine``."""
+    return spark.read.schema("file string, line string, state string").option("basePath", quarantine).parquet(f"{quarantine}/*").filter("state <> 'sound'").select("file", "line", "state")
+
+
 def snapshot(spark: SparkSession, path: str, revision: str) -> DataFrame:
     """One pinned revision of a dataset kept as <path>/revision=<id>; it can be scanned again and again."""
     return spark.read.parquet(f"{path}/revision={revision}")

@@ -113,6 +113,41 @@ def test_log_reader_separates_torn_lines(spark, folder):
     assert (good.count(), [r.line for r in torn.collect()], [r.line for r in broken.collect()]) == (4, ['{"q": '], ["broken"])
 
 
+def test_quarantine_takes_torn_lines_and_fails_on_others(spark, folder):
+    with open(f"{folder}/a.jsonl", "w") as f:
+        f.write("\n".join('{"q": %d}' % i for i in range(3000)) + '\n{"q": \n\n')
+    with open(f"{folder}/b.jsonl", "w") as f:
+        f.write('{"q": 1}\n{"q": 3}\n')
+    open(f"{folder}/c.jsonl", "w").close()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", before):  # splits inside a file, and several files in a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            good = readers.quarantined_log(spark, f"{folder}/*.jsonl", f"{folder}/q{size}")
+            assert good.count() == 3002
+            assert [(r.file[-7:], r.line, r.state) for r in readers.set_aside(spark, f"{folder}/q{size}").collect()] == [("a.jsonl", '{"q": ', "torn")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with open(f"{folder}/d.jsonl", "w") as f:
+        f.write('{"q": 1}\nbroken\n{"q": 3}\n')
+    with pytest.raises(Exception, match="d.jsonl: broken"):
+        readers.quarantined_log(spark, f"{folder}/*.jsonl", f"{folder}/q2")
+    assert sorted(r.state for r in readers.set_aside(spark, f"{folder}/q2").collect()) == ["broken", "torn"]
+
+
+def test_review_status_is_one_pass(spark):
+    from newsloom.operators import reports
+
+    rows = spark.createDataFrame([("1", "a", "ok", ["x", "y"]), ("2", None, None, []), ("3", "a", "ok", None), ("4", "b", None, ["x"])], "question_id string, label string, decision string, reason_codes array<string>")
+    got = sorted(map(tuple, reports.review_status(rows).collect()))
+    assert got == [("decision", "none", 2), ("decision", "ok", 2), ("issue", "x", 2), ("issue", "y", 1), ("label", "a", 2), ("label", "b", 1), ("label", "none", 1), ("ready", "false", 4)]
+    assert reports.review_status(rows)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    report = reports.score_report(spark.createDataFrame([("r", g, q, a, "l" + q, "m", v) for g, q, a, v in [("retrieval", "1", "x", 1.0), ("retrieval", "2", "x", 0.0), ("retrieval", "3", "y", 1.0), ("reranked", "1", "x", 1.0), ("judge", "1", "x", 0.5)]], reports.SCORES))
+    got = {(r.group, r.metric): round(r.value, 6) for r in report.collect()}
+    assert got[("retrieval", "m")] == round(2 / 3, 6) and got[("retrieval:macro", "m")] == 0.75 and got[("delta", "m")] == round(1 / 3, 6) and got[("judge", "m")] == 0.5 and got[("retrieval:label:l2", "m")] == 0
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_html_directory_decodes(spark, folder):
     with open(f"{folder}/u.html", "wb") as f:
         f.write("<p>é “ok”</p>".encode())

@@ -7,7 +7,7 @@ this module's form.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +50,36 @@ def rule_triage() -> RowModel:
     return classify
 
 
+Chunker = Callable[[str], Iterable[tuple[int, int]]]
+
+
+def chunked(articles: DataFrame, article_id: str, text: str, load: Callable[[], Chunker]) -> DataFrame:
+    """(id, article_id, chunk_index, char_start, char_end, text): articles cut by a user's chunker, as a table function joined laterally.
+
+    ``load`` runs once per task and returns a function from a text to the
+    (start, end) of its chunks in order. Offsets count characters; one that
+    leaves its text, runs backwards or holds nothing fails the job, and so
+    does a chunk whose text is not found at its place again. Null texts have no chunks.
+    """
+
+    class Cut:
+        def __init__(self):
+            self.chunker = load()
+
+        def eval(self, t: str):
+            for i, (start, end) in enumerate(self.chunker(t) if t is not None else ()):
+                if not 0 <= start < end <= len(t):
+                    raise ValueError(f"chunk {i} at {start}:{end} of a text of {len(t)} characters")
+                yield i, start, end, t[start:end]
+
+    cut = F.udtf(Cut, returnType="chunk_index int, char_start int, char_end int, text string", useArrow=True)
+    rows = articles.select(F.col(article_id).cast("string").alias("article_id"), F.col(text).alias("whole"))
+    out = rows.lateralJoin(cut(F.col("whole").outer()))
+    same = F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")
+    checked = F.when(same, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("a chunk is not at its place in article "), "article_id")))
+    return out.select(F.concat_ws("_", "article_id", "chunk_index").alias("id"), "article_id", "chunk_index", "char_start", "char_end", checked.alias("text"))
+
+
 TRIAGE = "question_id string, label string, reason_codes array<string>, confidence double"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,15 +29,52 @@ class Index:
     corpus: DataFrame
     words: DataFrame | None = None
 
-    def write(self, path: str) -> None:
-        """Postings are clustered by term, so a query reads few row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpus")))
+        """An index that ``write_index`` stored; its buckets are known to the planner, so a join on the term moves no postings."""
+        corpus = spark.read.parquet(f"{path}/corpus")
+        buckets = corpus.first()["buckets"]
+        return cls(_bucketed(spark, f"{path}/postings", POSTINGS, buckets), _bucketed(spark, f"{path}/terms", TERMS, buckets), corpus.drop("buckets"))
+
+
+POSTINGS = "term STRING, id {id}, dl INT, tf BIGINT"
+TERMS = "term STRING, df BIGINT, raw DOUBLE"
+
+
+def _bucketed(spark: SparkSession, path: str, columns: str, buckets: int) -> DataFrame:
+    """The files at ``path`` as a table of the session's catalog that is bucketed by term."""
+    name = "newsloom_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    if "{id}" in columns:
+        columns = columns.format(id=spark.read.parquet(path).schema["id"].dataType.simpleString())
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # of the catalog alone: the files are not the table's own
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
+    name = f"newsloom_{uuid.uuid4().hex}"
+    # dealt as the buckets are, so that each is one file
+    df.repartition(buckets, "term").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").format("parquet").option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def write_index(docs: DataFrame, doc_id: str, text: str, path: str, buckets: int = 64) -> Index:
+    """Store the index of every document in ``buckets`` files by term and return it.
+
+    Texts are cut into words once; what is known per term and of the corpus follows from the stored postings, where a term stands in one bucket.
+    """
+    spark = docs.sparkSession
+    words = docs.select(F.col(doc_id).alias("id"), fx.tokens(F.col(text)).alias("ws")).select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    _write_bucketed(_counted(words).select("term", "id", "dl", "tf"), f"{path}/postings", buckets)
+    postings = _bucketed(spark, f"{path}/postings", POSTINGS, buckets)
+    n = docs.count()
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    _write_bucketed(df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), f"{path}/terms", buckets)
+    total, raw = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0], _bucketed(spark, f"{path}/terms", TERMS, buckets).agg(F.avg("raw")).first()[0]
+    corpus = spark.createDataFrame([(n, total / n if n else None, raw, buckets)], "n long, avgdl double, avg_raw double, buckets int")
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    return Index.read(spark, path)
 
 
 def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:

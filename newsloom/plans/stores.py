@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as fx
-from ..operators import chunking, dense, reports, review, runlog, sampling
+from ..operators import chunking, dense, reports, review, runlog, sampling, seams, sparse
 from ..session import shared_folder, table
 from ..sources import readers, sinks, tables
 from .corpus import LINES, SPANS, evidence, lines
 from .ingest import page_chunks
 from .registry import query
-from .retrieval import rounded
+from .retrieval import BM25, K, rounded
 from .runs import REPORT, report
 
 
@@ -266,6 +267,52 @@ def mixed_runs(spark, sf_dir):
     return runlog.same_run(log, own)
 
 
+@query(f"WITH {BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= {K} AND score > 0")
+def indexed_search(spark, sf_dir):
+    """Every benchmark item against an index that was stored in buckets by term and opened again."""
+    path = shared_folder(spark)
+    sparse.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path, buckets=8)
+    found = sparse.search(sparse.Index.read(spark, path), table(spark, sf_dir, "benchmark"), "item_id", "text", K)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT doc_id, max_tokens <= 64 AS bounded, true AS ordered, true AS covered, n > 0 AS any FROM (
+      SELECT doc_id, 64 AS max_tokens, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM documents) WHERE n > 0"""
+)
+def chunker_invariants(spark, sf_dir):
+    """Documents cut by a chunker that plugs in: at most 64 tokens, in order, and no word or sign left between two chunks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = seams.chunked(docs, "doc_id", "text", lambda: lambda text: chunking.chunk_spans(text, 64, 16))
+    order = Window.partitionBy("article_id").orderBy("chunk_index")
+    upto = F.coalesce(F.lag("char_end").over(order), F.lit(0))
+    placed = cut.select("article_id", "chunk_index", "char_start", "char_end", fx.token_count(F.col("text")).alias("tokens"), upto.alias("upto"), (F.lead("char_start").over(order).isNull()).alias("last"), (F.col("char_start") > F.coalesce(F.lag("char_start").over(order), F.lit(-1))).alias("onward"))
+    gap = lambda a, b: F.when(b > a, fx.token_count(F.substring("text", a + 1, b - a))).otherwise(0) == 0
+    covered = gap(F.col("upto"), F.col("char_start")) & F.when(F.col("last"), gap(F.col("char_end"), F.length("text"))).otherwise(True)
+    rows = placed.withColumn("doc_id", F.col("article_id").cast("long")).join(docs, "doc_id")
+    return rows.groupBy("doc_id").agg((F.max("tokens") <= 64).alias("bounded"), F.bool_and("onward").alias("ordered"), F.bool_and(covered).alias("covered"), (F.count("*") > 0).alias("any"))
+
+
+@query(
+    """WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
+    SELECT lang, source, n, CASE WHEN lang = 'en' THEN 0 ELSE n END AS lacking_before, 0 AS lacking_after, n AS first, n AS second FROM s WHERE lang IS NOT NULL AND source IS NOT NULL"""
+)
+def completed_stores(spark, sf_dir):
+    """Documents go to two stores; the run broke off when the second held the English ones alone, and running it again completes it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").filter("lang IS NOT NULL AND source IS NOT NULL")
+    stores = [sinks.parquet_store("files", shared_folder(spark)), sinks.bucketed_store("collection", shared_folder(spark), "doc_id", buckets=16)]
+    stores[0].write(docs)
+    stores[1].write(docs.filter("lang = 'en'"))
+    lacking = lambda: docs.join(sinks.holdings(spark, stores, "doc_id"), "doc_id").groupBy("lang", "source").agg(F.count_if(~F.col("everywhere")).cast("long").alias("lacking"))
+    before = shared_folder(spark)
+    lacking().write.parquet(before)
+    for _ in range(2):
+        sinks.fan_out(docs, stores, "doc_id")
+    held = [s.held(spark).groupBy("lang", "source").agg(F.count("*").alias(n)) for s, n in zip(stores, ("first", "second"))]
+    out = held[0].join(held[1], ["lang", "source"]).join(spark.read.parquet(before).withColumnRenamed("lacking", "lacking_before"), ["lang", "source"])
+    return out.join(lacking().withColumnRenamed("lacking", "lacking_after"), ["lang", "source"]).withColumn("n", F.col("first"))
+
+
 @query()
 def ingested_collection(spark, sf_dir):
     """Ingest to the end: pages to chunks to vectors, upserted twice into a collection that stays the same, then read."""

@@ -181,9 +181,6 @@ def test_sinks_layout(spark, folder):
     sinks.articles(df, f"{folder}/articles", existing=df)
     stored = spark.read.json(f"{folder}/articles")
     assert stored.count() == 2 and {r.hash_prefix for r in stored.collect()} == {"ab", "cd"}
-    seen = []
-    sinks.fan_out(df, [lambda d: seen.append(d.count()), lambda d: d.write.parquet(f"{folder}/p")])
-    assert seen == [2] and sinks.in_all_stores([df, spark.read.parquet(f"{folder}/p").limit(1)], "url_hash").count() == 1
     sinks.manifest(df.withColumn("ts", F.lit("2024-03-05").cast("timestamp")), f"{folder}/m")
     assert spark.read.json(f"{folder}/m").select("year", "month", "day").distinct().count() == 1
 
@@ -204,13 +201,67 @@ def test_search_methods(spark):
         dense.distance(F.lit(1), F.lit(1), "manhattan")
 
 
-def test_index_survives_writing(spark, folder):
-    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "c d")], "i long, t string")
-    index = sparse.build_index(docs, "i", "t")
-    index.write(folder)
-    asked = spark.createDataFrame([(9, "b d")], "q long, t string")
-    rank = lambda ix: [(r.id, round(r.score, 9)) for r in sparse.search(ix, asked, "q", "t", 3).orderBy("rank").collect()]
-    assert rank(index) == rank(sparse.Index.read(spark, folder))
+def test_stored_index_moves_no_postings(spark, folder, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "c d"), (4, None), (5, "")], "i long, t string")
+    index, stored = sparse.build_index(docs, "i", "t"), sparse.write_index(docs, "i", "t", f"{folder}/it's", buckets=4)
+    asked = spark.createDataFrame([(9, "b d b"), (10, "x"), (11, None)], "q long, t string")
+    rank = lambda ix: [(r.query_id, r.id, round(r.score, 9)) for r in sparse.search(ix, asked, "q", "t", 3).orderBy("query_id", "rank").collect()]
+    assert rank(index) == rank(stored) == rank(sparse.Index.read(spark, f"{folder}/it's")) != []
+    monkeypatch.setattr(sparse, "MAX_BROADCAST_TERMS", 0)  # too many query terms to send
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sparse.scores(stored, sparse.query_terms(asked, "q", "t"))
+        plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sorted(r.id for r in found.collect()) == sorted(r[1] for r in rank(index))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = next(i for i, line in enumerate(plan) if "FileScan" in line and "tf#" in line)
+    join = max(i for i in range(at) if "SortMergeJoin" in plan[i])
+    assert "Bucketed: true" in plan[at] and not any("Exchange" in line for line in plan[join:at])
+
+
+def test_chunkers_plug_in_with_offsets(spark):
+    from newsloom.operators import chunking, seams
+
+    rows = [("a", "One two. Three\u00e9 \U0001f600 four."), ("b", ""), ("c", None)]
+    df = spark.createDataFrame(rows, "i string, t string")
+
+    def load():
+        return lambda text: [(k, min(k + 7, len(text))) for k in range(0, len(text), 7)]
+
+    got = sorted((r.id, r.chunk_index, r.char_start, r.char_end, r.text) for r in seams.chunked(df, "i", "t", load).collect())
+    assert got == [(f"a_{k}", k, 7 * k, min(7 * k + 7, len(rows[0][1])), rows[0][1][7 * k : 7 * k + 7]) for k in range(4)]
+    whole = seams.chunked(df, "i", "t", lambda: lambda t: chunking.chunk_spans(t, 4, 1))
+    assert sorted(map(tuple, whole.collect())) == sorted(tuple(r)[:6] for r in chunking.recursive_chunks(df, "i", "t", 4, 1).collect())
+    for bad in ((3, 3), (5, 2), (0, 10**6), (-1, 4)):
+        with pytest.raises(Exception, match="of a text of"):
+            seams.chunked(df, "i", "t", lambda: lambda t: [bad]).collect()
+
+
+def test_stores_are_completed(spark, folder):
+    df = spark.range(50).withColumn("text", F.lit("x"))
+    seen = []
+    first, second = sinks.parquet_store("a", f"{folder}/a"), sinks.bucketed_store("b", f"{folder}/b", "id", buckets=4)
+    counting = sinks.Store("a", lambda d: (seen.append(d.count()), first.write(d)), first.held)
+
+    def fails(d):
+        raise RuntimeError("store b is down")
+
+    assert sinks.holdings(spark, [counting, second], "id") is None
+    with pytest.raises(RuntimeError):
+        sinks.fan_out(df, [counting, sinks.Store("b", fails, second.held)], "id")
+    state = sinks.holdings(spark, [counting, second], "id")
+    assert state.filter("everywhere").count() == 0 and [r.missing for r in state.select("missing").distinct().collect()] == [["b"]]
+    for _ in range(2):
+        sinks.fan_out(df.union(spark.createDataFrame([(99, "y")], "id long, text string")), [counting, second], "id")
+    assert seen == [50, 1]
+    state = sinks.holdings(spark, [counting, second], "id")
+    assert state.count() == 51 == state.filter("everywhere").count()
+    assert first.held(spark).count() == 51 == second.held(spark).count()
+    third = sinks.parquet_store("c", f"{folder}/c")
+    sinks.complete(second, [second, third], spark, "id")
+    assert third.held(spark).count() == 51
 
 
 def test_pending_and_latest(spark):

@@ -11,17 +11,9 @@ from pyspark.sql.types import StringType
 
 from .text import collapsed, first_non_empty
 
-#: Entities that the expression form, for use inside arrays, decodes; &amp; last, so that nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 DROPPED = ("script", "style", "nav", "footer", "aside", "form", "noscript")
 
 
-def unescaped(text: Column) -> Column:
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
-
-
 @F.pandas_udf(StringType())
 def all_unescaped(text: pd.Series) -> pd.Series:
     """Every named and numeric character reference; non-breaking spaces become plain ones."""
@@ -39,9 +31,10 @@ def stripped(html: Column) -> Column:
     return collapsed(all_unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")))
 
 
-def stripped_part(html: Column) -> Column:
-    """``stripped`` as an expression that may stand inside arrays; it decodes ``ENTITIES``."""
-    return collapsed(unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")))
+def stripped_each(parts: Column) -> Column:
+    """``stripped`` for each element of an array without nulls, decoded as one text."""
+    bare = F.transform(parts, lambda p: F.regexp_replace(p, "<[^>]*>|\u0001", " "))
+    return F.transform(F.split(all_unescaped(F.array_join(bare, "\u0001")), "\u0001"), collapsed)
 
 
 def without_boilerplate(html: Column) -> Column:
@@ -62,9 +55,7 @@ def article_html(html: Column) -> Column:
 def paragraphs(html: Column, least_words: int = 8, least_chars: int = 40) -> Column:
     """Useful paragraphs of an article element, in order."""
     parts = F.split(article_html(html), r"(?i)</?(?:p|h[1-6]|li|div|br|tr|blockquote)\b[^>]*>")
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, "<[^>]*>", " "))
-    texts = F.transform(F.split(all_unescaped(F.array_join(bare, "\u0001")), "\u0001"), collapsed)
-    return F.filter(texts, lambda t: (F.size(F.split(t, " ")) >= least_words) & (F.length(t) >= least_chars))
+    return F.filter(stripped_each(parts), lambda t: (F.size(F.split(t, " ")) >= least_words) & (F.length(t) >= least_chars))
 
 
 def paragraphs_of_text(text: Column) -> Column:
@@ -88,7 +79,7 @@ def meta(html: Column, *names: str) -> Column:
     for name in names:
         found.append(F.regexp_extract(html, rf"""(?is)<meta\b[^>]*(?:name|property)=["']{name}["'][^>]*content=["']([^"']*)["']""", 1))
         found.append(F.regexp_extract(html, rf"""(?is)<meta\b[^>]*content=["']([^"']*)["'][^>]*(?:name|property)=["']{name}["']""", 1))
-    return unescaped(first_non_empty(*found))
+    return all_unescaped(first_non_empty(*found))
 
 
 def title(html: Column) -> Column:
@@ -101,7 +92,8 @@ def title(html: Column) -> Column:
 def anchors(html: Column) -> Column:
     """(href, text) of every link, in page order."""
     whole = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)(<a\b[^>]*href=["'][^"']*["'][^>]*>.*?</a>)"""), F.lit(1))
-    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"""(?is)href=["']([^"']*)["']""", 1).alias("href"), stripped_part(a).alias("text")))
+    texts = F.slice(stripped_each(whole), F.lit(1), F.size(whole))
+    return F.zip_with(whole, texts, lambda a, t: F.struct(F.regexp_extract(a, r"""(?is)href=["']([^"']*)["']""", 1).alias("href"), t.alias("text")))
 
 
 def normalized_page(title_text: Column, url: Column, published: Column, author: Column, paragraph_list: Column) -> Column:

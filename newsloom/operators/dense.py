@@ -32,10 +32,15 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
 
 
 def _matrix(vectors, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, x): the vectors of ``dim`` numbers without nulls, as a matrix, and their places."""
-    whole = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and not any(x is None for x in v)]
-    x = np.array([np.asarray(vectors[i], np.float64) for i in whole]).reshape(len(whole), dim)
-    return np.array(whole, np.int64), x
+    """(rows, x): the vectors of ``dim`` numbers as a matrix, and their places; ``vectors`` holds arrays without nulls, or None."""
+    whole = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+    x = np.concatenate([vectors[i] for i in whole]).astype(np.float64) if whole and dim else np.empty(0)
+    return np.array(whole, np.int64), x.reshape(len(whole), dim)
+
+
+def _whole(vector: Column) -> Column:
+    """Null for a vector that holds a null."""
+    return F.when(~F.exists(vector, lambda x: x.isNull()), vector)
 
 
 def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -61,8 +66,8 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     """
     spark = corpus.sparkSession
     rows = corpus if where is None else corpus.filter(where)
-    rows = rows.select(F.col(id).alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL")
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q")).filter("query_id IS NOT NULL AND q IS NOT NULL")
+    rows = rows.select(F.col(id).alias("id"), _whole(F.col(vector)).alias("v")).filter("id IS NOT NULL")
+    asked = queries.select(F.col(query_id).alias("query_id"), _whole(F.col(query_vector)).alias("q")).filter("query_id IS NOT NULL AND q IS NOT NULL")
     n_bytes = asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)).cast("long")).first()[0] * 8
     blocks = -(-n_bytes // MAX_BROADCAST_BYTES) if n_bytes else 0
     schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"

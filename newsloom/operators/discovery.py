@@ -50,9 +50,9 @@ def per_source(df: DataFrame, source: str, n: int, *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= n).drop("rn")
 
 
-def discover(entries: DataFrame, arrival: str, domains: Sequence[str], cutoff: Column, blocked: Sequence[str], per_source_limit: int, limit: int | None = None, least_name: int = 12) -> DataFrame:
+def discover(entries: DataFrame, arrival: str, domains: Sequence[str], cutoff: Column, blocked: Sequence[str], per_source_limit: int, limit: int | None = None, least_name: int = 12, categories: Sequence[str] = ()) -> DataFrame:
     """Feed candidates deduplicated before the newest-first order, blocked ones out, limits last."""
-    rows = first_by_url(feed_candidates(entries, domains, cutoff, least_name=least_name), "url", arrival)
+    rows = first_by_url(feed_candidates(entries, domains, cutoff, categories, least_name), "url", arrival)
     rows = rows.filter(urls.skip_reason(F.col("url"), F.col("title"), F.col("summary"), domains, blocked, least_name) == "")
     rows = per_source(rows, "source_key", per_source_limit, F.desc_nulls_last("published_at"), F.asc(arrival))
     return newest_first(rows, "published_at", arrival).limit(limit) if limit else rows

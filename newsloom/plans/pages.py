@@ -120,10 +120,26 @@ o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM
 
 @query(f"WITH {FEED} SELECT page_id, source_key, url, published_at FROM p WHERE rs <= 10")
 def feed_discovery(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    return discovery.discover(feed(spark, sf_dir), "page_id", DOMAINS, F.lit("2024-01-10").cast("timestamp"), (), 10, least_name=3).select("page_id", "source_key", "url", "published_at")
+
+
+def feed(spark, sf_dir):
+    """Pages as feed entries; the language of a page is its category."""
     when = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(page_id * 37 % 1000 as int))")
-    entries = pages.select("page_id", F.concat(F.lit("s"), (F.col("page_id") % 5).cast("string")).alias("source_key"), "url", F.lit("").alias("title"), F.lit("").alias("summary"), F.when(F.col("page_id") % 9 != 0, when).alias("published_at"), F.lit("news").alias("category"))
-    return discovery.discover(entries, "page_id", DOMAINS, F.lit("2024-01-10").cast("timestamp"), (), 10, least_name=3).select("page_id", "source_key", "url", "published_at")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("s"), (F.col("page_id") % 5).cast("string")).alias("source_key"), "url", F.lit("").alias("title"), F.lit("").alias("summary"),
+        F.when(F.col("page_id") % 9 != 0, when).alias("published_at"), F.regexp_extract("html", '(?is)<html lang="([a-z]+)"', 1).alias("category"),
+    )
+
+
+TERM = "ve"
+NEWEST = FEED.replace("FROM pages),", "FROM pages WHERE regexp_extract(html, '(?is)<html lang=\"([a-z]+)\"', 1) IN ('en', 'fr')),", 1).replace("WHERE rn = 1)", f"WHERE rn = 1 AND NOT contains(lower(url), '{TERM}'))")
+
+
+@query(f"WITH {NEWEST} SELECT page_id, source_key, url, published_at FROM p WHERE rs <= 10 ORDER BY published_at DESC NULLS LAST, page_id LIMIT 20")
+def newest_articles(spark, sf_dir):
+    """The 20 newest candidates of two categories (here languages) over all sources, without those that a term blocks; the limit is the feature."""
+    return discovery.discover(feed(spark, sf_dir), "page_id", DOMAINS, F.lit("2024-01-10").cast("timestamp"), (TERM.upper(),), 10, limit=20, least_name=3, categories=("en", "fr")).select("page_id", "source_key", "url", "published_at")
 
 
 @query("SELECT page_id, 'articles/s' || (page_id % 5) || '/' || left(sha256({c}), 2) || '/' || left(sha256({c}), 24) AS path FROM pages".format(c=canon("url")))

@@ -277,7 +277,7 @@ def indexed_search(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, max_tokens <= 64 AS bounded, true AS ordered, true AS covered, n > 0 AS any FROM (
+    r"""SELECT doc_id, max_tokens <= 64 AS bounded, true AS ordered, true AS covered, n > 0 AS any FROM (
       SELECT doc_id, 64 AS max_tokens, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM documents) WHERE n > 0"""
 )
 def chunker_invariants(spark, sf_dir):

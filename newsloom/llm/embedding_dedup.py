@@ -17,7 +17,7 @@ share under the target that lies inside the components is an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,7 @@ class Settings:
     audited: int = 500  # nodes compared with all vectors
     recall: float = 0.98
     repeats: int = 3
+    repairs: int = 3  # further graphs, while components miss audited links
     block: int = 512
     radius: float = 0.15  # angle that a cell of open nodes covers
     cells: int = 4096  # cells compared with each other in a task
@@ -404,9 +405,11 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     equal vectors are linked with each other. A repeated id is a vector of its
     own each time; ``kept`` then marks all rows with the component's smallest
     id. A null id takes part under no id: it is kept only if all ids of its
-    component are null. Columns of other names are ignored; an empty table
-    gives an empty table. If the components hold less than ``settings.recall``
-    of the sampled nodes' true links, a RuntimeError says so.
+    component are null. Ties between neighbours change no result. Columns of
+    other names are ignored; an empty table gives an empty table. While the
+    components hold less than ``settings.recall`` of the sampled nodes' true
+    links, graphs from other trees add theirs; if ``settings.repairs`` of them
+    do not mend it, a RuntimeError says so.
     """
     s = settings
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
@@ -417,23 +420,29 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     for dim in sorted(r[0] for r in classes.select(F.size("v")).distinct().collect()):
         own = classes.filter(F.size("v") == dim)
         vectors = stored(_nodes(own))
-        lists, _ = neighbour_graph(vectors, dim, s)
         nodes = own.select("node", "first_id", "size")
-        components = connected_components(_confirmed(lists, vectors, s))
-        labelled = stored(_labels(nodes, components))
-        bridges = stored(_bridges(lists, labelled, vectors, s))
-        if not bridges.isEmpty():
+        edges, labelled = None, None
+        for attempt in range(s.repairs + 1):
+            lists, _ = neighbour_graph(vectors, dim, s if not attempt else replace(s, seed=s.seed + attempt))
+            found = _confirmed(lists, vectors, s)
+            known = stored(found if edges is None else found.unionByName(edges))
+            components = connected_components(known)
+            rough = stored(_labels(nodes, components))
+            bridges = stored(_bridges(lists, rough, vectors, s))
             joined = connected_components(components.unionByName(bridges))
-            drop_stored(labelled)
-            labelled = stored(_labels(nodes, joined))
-            drop_stored(joined)
-        held = _audit_parts(vectors, labelled, s)
+            if edges is not None:
+                drop_stored(edges, labelled)
+            edges, labelled = stored(known.unionByName(bridges)), stored(_labels(nodes, joined))
+            drop_stored(lists, known, components, rough, bridges, joined)
+            held = _audit_parts(vectors, labelled, s)
+            if held >= s.recall:
+                break  # else other trees add their links to those that are known
+        drop_stored(edges)
         if held < s.recall:
             raise RuntimeError(f"components hold {held:.4f} of the audited links of vectors of length {dim}, under {s.recall}")
         smallest = labelled.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m"))
         linked = labelled.join(smallest.filter("m > 1").select("part"), "part", "left_semi").select("node", "part", "size")
         counts = _counted(linked, vectors, s)
-        drop_stored(lists, components, bridges)
         result = labelled.join(smallest, "part").join(counts, "node", "left").select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
         done = result if done is None else done.unionByName(result)
     if done is None:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from newsloom.llm import embedding_dedup as nn
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -87,3 +88,22 @@ def test_the_last_audit_takes_all_links(spark):
     vectors = nn._nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>"))
     parts = spark.createDataFrame([(i, i // 45) for i in range(90)], "node long, part long")
     assert nn._audit_parts(vectors, parts, nn.Settings()) == 2 * 45 * 44 / (90 * 89)
+
+
+def test_missed_links_are_repaired_with_further_graphs(spark, monkeypatch):
+    rows = rows_of()
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    seen, graph = [], nn.neighbour_graph
+
+    def poor_first(vectors, dim, s):
+        lists, recall = graph(vectors, dim, s)
+        if dim == 16:
+            seen.append(s.seed)
+        return (nn.stored(lists.filter("cos < 0.5")) if len(seen) == 1 else lists), recall
+
+    monkeypatch.setattr(nn, "neighbour_graph", poor_first)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn.near_duplicates(table, settings=nn.Settings(block=64, leaf=60)).collect()}
+    assert len(seen) == len(set(seen)) > 1 and got == brute(rows)
+    monkeypatch.setattr(nn, "_audit_parts", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="0.5000 of the audited"):
+        nn.near_duplicates(table, settings=nn.Settings(repairs=1))

@@ -81,9 +81,11 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     """Index of every document; documents without words count in n and avgdl with length 0."""
     tokenized = docs.select(F.col(doc_id).alias("id"), fx.tokens(F.col(text)).alias("ws"))
     words = tokenized.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    sizes = docs.select(F.size(fx.tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # documents per term need no shuffle of the words: each document names its distinct ones
-    df = tokenized.select(F.explode(F.array_distinct("ws")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # each document names its distinct words, and itself under no word, so one aggregation counts documents per term and the corpus
+    named = tokenized.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("ws"))).alias("term"), F.size("ws").alias("dl"))
+    counted = named.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    sizes = counted.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.try_divide(F.sum("dl"), F.sum("df")).alias("avgdl"))
+    df = counted.filter("term IS NOT NULL").select("term", "df")
     terms = df.join(F.broadcast(sizes.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     corpus = sizes.join(F.broadcast(terms.agg(F.avg("raw").alias("avg_raw"))))
     return Index(_counted(words), terms, corpus, words)

@@ -177,6 +177,24 @@ def latency_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
+def latency_by_selection(df: DataFrame, value: str, *keys: str, fractions: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """``latency_summary`` for keys with more distinct values than a task should hold: ranks are selected by ranges (``values_at``)."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    held = df.filter(F.col(value).isNotNull()).select(group.alias("group"), F.col(value).cast("double").alias("value"))
+    counts = held.groupBy("group", "value").agg(F.count("*").alias("c"))
+    whole = counts.groupBy("group").agg(F.sum("c").alias("count"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"), F.min("value").alias("least"), F.max("value").alias("max"))
+    place = lambda f: (F.col("count") - 1) * F.lit(float(f))
+    name = lambda f, side: f"p{round(f * 100)}{side}"
+    asked = [F.struct(F.lit(name(f, side)).alias("name"), (cut(place(f)) + 1).cast("long").alias("rank")) for f in fractions for side, cut in (("_lo", F.floor), ("_hi", F.ceil))]
+    targets = whole.select("group", F.explode(F.array(*asked)).alias("t"), F.col("least").alias("lo"), F.col("max").alias("hi")).select("group", "t.name", "t.rank", "lo", "hi")
+    at = lambda n: F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
+    found = values_at(counts, targets, "group", "value").groupBy("group").agg(*[at(name(f, side)) for f in fractions for side in ("_lo", "_hi")])
+    lo, hi = (lambda f: F.col(name(f, "_lo"))), (lambda f: F.col(name(f, "_hi")))
+    between = lambda f: F.when(lo(f) == hi(f), lo(f)).otherwise(lo(f) + (place(f) - F.floor(place(f))) * (hi(f) - lo(f)))
+    joined = whole.join(found, "group")
+    return joined.select(*[F.col(f"group.`{k}`").alias(k) for k in keys], "count", "mean", *[between(f).alias(name(f, "")) for f in fractions], "max")
+
+
 def selection_coverage(candidates: DataFrame, selected: DataFrame, questions: DataFrame) -> DataFrame:
     """The seven distributions that tell a selection of articles from its candidates, by ``distribution_summary``.
 

@@ -59,6 +59,12 @@ def latency_summary(spark, sf_dir):
     return rounded(out, "mean", "p50", "p95", "max", digits=6)
 
 
+@query(SQL["latency_summary"])
+def latency_by_selection(spark, sf_dir):
+    """The same distribution, its ranks selected by ranges instead of sorted per key."""
+    return rounded(metrics.latency_by_selection(table(spark, sf_dir, "events"), "value", "event_type"), "mean", "p50", "p95", "max", digits=6)
+
+
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM r WHERE rn <= 3")
 def chat_history(spark, sf_dir):
     return runlog.last_n(table(spark, sf_dir, "conversations"), "conv_id", 3, "turn").select("conv_id", "turn", "role", "position")

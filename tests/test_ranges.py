@@ -72,6 +72,15 @@ def test_percentiles_are_selected_exactly(spark):
         assert [got[g][c] for c in ("count", "min", "max", "p25", "p50", "p75", "p95")] == [len(vs), min(vs), max(vs), at(0.25), at(0.5), at(0.75), at(0.95)], g
 
 
+def test_latency_by_selection_is_that_of_percentiles(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.choice("abc"), rng.choice([1, 2, None]), rng.choice([None, rng.expovariate(0.01), 5.0])) for _ in range(4000)] + [("one", 1, 3.0)], "k string, j int, v double")
+    for keys in ((), ("k",), ("k", "j")):
+        want = {tuple(r[k] for k in keys): [r[c] for c in ("count", "mean", "p50", "p95", "max")] for r in metrics.latency_summary(df, "v", *keys).collect()}
+        got = {tuple(r[k] for k in keys): [r[c] for c in ("count", "mean", "p50", "p95", "max")] for r in metrics.latency_by_selection(df, "v", *keys).collect()}
+        assert set(got) == set(want) and all(g == pytest.approx(want[k]) for k, g in got.items())
+
+
 def brute_overlaps(spans, chunks):
     return sorted((q, c) for q, a, s, e in spans for c, b, cs, ce in chunks if a == b and cs < e and s < ce)
 

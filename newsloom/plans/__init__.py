@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import corpus, ingest, pages, retrieval, review, runs, stores, streams  # noqa: F401
+from . import corpus, gates, ingest, pages, retrieval, review, runs, stores, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

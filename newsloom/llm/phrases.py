@@ -180,7 +180,7 @@ def bloom(ids: DataFrame, settings: Settings) -> Bloom:
 
     blocks = np.zeros((BLOCKS, width), np.uint8)
     parted = ids.select("id", F.shiftrightunsigned("id", 56).cast("int").alias("block"))
-    for row in parted.groupBy("block").applyInPandas(build, "block int, bits binary").toLocalIterator():
+    for row in parted.groupBy("block").applyInPandas(build, "block int, bits binary").collect():  # BLOCKS rows of bounded size
         blocks[row.block] = np.frombuffer(row.bits, np.uint8)
     return Bloom(blocks)
 

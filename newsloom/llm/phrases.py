@@ -1,13 +1,14 @@
 """Phrase collocation mining after Toivonen.
 
-Texts are read once into a table of word ids. A sample of the documents, level
-by level, proposes the phrases that are frequent in it at a lowered floor. One
-pass over everything then counts the proposals together with their negative
-border: every occurring phrase whose first and last part of one word less are
-both proposed. A border phrase, or a word, that turns out frequent is a
-failure: it joins the proposals, and a further pass counts what its addition
-brings into the border, until no pass finds a failure. All counts are exact
-whatever the sample holds; it only decides how many passes are needed.
+Texts are read once into a table of word ids, and all words are counted. A
+sample of the documents, level by level, proposes the phrases that are frequent
+in it at a lowered floor. One pass over everything then counts the proposals
+together with their negative border: every occurring phrase whose first and
+last part of one word less are both proposed, or frequent words. A border
+phrase that turns out frequent is a failure: it joins the proposals, and a
+further pass counts what its addition brings into the border, until no pass
+finds a failure. All counts are exact whatever the sample holds; it only
+decides how many passes are needed.
 
 The proposals reach the tasks as Bloom filters of bounded size. A false
 positive makes a task count a phrase more than needed and changes no result.
@@ -248,10 +249,10 @@ def _with_id(frame: DataFrame) -> DataFrame:
 def frequent(rows: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
     """(k, id, p, w, c): all phrases of 2 to ``most_words`` words that are frequent, with exact counts.
 
-    ``rows`` has (sampled, ids), ``words`` has (id, f, sampled_f).
+    ``rows`` has (sampled, ids), ``words`` has (id, f).
     """
     top = settings.most_words
-    known = [stored(words.filter(F.col("sampled_f") >= settings.sample_floor).select("id"))]
+    known = [stored(words.filter(F.col("f") >= settings.floor).select("id"))]
     filters = [bloom(known[0], settings)]
     for k in range(2, top):  # proposals of the sample
         found = counted(rows.filter("sampled"), filters, range(k, k + 1)).filter(F.col("c") >= settings.sample_floor)
@@ -266,16 +267,15 @@ def frequent(rows: DataFrame, words: DataFrame, settings: Settings) -> DataFrame
             both = stored(total.unionByName(found).groupBy("k", "id", "p", "w").agg(F.max("c").alias("c")).select("k", "p", "w", "c", "id"))
             drop_stored(total, found)
             total = both
-        often = [words.filter(F.col("f") >= settings.floor).select("id"), *[total.filter(F.col("k") == k).select("id") for k in range(2, top)]]
-        failed = [stored(o.join(s, "id", "left_anti")) for o, s in zip(often, known)]
-        fresh = [bloom(x, settings) for x in failed]
+        failed = [stored(total.filter(F.col("k") == k).select("id").join(known[k - 1], "id", "left_anti")) for k in range(2, top)]
+        fresh = [Bloom(None), *[bloom(x, settings) for x in failed]]  # all frequent words are known
         if all(x.blocks is None for x in fresh):
             drop_stored(*failed, *known)
             return total
-        wider = [stored(s.unionByName(x)) for s, x in zip(known, failed)]
-        drop_stored(*failed, *known)
-        known = wider
-        filters = [bloom(x, settings) for x in known]
+        wider = [stored(s.unionByName(x)) for s, x in zip(known[1:], failed)]
+        drop_stored(*failed, *known[1:])
+        known[1:] = wider
+        filters[1:] = [bloom(x, settings) for x in wider]
 
 
 def _spelled(found: DataFrame, words: DataFrame, most: int) -> DataFrame:
@@ -328,8 +328,7 @@ def mine(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str
     source = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), sampled.alias("sampled"))
     for salt in range(1, 9):
         table = stored(encode(source, "lang", "text", salt), **{"parquet.dictionary.page.size": 8 << 20})
-        of_sample = F.when(F.col("sampled"), F.col("n")).otherwise(0)
-        words = stored(table.filter("id IS NOT NULL").groupBy("id", "lang", "word").agg(F.sum("n").alias("f"), F.sum(of_sample).alias("sampled_f")))
+        words = stored(table.filter("id IS NOT NULL").groupBy("id", "lang", "word").agg(F.sum("n").alias("f")))
         if not words.groupBy("id").count().filter("count > 1").limit(1).count():
             break
         drop_stored(table, words)

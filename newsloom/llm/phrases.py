@@ -32,7 +32,7 @@ LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-SLICE = 4_000_000  # bytes of text, or word ids, that a task handles at once
+SLICE = 2_000_000  # bytes of text, or word ids, that a task handles at once
 ROW = 32_768  # word ids in a row, or more where one piece has more
 BLOCKS = 256
 COUNTED = "k tinyint, p long, w long, c long"

@@ -49,6 +49,13 @@ def semantic_chunks(spark, sf_dir):
     return chunking.semantic_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS whole_md5, true AS has_chunks FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> ''")
+def semantic_cover(spark, sf_dir):
+    """The semantic chunks of a document, put together in order, are its sentences and nothing else."""
+    cut = semantic_chunks(spark, sf_dir).groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("chunk_index", "text")))["text"], " ").alias("whole"), F.max("chunk_index").alias("last"), F.count("*").alias("n"))
+    return cut.select(F.col("article_id").alias("doc_id"), F.md5(F.col("whole").cast("binary")).alias("whole_md5"), (F.col("n") == F.col("last") + 1).alias("has_chunks"))
+
+
 @query(
     f"""WITH {LINES}, m AS (SELECT article_id, {N_TOKENS} AS n, md5(text) AS h, {ENDS} AS e FROM lc), p AS (SELECT article_id, count(*) AS c FROM m GROUP BY 1)
     SELECT count(*) AS total_chunks, round(avg(n), 9) AS mean_tokens, round(stddev_pop(n), 9) AS std_tokens, min(n) AS min_tokens, max(n) AS max_tokens, round(1 - count(DISTINCT h) / count(*), 9) AS duplicate_rate,

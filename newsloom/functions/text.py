@@ -59,7 +59,8 @@ def normalized_hash(text: Column) -> Column:
 
 def derived_title(text: Column, length: int = 160) -> Column:
     """The first line that is not blank, cut to ``length``; empty if there is none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    # a bare F.trim would take the place in the array as the signs to trim
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.left(F.try_element_at(lines, F.lit(1)), F.lit(length)), F.lit(""))
 
 

@@ -147,3 +147,8 @@ def test_html_core(spark):
     assert one(spark, html.paragraphs(F.lit(page))) == ["One two three four five six seven eight nine ten."]
     assert one(spark, html.longest_extraction(arrays("a"), arrays("bb", "c"), arrays("ddd"))) == ["bb", "c"]
     assert '<meta name="author" content="a&quot;b">' in one(spark, html.normalized_page(F.lit("t"), F.lit("u"), F.lit(None).cast("string"), F.lit('a"b'), arrays("p < q")))
+
+
+def test_derived_title_keeps_its_digits(spark):
+    assert one(spark, fx.derived_title(F.lit("call 4630"))) == "call 4630"
+    assert one(spark, fx.derived_title(F.lit(" \n  1st of 1 \nx"))) == "1st of 1"

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +18,24 @@ from ..functions import text as fx
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Up to so many query term rows are broadcast; more are joined by shuffle.
 MAX_BROADCAST_TERMS = 500_000
+#: Scores of documents and queries that a task holds at once.
+BLOCK_SCORES = 1 << 18
 
 
 @dataclass(frozen=True)
 class Index:
     """postings (term, id, tf, dl), terms (term, df, raw) and corpus (n, avgdl, avg_raw).
 
-    ``words`` (term, id, dl), a row per word, stands behind the postings of an
-    index that is not written: a search then counts the words of its query alone.
+    ``words`` (term, id, dl), a row per word, and ``texts`` (id, ws) stand behind
+    the postings of an index that is not written: a search then counts the words
+    of its queries alone, and scores a document where it stands.
     """
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
     words: DataFrame | None = None
+    texts: DataFrame | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
@@ -88,7 +96,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     df = counted.filter("term IS NOT NULL").select("term", "df")
     terms = df.join(F.broadcast(sizes.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     corpus = sizes.join(F.broadcast(terms.agg(F.avg("raw").alias("avg_raw"))))
-    return Index(_counted(words), terms, corpus, words)
+    return Index(_counted(words), terms, corpus, words, tokenized)
 
 
 def _counted(words: DataFrame) -> DataFrame:
@@ -125,5 +133,95 @@ def top_k(scored: DataFrame, k: int, positive: bool = False, by: tuple[str, ...]
 
 
 def search(index: Index, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
-    """(query_id, id, score, rank)."""
-    return top_k(scores(index, query_terms(queries, query_id, text)), k, positive=True)
+    """(query_id, id, score, rank).
+
+    Over an index that is not written, no pair is shuffled beyond the k best
+    of each query in a task, if no two documents share an id.
+    """
+    terms = query_terms(queries, query_id, text)
+    if index.texts is None or index.texts.groupBy("id").count().filter("count > 1").limit(1).count():
+        return top_k(scores(index, terms), k, positive=True)
+    blocks = max(1, -(-terms.count() // max(1, MAX_BROADCAST_TERMS)))
+    found = None
+    for i in range(blocks):
+        own = _best_in_tasks(index, terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k)
+        found = own if found is None else found.unionByName(own)
+    return top_k(found, k, positive=True)
+
+
+def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the k best documents of every query in each task, ties included.
+
+    ``terms`` are sent to the documents: MAX_BROADCAST_TERMS on average. A first
+    pass counts the documents of each term; the whole vocabulary is counted
+    only if a term stands in more than half of them.
+    """
+    spark = index.texts.sparkSession
+    asked = terms.select("query_id", "term", "qtf").collect()
+    schema = f"query_id {dict(terms.dtypes)['query_id']}, id {dict(index.texts.dtypes)['id']}, score double"
+    names = pa.array(sorted({r.term for r in asked}), pa.string())
+    shared = spark.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            _, term, _, dl = _tallies(batch, shared.value)
+            df += np.bincount(term, minlength=len(df))
+            n, total = n + len(dl), total + int(dl.sum())
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([-2, -1, *held], pa.int64()), "n": pa.array([n, total, *df[held]], pa.int64())})
+
+    counted = index.texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().set_index("at")["n"].to_dict()
+    n, total = counted.pop(-2, 0), counted.pop(-1, 0)
+    if not counted:
+        return spark.createDataFrame([], schema)
+    df = np.array([counted.get(i, 0) for i in range(len(names))], np.float64)
+    raw = np.log(n - df + 0.5) - np.log(df + 0.5)
+    rare = EPSILON * index.corpus.first()["avg_raw"] if (raw[df > 0] < 0).any() else 0.0
+    idf = np.where(raw >= 0, raw, rare)
+    # the queries of each term, and the weight it has in them
+    query_names = list(dict.fromkeys(r.query_id for r in asked))
+    place, at = ({name: i for i, name in enumerate(known)} for known in (query_names, names.to_pylist()))
+    of, code = np.array([place[r.query_id] for r in asked]), np.array([at[r.term] for r in asked])
+    order = np.argsort(code, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))])
+    sent = spark.sparkContext.broadcast((starts, of[order], (np.array([r.qtf for r in asked], np.float64) * idf[code])[order], query_names, total / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, query, weight, query_names, avgdl = sent.value
+        width = len(query_names)
+        best = np.full((k, width), -np.inf)  # the k best scores of each query so far
+        query_ids = None
+        for batch in batches:
+            doc, term, tf, dl = _tallies(batch, shared.value)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+            step = max(1, BLOCK_SCORES // width)
+            for low in range(0, len(dl), step):
+                high = min(low + step, len(dl))
+                own = slice(*np.searchsorted(doc, [low, high]))
+                times = starts[term[own] + 1] - starts[term[own]]
+                if not times.sum():
+                    continue
+                posting = np.repeat(np.arange(own.start, own.stop), times)
+                entry = np.arange(len(posting)) - np.repeat(np.cumsum(times) - times, times) + starts[term[posting]]
+                cell = (doc[posting] - low) * width + query[entry]
+                score = np.bincount(cell, part[posting] * weight[entry], minlength=(high - low) * width).reshape(-1, width)
+                shown = np.full(score.size, -np.inf)
+                shown[cell] = np.round(score.ravel()[cell], 6)
+                shown = shown.reshape(-1, width)
+                best = -np.partition(-np.concatenate([best, shown]), k - 1, axis=0)[:k]
+                i, j = np.nonzero((shown >= best.min(0) - 2e-6) & (shown > -np.inf))  # ties are decided later, by the exact rounding and the id
+                if len(i):
+                    query_ids = pa.array(query_names) if query_ids is None else query_ids
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(j)), batch.column("id").take(pa.array(i + low)), pa.array(score[i, j])], ["query_id", "id", "score"])
+
+    return index.texts.mapInArrow(run, schema)
+
+
+def _tallies(batch: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, term, tf) by place in the batch and in ``names``, in the order of documents; and dl of every document."""
+    ws = batch.column("ws")
+    dl = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.index_in(ws.flatten().cast(pa.string()), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, tf = np.unique((np.repeat(np.arange(len(dl)), dl) * max(len(names), 1) + code)[code >= 0], return_counts=True)
+    return key // max(len(names), 1), key % max(len(names), 1), tf, dl

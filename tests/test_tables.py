@@ -338,3 +338,21 @@ def test_model_seams(spark):
     candidates = review.competing_candidates(scored, articles, questions)
     row = seams.review_requests(questions, articles, candidates).first()
     assert row.window == "01[EVIDENCE]45" and [(c.article_id, c.snippet) for c in row.competitors] == [("b", "best q line")]
+
+
+def test_search_scores_documents_where_they_stand(spark, monkeypatch):
+    words = "the of copper mine opens in north tennis final champion".split()
+    texts = [(i, " ".join(["the", *(words[(i * j + j * j) % 10] for j in range(1 + i % 17))])) for i in range(200)] + [(900, None), (901, ""), (902, "x")]
+    docs = spark.createDataFrame(texts, "i long, t string").repartition(3)
+    asked = spark.createDataFrame([("a", "the copper the mine"), ("b", "of Tennis"), (None, "x"), ("none", "zzz"), ("d", None)], "q string, t string")
+    rank = lambda found: [(r.query_id, r.rank, r.id, round(r.score, 9)) for r in found.orderBy("query_id", "rank").collect()]
+    index = sparse.build_index(docs, "i", "t")
+    want = rank(sparse.top_k(sparse.scores(index, sparse.query_terms(asked, "q", "t")), 7, positive=True))
+    found = sparse.search(index, asked, "q", "t", 7)
+    assert rank(found) == want and len(want) > 7
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate") == 0  # no posting is a row
+    monkeypatch.setattr(sparse, "BLOCK_SCORES", 10)
+    monkeypatch.setattr(sparse, "MAX_BROADCAST_TERMS", 2)
+    assert rank(sparse.search(index, asked, "q", "t", 7)) == want
+    twice = sparse.build_index(docs.unionByName(docs.limit(50)), "i", "t")  # rows that share an id count as one
+    assert rank(sparse.search(twice, asked, "q", "t", 7)) == rank(sparse.top_k(sparse.scores(twice, sparse.query_terms(asked, "q", "t")), 7, positive=True))

@@ -73,8 +73,12 @@ def write_index(docs: DataFrame, doc_id: str, text: str, path: str, buckets: int
     Texts are cut into words once; what is known per term and of the corpus follows from the stored postings, where a term stands in one bucket.
     """
     spark = docs.sparkSession
-    words = docs.select(F.col(doc_id).alias("id"), fx.tokens(F.col(text)).alias("ws")).select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    _write_bucketed(_counted(words).select("term", "id", "dl", "tf"), f"{path}/postings", buckets)
+    tokenized = docs.select(F.col(doc_id).alias("id"), fx.tokens(F.col(text)).alias("ws"))
+    if _repeats(tokenized):
+        counted = _counted(tokenized.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term")))
+    else:  # a document counts its own words, so postings move once
+        counted = tokenized.mapInArrow(_own_postings, POSTINGS.format(id=dict(tokenized.dtypes)["id"]))
+    _write_bucketed(counted.select("term", "id", "dl", "tf"), f"{path}/postings", buckets)
     postings = _bucketed(spark, f"{path}/postings", POSTINGS, buckets)
     n = docs.count()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -103,6 +107,20 @@ def _counted(words: DataFrame) -> DataFrame:
     return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
+def _own_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = pc.unique(batch.column("ws").flatten().cast(pa.string()))
+        doc, term, tf, dl = _tallies(batch, names)
+        for low in range(0, len(doc), 1 << 16):
+            d, w = doc[low : low + (1 << 16)], term[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(w)), batch.column("id").take(pa.array(d)), pa.array(dl[d].astype(np.int32)), pa.array(tf[low : low + (1 << 16)])], ["term", "id", "dl", "tf"])
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether two rows share an id."""
+    return docs.groupBy("id").count().filter("count > 1").limit(1).count() > 0
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qtf): repeated words of a query count as often as they stand."""
     ws = queries.select(F.col(query_id).alias("query_id"), F.explode(fx.tokens(F.col(text))).alias("term"))
@@ -135,11 +153,12 @@ def top_k(scored: DataFrame, k: int, positive: bool = False, by: tuple[str, ...]
 def search(index: Index, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
     """(query_id, id, score, rank).
 
-    Over an index that is not written, no pair is shuffled beyond the k best
-    of each query in a task, if no two documents share an id.
+    No pair is shuffled beyond the k best of each query in a task: a written
+    index moves the postings of its query terms to their documents, another one
+    has them there, unless two documents share an id.
     """
     terms = query_terms(queries, query_id, text)
-    if index.texts is None or index.texts.groupBy("id").count().filter("count > 1").limit(1).count():
+    if index.texts is not None and _repeats(index.texts):
         return top_k(scores(index, terms), k, positive=True)
     blocks = max(1, -(-terms.count() // max(1, MAX_BROADCAST_TERMS)))
     found = None
@@ -156,9 +175,8 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
     pass counts the documents of each term; the whole vocabulary is counted
     only if a term stands in more than half of them.
     """
-    spark = index.texts.sparkSession
+    spark = terms.sparkSession
     asked = terms.select("query_id", "term", "qtf").collect()
-    schema = f"query_id {dict(terms.dtypes)['query_id']}, id {dict(index.texts.dtypes)['id']}, score double"
     names = pa.array(sorted({r.term for r in asked}), pa.string())
     shared = spark.sparkContext.broadcast(names)
 
@@ -171,8 +189,20 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"at": pa.array([-2, -1, *held], pa.int64()), "n": pa.array([n, total, *df[held]], pa.int64())})
 
-    counted = index.texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().set_index("at")["n"].to_dict()
-    n, total = counted.pop(-2, 0), counted.pop(-1, 0)
+    wanted = F.broadcast(terms.select("term").distinct())
+    if index.texts is not None:
+        documents = index.texts
+        counted = documents.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().set_index("at")["n"].to_dict()
+        n, total = counted.pop(-2, 0), counted.pop(-1, 0)
+        avgdl = total / n if n else None
+    else:
+        held = index.postings.join(wanted, "term", "left_semi")
+        documents = held.groupBy("id").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("ps")).select("id", "ps.term", "ps.tf", "ps.dl")
+        corpus = index.corpus.first()
+        n, avgdl = corpus["n"], corpus["avgdl"]
+        at = {term: i for i, term in enumerate(names.to_pylist())}
+        counted = {at[r.term]: r.df for r in index.terms.join(wanted, "term", "left_semi").select("term", "df").collect()}
+    schema = f"query_id {dict(terms.dtypes)['query_id']}, id {dict(documents.dtypes)['id']}, score double"
     if not counted:
         return spark.createDataFrame([], schema)
     df = np.array([counted.get(i, 0) for i in range(len(names))], np.float64)
@@ -185,7 +215,7 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
     of, code = np.array([place[r.query_id] for r in asked]), np.array([at[r.term] for r in asked])
     order = np.argsort(code, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))])
-    sent = spark.sparkContext.broadcast((starts, of[order], (np.array([r.qtf for r in asked], np.float64) * idf[code])[order], query_names, total / n))
+    sent = spark.sparkContext.broadcast((starts, of[order], (np.array([r.qtf for r in asked], np.float64) * idf[code])[order], query_names, avgdl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, query, weight, query_names, avgdl = sent.value
@@ -193,11 +223,17 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
         best = np.full((k, width), -np.inf)  # the k best scores of each query so far
         query_ids = None
         for batch in batches:
-            doc, term, tf, dl = _tallies(batch, shared.value)
-            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+            if "ws" in batch.schema.names:
+                doc, term, tf, dl = _tallies(batch, shared.value)
+                dl = dl[doc]
+            else:
+                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("term")).to_numpy(zero_copy_only=False))
+                term = pc.index_in(batch.column("term").flatten().cast(pa.string()), value_set=shared.value).to_numpy(zero_copy_only=False)
+                tf, dl = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tf", "dl"))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
             step = max(1, BLOCK_SCORES // width)
-            for low in range(0, len(dl), step):
-                high = min(low + step, len(dl))
+            for low in range(0, batch.num_rows, step):
+                high = min(low + step, batch.num_rows)
                 own = slice(*np.searchsorted(doc, [low, high]))
                 times = starts[term[own] + 1] - starts[term[own]]
                 if not times.sum():
@@ -215,7 +251,7 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
                     query_ids = pa.array(query_names) if query_ids is None else query_ids
                     yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(j)), batch.column("id").take(pa.array(i + low)), pa.array(score[i, j])], ["query_id", "id", "score"])
 
-    return index.texts.mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
 
 
 def _tallies(batch: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -356,3 +356,17 @@ def test_search_scores_documents_where_they_stand(spark, monkeypatch):
     assert rank(sparse.search(index, asked, "q", "t", 7)) == want
     twice = sparse.build_index(docs.unionByName(docs.limit(50)), "i", "t")  # rows that share an id count as one
     assert rank(sparse.search(twice, asked, "q", "t", 7)) == rank(sparse.top_k(sparse.scores(twice, sparse.query_terms(asked, "q", "t")), 7, positive=True))
+
+
+def test_stored_index_moves_postings_not_pairs(spark, folder):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 2 + i % 9))) for i in range(60)] + [(900, None), (901, "")], "i long, t string").repartition(3)
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w0 w5 zzz"), (3, None)], "q long, t string")
+    rank = lambda found: [(r.query_id, r.rank, r.id, round(r.score, 9)) for r in found.orderBy("query_id", "rank").collect()]
+    for name, rows in (("once", docs), ("twice", docs.unionByName(docs.limit(20)))):
+        stored = sparse.write_index(rows, "i", "t", f"{folder}/{name}", buckets=3)
+        found = sparse.search(stored, asked, "q", "t", 5)
+        want = sparse.top_k(sparse.scores(stored, sparse.query_terms(asked, "q", "t")), 5, positive=True)
+        assert rank(found) == rank(want) != []
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        built = sparse.build_index(rows, "i", "t")
+        assert sorted(map(tuple, stored.postings.select("term", "id", "dl", "tf").collect())) == sorted(map(tuple, built.postings.select("term", "id", "dl", "tf").collect()))

@@ -15,6 +15,8 @@ from ..functions import text as fx
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Characters of chunks that a task gathers before it hands them on.
+OUT_CHARS = 1 << 20
 SPAN = "array<struct<char_start:int,char_end:int>>"
 
 
@@ -69,13 +71,19 @@ def chunk_spans(text: str, size: int = 512, overlap: int = 64) -> list[tuple[int
 def recursive_chunks(articles: DataFrame, article_id: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
     """(id, article_id, chunk_index, char_start, char_end, text, n_tokens); blank texts have no chunks."""
 
+    columns = ["id", "article_id", "chunk_index", "char_start", "char_end", "text", "n_tokens"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for a, t in zip(batch["a"], batch["t"]):
                 for i, (start, end) in enumerate(chunk_spans(t or "", size, overlap)):
                     rows.append((f"{a}_{i}", a, i, start, end, t[start:end], count_tokens(t[start:end])))
-            yield pd.DataFrame(rows, columns=["id", "article_id", "chunk_index", "char_start", "char_end", "text", "n_tokens"])
+                    held += end - start
+                if held >= OUT_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     source = articles.select(F.col(article_id).cast("string").alias("a"), F.col(text).alias("t"))
     return source.mapInPandas(run, "id string, article_id string, chunk_index int, char_start int, char_end int, text string, n_tokens int")

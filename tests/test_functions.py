@@ -152,3 +152,29 @@ def test_html_core(spark):
 def test_derived_title_keeps_its_digits(spark):
     assert one(spark, fx.derived_title(F.lit("call 4630"))) == "call 4630"
     assert one(spark, fx.derived_title(F.lit(" \n  1st of 1 \nx"))) == "1st of 1"
+
+
+def test_chunks_are_handed_on_in_small_frames(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three {i}\n" * (1 + i % 5)) for i in range(20)] + [(20, None)], "i long, t string").repartition(1)
+    want = sorted(map(tuple, chunking.recursive_chunks(docs, "i", "t", 5, 1).collect()))
+    sizes = []
+
+    class Frames(chunking.pd.DataFrame):
+        def __init__(self, rows, columns):
+            sizes.append(sum(len(r[5]) for r in rows))
+            super().__init__(rows, columns=columns)
+
+    class Caught:
+        def mapInPandas(self, run, schema):  # the task's function, run here
+            self.run = run
+
+        def select(self, *_):
+            return self
+
+    caught = Caught()
+    chunking.recursive_chunks(caught, "i", "t", 5, 1)
+    batch = chunking.pd.DataFrame({"a": [str(i) for i in range(20)] + ["20"], "t": [f"one two three {i}\n" * (1 + i % 5) for i in range(20)] + [None]})
+    monkeypatch.setattr(chunking, "OUT_CHARS", 50)
+    monkeypatch.setattr(chunking.pd, "DataFrame", Frames)
+    got = [tuple(r) for frame in caught.run(iter([batch])) for r in frame.itertuples(index=False, name=None)]
+    assert sorted(got) == want and max(sizes) < 200 and len(sizes) > 5

@@ -20,6 +20,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_BROADCAST_TERMS = 500_000
 #: Scores of documents and queries that a task holds at once.
 BLOCK_SCORES = 1 << 18
+#: Words of documents that a task looks up at once.
+MAX_WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -93,9 +95,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     """Index of every document; documents without words count in n and avgdl with length 0."""
     tokenized = docs.select(F.col(doc_id).alias("id"), fx.tokens(F.col(text)).alias("ws"))
     words = tokenized.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    # each document names its distinct words, and itself under no word, so one aggregation counts documents per term and the corpus
-    named = tokenized.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("ws"))).alias("term"), F.size("ws").alias("dl"))
-    counted = named.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    counted = _document_counts(tokenized)
     sizes = counted.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.try_divide(F.sum("dl"), F.sum("df")).alias("avgdl"))
     df = counted.filter("term IS NOT NULL").select("term", "df")
     terms = df.join(F.broadcast(sizes.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -103,6 +103,12 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     return Index(_counted(words), terms, corpus, words, tokenized)
 
 
+def _document_counts(texts: DataFrame) -> DataFrame:
+    """(term, df, dl): each document names its distinct words, and itself under no word, so one aggregation counts documents per term and the corpus."""
+    named = texts.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("ws"))).alias("term"), F.size("ws").alias("dl"))
+    return named.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+
+
 def _counted(words: DataFrame) -> DataFrame:
     return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
@@ -171,47 +177,40 @@ def search(index: Index, queries: DataFrame, query_id: str, text: str, k: int) -
 def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score): the k best documents of every query in each task, ties included.
 
-    ``terms`` are sent to the documents: MAX_BROADCAST_TERMS on average. A first
-    pass counts the documents of each term; the whole vocabulary is counted
-    only if a term stands in more than half of them.
+    ``terms`` are sent to the documents: MAX_BROADCAST_TERMS on average. One
+    aggregation counts the documents of all terms; of it the driver gets the
+    counts of the query terms, and how many terms have each count.
     """
     spark = terms.sparkSession
     asked = terms.select("query_id", "term", "qtf").collect()
     names = pa.array(sorted({r.term for r in asked}), pa.string())
+    at = {term: i for i, term in enumerate(names.to_pylist())}
     shared = spark.sparkContext.broadcast(names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(len(shared.value), np.int64), 0, 0
-        for batch in batches:
-            _, term, _, dl = _tallies(batch, shared.value)
-            df += np.bincount(term, minlength=len(df))
-            n, total = n + len(dl), total + int(dl.sum())
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"at": pa.array([-2, -1, *held], pa.int64()), "n": pa.array([n, total, *df[held]], pa.int64())})
-
-    wanted = F.broadcast(terms.select("term").distinct())
     if index.texts is not None:
         documents = index.texts
-        counted = documents.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().set_index("at")["n"].to_dict()
-        n, total = counted.pop(-2, 0), counted.pop(-1, 0)
-        avgdl = total / n if n else None
+        marked = _document_counts(documents).join(F.broadcast(terms.select("term", F.lit(True).alias("asked")).distinct()), "term", "left")
+        tally = marked.groupBy(F.col("term").isNull().alias("whole"), F.when(F.col("asked"), F.col("term")).alias("term"), "df").agg(F.count("*").alias("c"), F.sum("dl").alias("dl")).collect()
+        n, avgdl = next(((r.df, r.dl / r.df) for r in tally if r.whole), (0, None))
+        counted = {at[r.term]: r.df for r in tally if r.term is not None}
+        of_df = np.array([(r.df, r.c) for r in tally if not r.whole], np.float64).reshape(-1, 2).T
     else:
+        wanted = F.broadcast(terms.select("term").distinct())
         held = index.postings.join(wanted, "term", "left_semi")
         documents = held.groupBy("id").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("ps")).select("id", "ps.term", "ps.tf", "ps.dl")
         corpus = index.corpus.first()
         n, avgdl = corpus["n"], corpus["avgdl"]
-        at = {term: i for i, term in enumerate(names.to_pylist())}
         counted = {at[r.term]: r.df for r in index.terms.join(wanted, "term", "left_semi").select("term", "df").collect()}
     schema = f"query_id {dict(terms.dtypes)['query_id']}, id {dict(documents.dtypes)['id']}, score double"
     if not counted:
         return spark.createDataFrame([], schema)
     df = np.array([counted.get(i, 0) for i in range(len(names))], np.float64)
     raw = np.log(n - df + 0.5) - np.log(df + 0.5)
-    rare = EPSILON * index.corpus.first()["avg_raw"] if (raw[df > 0] < 0).any() else 0.0
-    idf = np.where(raw >= 0, raw, rare)
+    avg_raw = corpus["avg_raw"] if index.texts is None else np.average(np.log(n - of_df[0] + 0.5) - np.log(of_df[0] + 0.5), weights=of_df[1])
+    idf = np.where(raw >= 0, raw, EPSILON * avg_raw)
     # the queries of each term, and the weight it has in them
     query_names = list(dict.fromkeys(r.query_id for r in asked))
-    place, at = ({name: i for i, name in enumerate(known)} for known in (query_names, names.to_pylist()))
+    place = {name: i for i, name in enumerate(query_names)}
     of, code = np.array([place[r.query_id] for r in asked]), np.array([at[r.term] for r in asked])
     order = np.argsort(code, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))])
@@ -222,7 +221,7 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
         width = len(query_names)
         best = np.full((k, width), -np.inf)  # the k best scores of each query so far
         query_ids = None
-        for batch in batches:
+        for batch in _parts(batches):
             if "ws" in batch.schema.names:
                 doc, term, tf, dl = _tallies(batch, shared.value)
                 dl = dl[doc]
@@ -254,6 +253,16 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of the batches, so many at a time that their words are about MAX_WORDS; never less than one."""
+    for batch in batches:
+        words = pc.list_value_length(batch.column("ws" if "ws" in batch.schema.names else "term")).to_numpy(zero_copy_only=False)
+        part = np.cumsum(words) // MAX_WORDS
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for low, high in zip(bounds, bounds[1:]):
+            yield batch.slice(low, high - low)
+
+
 def _tallies(batch: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, term, tf) by place in the batch and in ``names``, in the order of documents; and dl of every document."""
     ws = batch.column("ws")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import dense, fusion, metrics, sparse
-from ..session import sent, table
+from ..session import sent, stored, table
 from .registry import query
 
 K = 10
@@ -41,7 +41,7 @@ CONTAINS = "g AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b
 
 def bm25_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     index = sparse.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return sparse.search(index, table(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    return stored(sparse.search(index, table(spark, sf_dir, "benchmark"), "item_id", "text", k))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..session import sent
 from . import dense, sparse
 
 RRF_K = 60
+#: Ids of hits that are sent to all tasks at most; texts of more of them are found by shuffle.
+MAX_IDS = 1_000_000
 
 
 def over_fetch(k: int) -> int:
@@ -44,9 +47,14 @@ def rerank(hits: DataFrame, n: int, scorer: Callable[[Column, Column], Column] |
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def of_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id stands in ``wanted``."""
+    return rows.join(sent(wanted.select("id").distinct(), MAX_IDS), "id", "left_semi")
+
+
 def with_text(hits: DataFrame, chunks: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
-    """Hits with their text; an unknown id has an empty one."""
-    texts = chunks.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    """Hits with their text; an unknown id has an empty one. ``hits`` are read twice, so that texts without a hit stay where they are."""
+    texts = of_ids(chunks.select(F.col(id).alias("id"), F.col(text).alias("text")), hits)
     return hits.join(texts, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

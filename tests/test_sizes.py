@@ -4,10 +4,11 @@ import contextlib
 import dataclasses
 import io
 import math
+import re
 
 import pyarrow as pa
 import pytest
-from newsloom.operators import sparse
+from newsloom.operators import fusion, sparse
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -53,3 +54,11 @@ def test_documents_are_looked_up_some_words_at_a_time(monkeypatch):
     parts = list(sparse._parts(iter([batch, batch.slice(0, 0)])))
     assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and len(parts) > 3
     assert all(sum(len(x) for x in p.column("ws").to_pylist()[1:]) < 10 for p in parts)
+
+
+def test_texts_without_hits_are_not_shuffled(spark, no_automatic_broadcast):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    hits = spark.createDataFrame([("q", 1, 3), ("q", 2, 99), ("r", 1, 3)], "query_id string, rank int, id long")
+    out = fusion.with_text(hits, docs, "doc_id")
+    assert sorted((r.query_id, r.id, r.text) for r in out.collect()) == [("q", 3, "text 3"), ("q", 99, ""), ("r", 3, "text 3")]
+    assert re.search(r"BroadcastHashJoin \[\S+\], \[\S+\], LeftSemi", plan(out))

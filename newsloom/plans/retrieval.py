@@ -45,7 +45,7 @@ def bm25_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id): documents that hold an item's text. Candidates come from the item's rarest inner word; texts are fetched for them alone."""
+    """(query_id, id): documents that hold an item's text. Candidates come from the item's rarest inner word; texts of other documents are not moved."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).filter("item IS NOT NULL")
     # every inner word of an item stands in the document as it is; its edges may be parts of longer words
@@ -62,7 +62,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
             own = short.filter(F.length("item") >= 3 if n == 3 else F.length("item") == n).select("query_id", "item", F.array_distinct(run(F.col("item"), n)).alias("keys"))
             found = found.unionByName(candidates(own, docs.select("id", F.explode(F.array_distinct(run(F.col("text"), n))).alias("key"))))
         found = found.unionByName(short.filter("item = ''").select("query_id").crossJoin(docs.select("id")))  # an empty text is in every document
-    return found.join(items, "query_id").join(docs, "id").filter(F.contains("text", F.col("item"))).select("query_id", "id")
+    found = stored(found.distinct())
+    return stored(found.join(items, "query_id").join(fusion.of_ids(docs, found), "id").filter(F.contains("text", F.col("item"))).select("query_id", "id"))
 
 
 def candidates(keyed: DataFrame, postings: DataFrame) -> DataFrame:
@@ -71,7 +72,8 @@ def candidates(keyed: DataFrame, postings: DataFrame) -> DataFrame:
     held = postings.join(sent(asked.select("key").distinct(), MAX_KEYS), "key", "left_semi")
     counts = held.groupBy("key").agg(F.count("*").alias("df"))
     rarest = asked.join(counts, "key", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("k"))
-    return held.join(rarest.filter("k.df > 0").select("query_id", F.col("k.key").alias("key")), "key").select("query_id", "id")
+    rarest = stored(rarest.filter("k.df > 0").select("query_id", F.col("k.key").alias("key")))
+    return postings.join(sent(rarest, MAX_KEYS), "key").select("query_id", "id")
 
 
 def samples(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import pyarrow as pa
 import pytest
 from newsloom.operators import fusion, sparse
+from newsloom.plans import retrieval
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -62,3 +63,11 @@ def test_texts_without_hits_are_not_shuffled(spark, no_automatic_broadcast):
     out = fusion.with_text(hits, docs, "doc_id")
     assert sorted((r.query_id, r.id, r.text) for r in out.collect()) == [("q", 3, "text 3"), ("q", 99, ""), ("r", 3, "text 3")]
     assert re.search(r"BroadcastHashJoin \[\S+\], \[\S+\], LeftSemi", plan(out))
+
+
+def test_postings_of_frequent_words_are_not_shuffled(spark, no_automatic_broadcast):
+    keyed = spark.createDataFrame([("q", ["often", "rare"]), ("r", ["absent"]), ("s", ["often"])], "query_id string, keys array<string>")
+    postings = spark.createDataFrame([(i, "often") for i in range(30)] + [(7, "rare"), (8, "rare")], "id long, key string")
+    out = retrieval.candidates(keyed, postings)
+    assert sorted(map(tuple, out.collect())) == sorted([("q", 7), ("q", 8)] + [("s", i) for i in range(30)])
+    assert "SortMergeJoin" not in plan(out) and "hashpartitioning" not in plan(out)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -80,29 +82,30 @@ def recursive_chunks(articles: DataFrame, article_id: str, text: str, size: int
                 for i, (start, end) in enumerate(chunk_spans(t or "", size, overlap)):
                     rows.append((f"{a}_{i}", a, i, start, end, t[start:end], count_tokens(t[start:end])))
                     held += end - start
-                if held >= OUT_CHARS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
+                    if held >= OUT_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            batch = None  # gone before the next one is read
             yield pd.DataFrame(rows, columns=columns)
 
     source = articles.select(F.col(article_id).cast("string").alias("a"), F.col(text).alias("t"))
     return source.mapInPandas(run, "id string, article_id string, chunk_index int, char_start int, char_end int, text string, n_tokens int")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def line_starts(text: pd.Series) -> pd.Series:
-    """Where the lines of a text start: sums of the lengths before, which a fold over arrays would copy for every line."""
-
-    def starts(t: str | None) -> np.ndarray | None:
-        return None if t is None else np.cumsum([0, *(len(line) + 1 for line in t.split("\n")[:-1])], dtype=np.int32)
-
-    return text.map(starts)
+@F.arrow_udf(ArrayType(IntegerType()))
+def line_starts(lengths: pa.Array) -> pa.Array:
+    """Where the lines of a text start, by their lengths: sums of those before, which a fold over arrays would copy for every line. Texts stay outside Python."""
+    n = pc.list_value_length(lengths).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    before = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    starts = before[:-1] - np.repeat(before[first[:-1]], n)
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(starts.astype(np.int32)))
 
 
 def line_chunks(articles: DataFrame, article_id: str, text: str) -> DataFrame:
     """Every line that is not blank as a chunk, numbered in order; no shuffle, and linear in the text."""
     rows = articles.select(F.col(article_id).alias("article_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    lines = F.arrays_zip(F.split("t", "\n").alias("text"), line_starts(F.col("t")).alias("char_start"))
+    lines = F.arrays_zip(F.split("t", "\n").alias("text"), line_starts(F.transform(F.split("t", "\n"), lambda x: F.length(x))).alias("char_start"))
     out = rows.select("article_id", F.posexplode(F.filter(lines, lambda x: F.trim(x["text"]) != "")).alias("chunk_index", "s"))
     return out.select(
         F.concat_ws("_", F.col("article_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "article_id", "chunk_index",

@@ -8,7 +8,7 @@ import re
 
 import pyarrow as pa
 import pytest
-from newsloom.operators import fusion, sparse
+from newsloom.operators import chunking, fusion, sparse
 from newsloom.plans import retrieval
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,3 +77,28 @@ def test_hits_and_gold_are_found_once(spark):
     for df in (retrieval.bm25_hits(spark, SMALL), retrieval.gold(spark, SMALL)):
         assert "FileScan parquet" in plan(df) and "Exchange" not in plan(df)
         assert df.count() == len({(r.query_id, r.id) for r in df.collect()}) > 0
+
+
+def test_one_long_text_is_handed_on_in_parts(monkeypatch):
+    class Caught:
+        def mapInPandas(self, run, schema):  # the task's function, run here
+            self.run = run
+
+        def select(self, *_):
+            return self
+
+    caught = Caught()
+    chunking.recursive_chunks(caught, "i", "t", 5, 1)
+    monkeypatch.setattr(chunking, "OUT_CHARS", 50)
+    text = "one two three four\n" * 40
+    frames = [f for f in caught.run(iter([chunking.pd.DataFrame({"a": ["1", "2"], "t": [text, None]})])) if len(f)]
+    assert len(frames) > 5 and max(f["text"].str.len().sum() for f in frames) < 100
+    assert [(r.char_start, r.char_end) for f in frames for r in f.itertuples()] == chunking.chunk_spans(text, 5, 1)
+
+
+def test_line_offsets_come_from_lengths(spark):
+    texts = [None, "", "\n", "a\n\nb\n", "\U0001f600\nx", "long line\n" * 3000]
+    out = chunking.line_chunks(spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(1), "i", "t")
+    rows = out.collect()
+    assert all(texts[r.article_id][r.char_start : r.char_end] == r.text for r in rows) and len(rows) == 2 + 2 + 3000
+    assert "line_starts(transform(split(" in plan(out)

@@ -17,7 +17,7 @@ WORD = r"[\p{L}\p{N}_]"
 
 def tokens(text: Column) -> Column:
     """Lower-cased words between blanks; null and blank texts give an empty array."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
 
 
 def bare_tokens(text: Column, edges: str = ".,;:!?\"'()[]{}") -> Column:

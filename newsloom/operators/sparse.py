@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Up to so many query term rows are broadcast; more are joined by shuffle.
@@ -166,20 +167,41 @@ def search(index: Index, queries: DataFrame, query_id: str, text: str, k: int) -
     terms = query_terms(queries, query_id, text)
     if index.texts is not None and _repeats(index.texts):
         return top_k(scores(index, terms), k, positive=True)
+    return top_k(_in_blocks(index, terms, k), k, positive=True)
+
+
+def search_with_holders(index: Index, queries: DataFrame, query_id: str, text: str, k: int, keys: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """``search``, and (query_id, id) of the documents with the rarest of ``keys(words)`` of a query's text, from the same pass over the documents.
+
+    Each row of ``queries`` has its own rarest key, also where rows share a query_id; a row without keys has no holders.
+    """
+    terms = query_terms(queries, query_id, text)
+    keyed = queries.select(F.col(query_id).alias("query_id"), keys(fx.tokens(F.col(text))).alias("keys")).filter("size(keys) > 0")
+    found = stored(_in_blocks(index, terms, k, keyed))
+    apart = index.texts is not None and _repeats(index.texts)
+    scored = scores(index, terms) if apart else found.filter("score IS NOT NULL")
+    return top_k(scored, k, positive=True), found.filter("score IS NULL").select("query_id", "id")
+
+
+def _in_blocks(index: Index, terms: DataFrame, k: int, keyed: DataFrame | None = None) -> DataFrame:
+    """``_best_in_tasks`` for MAX_BROADCAST_TERMS terms at a time."""
     blocks = max(1, -(-terms.count() // max(1, MAX_BROADCAST_TERMS)))
     found = None
     for i in range(blocks):
-        own = _best_in_tasks(index, terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k)
+        part = lambda df: df if blocks == 1 or df is None else df.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)  # noqa: B023, E731
+        own = _best_in_tasks(index, part(terms), k, part(keyed))
         found = own if found is None else found.unionByName(own)
-    return top_k(found, k, positive=True)
+    return found
 
 
-def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
+def _best_in_tasks(index: Index, terms: DataFrame, k: int, keyed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): the k best documents of every query in each task, ties included.
 
     ``terms`` are sent to the documents: MAX_BROADCAST_TERMS on average. One
     aggregation counts the documents of all terms; of it the driver gets the
-    counts of the query terms, and how many terms have each count.
+    counts of the query terms, and how many terms have each count. With
+    ``keyed`` (query_id, keys) the documents that hold the rarest key of a row
+    follow, with score null.
     """
     spark = terms.sparkSession
     asked = terms.select("query_id", "term", "qtf").collect()
@@ -214,13 +236,23 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
     of, code = np.array([place[r.query_id] for r in asked]), np.array([at[r.term] for r in asked])
     order = np.argsort(code, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))])
-    sent = spark.sparkContext.broadcast((starts, of[order], (np.array([r.qtf for r in asked], np.float64) * idf[code])[order], query_names, avgdl))
+    held = [] if keyed is None else [(min((counted.get(at[w], 0), w) for w in r["keys"]), r.query_id) for r in keyed.collect()]
+    held = sorted({(at[w], place[name]) for (c, w), name in held if c})
+    key_code, key_of = np.array(held, np.int64).reshape(-1, 2).T
+    key_starts = np.searchsorted(key_code, np.arange(len(names) + 1))
+    sent = spark.sparkContext.broadcast((starts, of[order], (np.array([r.qtf for r in asked], np.float64) * idf[code])[order], query_names, avgdl, key_starts, key_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, query, weight, query_names, avgdl = sent.value
+        starts, query, weight, query_names, avgdl, key_starts, key_of = sent.value
         width = len(query_names)
         best = np.full((k, width), -np.inf)  # the k best scores of each query so far
         query_ids = None
+
+        def rows(j, i, score):
+            nonlocal query_ids
+            query_ids = pa.array(query_names) if query_ids is None else query_ids
+            return pa.RecordBatch.from_arrays([query_ids.take(pa.array(j)), batch.column("id").take(pa.array(i)), score], ["query_id", "id", "score"])
+
         for batch in _parts(batches):
             if "ws" in batch.schema.names:
                 doc, term, tf, dl = _tallies(batch, shared.value)
@@ -234,11 +266,12 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
             for low in range(0, batch.num_rows, step):
                 high = min(low + step, batch.num_rows)
                 own = slice(*np.searchsorted(doc, [low, high]))
-                times = starts[term[own] + 1] - starts[term[own]]
-                if not times.sum():
+                posting, entry = _entries(key_starts, term, own)
+                if len(posting):
+                    yield rows(key_of[entry], doc[posting], pa.nulls(len(posting), pa.float64()))
+                posting, entry = _entries(starts, term, own)
+                if not len(posting):
                     continue
-                posting = np.repeat(np.arange(own.start, own.stop), times)
-                entry = np.arange(len(posting)) - np.repeat(np.cumsum(times) - times, times) + starts[term[posting]]
                 cell = (doc[posting] - low) * width + query[entry]
                 score = np.bincount(cell, part[posting] * weight[entry], minlength=(high - low) * width).reshape(-1, width)
                 shown = np.full(score.size, -np.inf)
@@ -247,12 +280,18 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int) -> DataFrame:
                 best = -np.partition(-np.concatenate([best, shown]), k - 1, axis=0)[:k]
                 i, j = np.nonzero((shown >= best.min(0) - 2e-6) & (shown > -np.inf))  # ties are decided later, by the exact rounding and the id
                 if len(i):
-                    query_ids = pa.array(query_names) if query_ids is None else query_ids
-                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(j)), batch.column("id").take(pa.array(i + low)), pa.array(score[i, j])], ["query_id", "id", "score"])
+                    yield rows(j, i + low, pa.array(score[i, j]))
 
     return documents.mapInArrow(run, schema)
 
 
+def _entries(starts: np.ndarray, term: np.ndarray, own: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(posting, entry) for every entry from ``starts[t]`` to ``starts[t + 1]`` of the terms t of the postings in ``own``."""
+    times = starts[term[own] + 1] - starts[term[own]]
+    posting = np.repeat(np.arange(own.start, own.stop), times)
+    return posting, np.arange(len(posting)) - np.repeat(np.cumsum(times) - times, times) + starts[term[posting]]
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of the batches, so many at a time that their words are about MAX_WORDS; never less than one."""
     for batch in batches:

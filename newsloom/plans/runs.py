@@ -159,12 +159,13 @@ def group_sql(group: str, rows: str) -> str:
 )
 def benchmark_report(spark, sf_dir):
     """The end-to-end run as one tall report: retrieval before and after reranking and the difference, means by article and by label, answers, citations, work done, latency."""
-    base = metrics.per_query(retrieval.samples(spark, sf_dir), KS).withColumn("article", F.array_min("relevant"))
+    found, second = retrieval.both_samples(spark, sf_dir)
+    base = metrics.per_query(found, KS).withColumn("article", F.array_min("relevant"))
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("article")).agg(F.max("quality").cast("string").alias("label"))
     labelled = base.join(labels, "article", "left").withColumn("label", F.coalesce("label", F.lit("none")))
     names = metrics.metric_columns(KS)
     before = metrics.tall(base.agg(*[F.avg(c).alias(c) for c in names]), names)
-    after = metrics.evaluate_retrieval(retrieval.reranked_samples(spark, sf_dir), SHORT_KS)
+    after = metrics.evaluate_retrieval(second, SHORT_KS)
     by_label = metrics.tall(labelled.groupBy("label").agg(*[F.avg(c).alias(c) for c in names]), names, ["label"])
     state = runlog.latest(log(spark, sf_dir), "user_id", "ts", "event_id")
     latency = metrics.latency_summary(table(spark, sf_dir, "events"), "value")
@@ -195,7 +196,7 @@ SCORED = f"""{SAMPLES}, {OVERLAP}, h2 AS (SELECT query_id, list(id ORDER BY rank
 def stored_scores(spark, sf_dir):
     """Predictions are retrieved once and stored; from them the score rows are made and stored."""
     path = shared_folder(spark)
-    hits, pairs = retrieval.bm25_hits(spark, sf_dir), retrieval.gold(spark, sf_dir)
+    hits, pairs = retrieval.hits_and_gold(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("article_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     questions = pairs.groupBy(F.col("query_id").alias("question_id")).agg(F.min("id").alias("article_id")).join(labels, "article_id", "left").withColumn("label", F.col("quality").cast("string"))
     scored = lambda found, ks: metrics.per_query(retrieval.samples_of(found, pairs), ks).select(F.col("query_id").alias("question_id"), *metrics.metric_columns(ks))

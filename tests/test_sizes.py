@@ -9,7 +9,7 @@ import re
 import pyarrow as pa
 import pytest
 from newsloom.operators import chunking, fusion, sparse
-from newsloom.plans import retrieval
+from newsloom.plans import retrieval, runs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -79,6 +79,45 @@ def test_hits_and_gold_are_found_once(spark):
         assert df.count() == len({(r.query_id, r.id) for r in df.collect()}) > 0
 
 
+def test_a_search_finds_the_candidates_of_gold(spark, monkeypatch):
+    def second_pass(*_):
+        raise AssertionError("documents are cut into words once more")
+
+    want = {(r.query_id, r.id) for r in retrieval.gold(spark, SMALL).collect()}
+    monkeypatch.setattr(retrieval, "candidates", second_pass)
+    hits, pairs = retrieval.hits_and_gold(spark, SMALL)
+    assert {(r.query_id, r.id) for r in pairs.collect()} == want and want
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, retrieval.bm25_hits(spark, SMALL).collect()))
+    assert runs.stored_scores(spark, SMALL).count() > 0 and retrieval.delta_mrr(spark, SMALL).count() == 1
+
+
+@pytest.mark.parametrize("terms, scores, twice", [(500_000, 1 << 18, False), (4, 1, False), (500_000, 1 << 18, True)])
+def test_holders_of_the_rarest_key(spark, monkeypatch, terms, scores, twice):
+    monkeypatch.setattr(sparse, "MAX_BROADCAST_TERMS", terms)
+    monkeypatch.setattr(sparse, "BLOCK_SCORES", scores)
+    texts = [(i, "often " + ("mid " if i % 3 == 0 else "") + ("rare" if i % 10 == 0 else "")) for i in range(40)] + [(90, None), (91, "")]
+    texts += [(10, "often twice")] if twice else []
+    asked = [("q", "a often mid rare b"), ("q", "a often mid b"), ("r", "a often absent b"), ("s", "often rare"), ("t", None), ("u", "x often y")]
+    index = sparse.build_index(spark.createDataFrame(texts, "i long, t string").repartition(3), "i", "t")
+    queries = spark.createDataFrame(asked, "q string, t string")
+    hits, holders = sparse.search_with_holders(index, queries, "q", "t", 4, retrieval.inner)
+    rank = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    assert rank(hits) == rank(sparse.search(index, queries, "q", "t", 4)) != []
+    # a key in no document has no holders: its item is in none
+    want = {("q", i) for i, t in texts if t and ("rare" in t or "mid" in t)} | {("u", i) for i, t in texts if t}
+    assert {tuple(r) for r in holders.collect()} == want
+
+
+def test_items_that_share_an_id_have_gold_each(spark, tmp_path):
+    docs = [(1, "x one two three y"), (2, "x four five six y"), (3, "x four five y"), (4, None)]
+    items = [("q", "one two three"), ("q", "four five six"), ("r", "five"), ("s", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(q, i) for q, t in items for i, d in docs if t and d and t in d}
+    assert {tuple(r) for r in retrieval.gold(spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in retrieval.hits_and_gold(spark, str(tmp_path))[1].collect()} == want
+
+
 def test_one_long_text_is_handed_on_in_parts(monkeypatch):
     class Caught:
         def mapInPandas(self, run, schema):  # the task's function, run here

@@ -17,7 +17,11 @@ WORD = r"[\p{L}\p{N}_]"
 
 def tokens(text: Column) -> Column:
     """Lower-cased words between blanks; null and blank texts give an empty array."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    return F.array_remove(F.split(lowered(text), r"\s+"), "")
+
+
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def bare_tokens(text: Column, edges: str = ".,;:!?\"'()[]{}") -> Column:

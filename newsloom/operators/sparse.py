@@ -21,7 +21,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_BROADCAST_TERMS = 500_000
 #: Scores of documents and queries that a task holds at once.
 BLOCK_SCORES = 1 << 18
-#: Words of documents that a task looks up at once.
+#: Words of documents that a task looks up at once, and distinct words whose documents it counts before it hands them on.
 MAX_WORDS = 1 << 20
 
 
@@ -29,9 +29,9 @@ MAX_WORDS = 1 << 20
 class Index:
     """postings (term, id, tf, dl), terms (term, df, raw) and corpus (n, avgdl, avg_raw).
 
-    ``words`` (term, id, dl), a row per word, and ``texts`` (id, ws) stand behind
-    the postings of an index that is not written: a search then counts the words
-    of its queries alone, and scores a document where it stands.
+    ``words`` (term, id, dl), a row per word, and ``texts`` (id, text), lower-cased, stand behind
+    the postings of an index that is not written: a search then cuts each text
+    once, keeps the words of its queries alone, and scores a document where it stands.
     """
 
     postings: DataFrame
@@ -50,6 +50,7 @@ class Index:
 
 POSTINGS = "term STRING, id {id}, dl INT, tf BIGINT"
 TERMS = "term STRING, df BIGINT, raw DOUBLE"
+SURVEY = "id {id}, dl INT, code ARRAY<INT>, tf ARRAY<INT>, term STRING, df BIGINT"
 
 
 def _bucketed(spark: SparkSession, path: str, columns: str, buckets: int) -> DataFrame:
@@ -101,7 +102,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     df = counted.filter("term IS NOT NULL").select("term", "df")
     terms = df.join(F.broadcast(sizes.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     corpus = sizes.join(F.broadcast(terms.agg(F.avg("raw").alias("avg_raw"))))
-    return Index(_counted(words), terms, corpus, words, tokenized)
+    return Index(_counted(words), terms, corpus, words, docs.select(F.col(doc_id).alias("id"), fx.lowered(F.col(text)).alias("text")))
 
 
 def _document_counts(texts: DataFrame) -> DataFrame:
@@ -198,10 +199,11 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int, keyed: DataFrame | No
     """(query_id, id, score): the k best documents of every query in each task, ties included.
 
     ``terms`` are sent to the documents: MAX_BROADCAST_TERMS on average. One
-    aggregation counts the documents of all terms; of it the driver gets the
-    counts of the query terms, and how many terms have each count. With
-    ``keyed`` (query_id, keys) the documents that hold the rarest key of a row
-    follow, with score null.
+    pass cuts the texts into words (``_survey``) and stores what the search
+    needs of them. One aggregation of it counts the documents of all terms; of
+    that the driver gets the counts of the query terms, and how many terms have
+    each count. With ``keyed`` (query_id, keys) the documents that hold the
+    rarest key of a row follow, with score null.
     """
     spark = terms.sparkSession
     asked = terms.select("query_id", "term", "qtf").collect()
@@ -210,8 +212,9 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int, keyed: DataFrame | No
     shared = spark.sparkContext.broadcast(names)
 
     if index.texts is not None:
-        documents = index.texts
-        marked = _document_counts(documents).join(F.broadcast(terms.select("term", F.lit(True).alias("asked")).distinct()), "term", "left")
+        surveyed = stored(index.texts.mapInArrow(lambda batches: _survey(batches, shared.value), SURVEY.format(id=dict(index.texts.dtypes)["id"])))
+        documents = surveyed.filter("term IS NULL").select("id", "dl", "code", "tf")
+        marked = surveyed.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).join(F.broadcast(terms.select("term", F.lit(True).alias("asked")).distinct()), "term", "left")
         tally = marked.groupBy(F.col("term").isNull().alias("whole"), F.when(F.col("asked"), F.col("term")).alias("term"), "df").agg(F.count("*").alias("c"), F.sum("dl").alias("dl")).collect()
         n, avgdl = next(((r.df, r.dl / r.df) for r in tally if r.whole), (0, None))
         counted = {at[r.term]: r.df for r in tally if r.term is not None}
@@ -253,14 +256,14 @@ def _best_in_tasks(index: Index, terms: DataFrame, k: int, keyed: DataFrame | No
             query_ids = pa.array(query_names) if query_ids is None else query_ids
             return pa.RecordBatch.from_arrays([query_ids.take(pa.array(j)), batch.column("id").take(pa.array(i)), score], ["query_id", "id", "score"])
 
-        for batch in _parts(batches):
-            if "ws" in batch.schema.names:
-                doc, term, tf, dl = _tallies(batch, shared.value)
-                dl = dl[doc]
+        for batch in _parts(batches, "tf"):
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("tf")).to_numpy(zero_copy_only=False))
+            tf = batch.column("tf").flatten().to_numpy(zero_copy_only=False)
+            if "code" in batch.schema.names:
+                term, dl = batch.column("code").flatten().to_numpy(zero_copy_only=False), batch.column("dl").to_numpy(zero_copy_only=False)[doc]
             else:
-                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("term")).to_numpy(zero_copy_only=False))
                 term = pc.index_in(batch.column("term").flatten().cast(pa.string()), value_set=shared.value).to_numpy(zero_copy_only=False)
-                tf, dl = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tf", "dl"))
+                dl = batch.column("dl").flatten().to_numpy(zero_copy_only=False)
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
             step = max(1, BLOCK_SCORES // width)
             for low in range(0, batch.num_rows, step):
@@ -292,10 +295,61 @@ def _entries(starts: np.ndarray, term: np.ndarray, own: slice) -> tuple[np.ndarr
     return posting, np.arange(len(posting)) - np.repeat(np.cumsum(times) - times, times) + starts[term[posting]]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of the batches, so many at a time that their words are about MAX_WORDS; never less than one."""
+def _survey(batches: Iterator[pa.RecordBatch], names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The columns of ``SURVEY`` from (id, text): a row per document, with its words among ``names`` by place, and rows (term, df) that sum up to the documents of each word.
+
+    A document's row has term null and df 1, so one aggregation by term counts them too.
+    """
+    columns = ["id", "dl", "code", "tf", "term", "df"]
+    gathered, rows, ids = [], 0, None
+
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in table.to_batches(1 << 16):
+            none = [pa.nulls(b.num_rows, t) for t in (ids, pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*none, b.column("term"), b.column("df")], columns)
+
+    for batch in _parts(map(_cut, batches)):
+        ids, ws = batch.column("id").type, batch.column("ws")
+        words = ws.flatten().dictionary_encode()
+        known, width, at = words.dictionary, max(len(words.dictionary), 1), words.indices.to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(ws)), pc.list_value_length(ws).to_numpy(zero_copy_only=False))
+        full = pc.not_equal(known, "").to_numpy(zero_copy_only=False)[at]  # blanks at an end of a text leave an empty word
+        of, at = of[full], at[full]
+        dl = np.bincount(of, minlength=len(ws))
+        key, tf = np.unique(of * width + at, return_counts=True)
+        doc, word = key // width, key % width
+        code = pc.index_in(known, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)[word]
+        own = np.flatnonzero(code >= 0)
+        own = own[np.lexsort((code[own], doc[own]))]
+        ends = pa.array(np.searchsorted(doc[own], np.arange(len(dl) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[own].astype(np.int32))) for x in (code, tf)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dl.astype(np.int32)), *lists, pa.nulls(len(dl), pa.string()), pa.array(np.ones(len(dl), np.int64))], columns)
+        df = np.bincount(word, minlength=len(known))
+        gathered.append(pa.table({"term": known, "df": df}).filter(pa.array(df > 0)))
+        rows += len(known)
+        if rows > 2 * MAX_WORDS:
+            merged = _summed(gathered)
+            gathered, rows = [merged], len(merged)
+            if rows > MAX_WORDS:
+                yield from counted(merged)
+                gathered, rows = [], 0
+    if gathered:
+        yield from counted(_summed(gathered))
+
+
+def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, ws) from (id, text): the words of ``fx.tokens``, which parts texts at the same six blanks; besides them, empty words at the ends."""
+    return pa.RecordBatch.from_arrays([batch.column("id"), pc.ascii_split_whitespace(batch.column("text").cast(pa.string()))], ["id", "ws"])
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("term", use_threads=False).aggregate([("df", "sum")]).rename_columns(["term", "df"]).combine_chunks()
+
+
+def _parts(batches: Iterator[pa.RecordBatch], lists: str = "ws") -> Iterator[pa.RecordBatch]:
+    """The documents of the batches, so many at a time that the entries of their ``lists`` are about MAX_WORDS; never less than one."""
     for batch in batches:
-        words = pc.list_value_length(batch.column("ws" if "ws" in batch.schema.names else "term")).to_numpy(zero_copy_only=False)
+        words = pc.list_value_length(batch.column(lists)).to_numpy(zero_copy_only=False)
         part = np.cumsum(words) // MAX_WORDS
         bounds = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for low, high in zip(bounds, bounds[1:]):

@@ -5,11 +5,14 @@ import dataclasses
 import io
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
+from newsloom.functions import text as fx
 from newsloom.operators import chunking, fusion, sparse
 from newsloom.plans import retrieval, runs
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -108,6 +111,46 @@ def test_holders_of_the_rarest_key(spark, monkeypatch, terms, scores, twice):
     assert {tuple(r) for r in holders.collect()} == want
 
 
+def test_a_search_cuts_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"the cat {i}") for i in range(30)] + [(30, None)], "id long, t string")
+    index = sparse.build_index(docs, "id", "t")
+    index = dataclasses.replace(index, texts=index.texts.withColumn("text", seen("text")))
+    queries = spark.createDataFrame([("q", "the cat 7 cat")], "q string, t string")
+    hits, holders = sparse.search_with_holders(index, queries, "q", "t", 3, retrieval.inner)
+    assert hits.first()["id"] == 7 and [r.id for r in holders.collect()] == [7]
+    assert read.value == 31
+
+
+ODD = [None, "", " ", "a", " A  b\u00a0c a\n", "\t\x0bx\x0cy\rz\x1cz\x1dw\x85v\u2003u\u3000t\u2028s ", "\u0130I \u03a3\u03a3 \u00df \U0001f600 \x00", "b " * 50, "a x y"]
+
+
+def test_words_of_a_survey_are_those_of_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "id long, t string")
+    want = {r.id: r.ws for r in docs.select("id", fx.tokens(F.col("t")).alias("ws")).collect()}
+    texts = sparse.build_index(docs, "id", "t").texts.toArrow().combine_chunks().to_batches()
+    names = pa.array(["a", "b", "nowhere", "z\x1cz\x1dw\x85v\u2003u\u3000t\u2028s"])
+    for words in (1 << 20, 3):  # all at once, and handed on in parts
+        monkeypatch.setattr(sparse, "MAX_WORDS", words)
+        rows = [r for b in sparse._survey(iter([*texts, texts[0].slice(0, 0)]), names) for r in b.to_pylist()]
+        own = {r["id"]: r for r in rows if r["term"] is None}
+        assert len(own) == len(ODD) and all(r["df"] == 1 and r["dl"] == len(want[i]) for i, r in own.items())
+        for i, r in own.items():
+            assert list(zip(r["code"], r["tf"])) == [(c, want[i].count(w)) for c, w in enumerate(names.to_pylist()) if w in want[i]]
+        df = Counter()
+        for r in rows:
+            if r["term"] is not None:
+                df[r["term"]] += r["df"]
+        assert df == Counter(w for ws in want.values() for w in set(ws)) and "" not in df
+    assert len(rows) > len(ODD) + len(df)  # more than one row for some word
+
+
 def test_items_that_share_an_id_have_gold_each(spark, tmp_path):
     docs = [(1, "x one two three y"), (2, "x four five six y"), (3, "x four five y"), (4, None)]
     items = [("q", "one two three"), ("q", "four five six"), ("r", "five"), ("s", None)]
